@@ -4,12 +4,15 @@ Orders become claims, parts procedures, suppliers facilities, documents the
 corpus. ``plans.oracle_views`` states the same derivations in SQL.
 """
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from claimlens.functions import fixed_values as fv
 from claimlens.functions.codes import pad_code
 from claimlens.functions.text import fold
+from claimlens.operators.vector import centroids
+from claimlens.sources import corpus
 from claimlens.sources.schemas import MONTH
 
 M1, M2 = "202401", "202402"
@@ -337,3 +340,178 @@ class Bound:
         return self._staff.select("k", "c").distinct().select(
             _cnes("k").alias("cnes"), F.col("c").cast("string").alias("co_profissional_sus"),
             pad_code("c", 11).alias("co_cpf"), pad_code("c", 15).alias("co_cns"), F.lit(M2).alias(MONTH))
+
+    # --- documents ---------------------------------------------------------------------
+    PAGE_LINES = 10
+
+    @cached_property
+    def files(self):
+        """Documents as files: a path, its attributes, and pages of ten lines with headings."""
+        k = F.col("doc_id")
+        cs = F.concat
+        s = lambda c: c.cast("string")
+        year = F.when(k % 7 != 0, s(k % 20 + 2005)).otherwise("")
+        folder = F.element_at(F.array(*map(F.lit, ["portaria", "manuais", "outros"])), (k % 3).cast("int") + 1)
+        stem = F.when(k % 5 == 0, "Anexo_I-").when(k % 5 == 1, "manual_sih_").when(k % 5 == 2, "SIA-").otherwise("texto__")
+        path = cs(F.lit("corpus/"), folder, year, F.lit("/"), "source", F.lit("/"), stem, s(k), F.lit(".pdf"))
+        lines = F.split("text", "\n")
+
+        def extra(p):
+            n = (k + p) % 5
+            return (
+                F.when(n == 0, cs(s(p), F.lit("."), s(k % 9 + 1), F.lit(" CAPÍTULO DE REGRAS gerais\n")))
+                .when(n == 1, cs(s(p), F.lit("\nTÍTULO DA SEÇÃO (OPM)\n")))
+                .when(n == 2, cs(F.lit("MANUAL TÉCNICO OPERACIONAL - SIH/SUS\n"), s(p), F.lit("\n")))
+                .when((n == 3) & (k % 4 == 0), F.repeat(F.lit("Item ...... 1\n"), F.lit(3)))
+                .otherwise(""))
+
+        per = self.PAGE_LINES
+        last = F.ceil(F.size("lines") / per).cast("int")
+        pages = F.transform(F.sequence(F.lit(1), last), lambda p: F.struct(
+            p.alias("pagina"),
+            cs(extra(p), F.array_join(F.slice("lines", (p - 1) * per + 1, F.lit(per)), "\n")).alias("texto")))
+        d = self.raw("documents").select("doc_id", "source", lines.alias("lines"), path.alias("path"))
+        return corpus.with_path_attributes(d.select("doc_id", "path", pages.alias("pages")))
+
+    @cached_property
+    def chunks(self):
+        """Search chunks: one per document."""
+        k = F.col("doc_id")
+        prefix = F.concat(F.lit("[Manual "), "source", F.lit("]\n\n"))
+        secao = F.concat_ws(".", k % 60 + 1, k % 7 + 1)
+        return self.raw("documents").select(
+            F.concat(F.lit("d"), k).alias("id"), secao.alias("secao"),
+            F.concat(F.lit(" Titulo "), secao, F.lit("\nresto")).alias("titulo"),
+            (k % 50 + 1).cast("int").alias("pagina"), F.col("source").alias("fonte"),
+            self._year(k), self._kind(k),
+            F.when(k % 2 == 0, F.concat(prefix, "text")).otherwise(F.col("text")).alias("texto"),
+            F.concat(prefix, "text").alias("contexto"), F.lit(False).alias("is_parent"),
+            F.when(k % 5 != 0, F.concat(F.lit("d"), F.floor(k / 4) * 4)).alias("parent_id"))
+
+    @staticmethod
+    def _year(k):
+        return (k % 10 + 2005).cast("string").alias("ano")
+
+    @staticmethod
+    def _kind(k):
+        return F.when(k % 2 == 0, "manual").otherwise("portaria").alias("tipo")
+
+    @cached_property
+    def parent_map(self):
+        return self.chunks.where(F.col("parent_id").isNotNull()).select("id", "parent_id")
+
+    @cached_property
+    def vectors(self):
+        k = F.col("vec_id")
+        return self.raw("embeddings").select(
+            F.concat(F.lit("d"), k).alias("id"), "embedding", self._year(k), self._kind(k), "label")
+
+    @cached_property
+    def label_centroids(self):
+        return centroids(self.raw("embeddings"), "label")
+
+    def embed(self, questions):
+        """Stand-in for an embedding model: a question gets the centroid of a label."""
+        label = ((F.col("query_id") + F.coalesce(F.col("sub"), F.lit(0))) % 10).cast("int")
+        return questions.withColumn("_label", label).join(
+            self.label_centroids.withColumnRenamed("label", "_label"), "_label").drop("_label")
+
+    @staticmethod
+    def rerank_scores(candidates):
+        """Stand-in for a reranker: a fixed function of question and chunk."""
+        n = F.col("query_id") * 31 + F.expr("cast(substring(id, 2) as bigint)") * 17
+        return candidates.withColumn("rerank", (n % 1000) / 1000.0)
+
+    @cached_property
+    def questions(self):
+        k = F.col("item_id")
+        q = (F.when(k % 3 == 0, F.concat(F.lit("portaria sobre OPM e regras de "), "text"))
+             .when(k % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("manual de 2010 "), "text")))
+        return self.raw("benchmark").select(k.alias("query_id"), q.alias("pergunta"))
+
+    @cached_property
+    def qrels(self):
+        """Sections of documents that share a sentence of at least 20 characters with the question."""
+        sent = lambda df, key: df.select(key, F.explode(F.split("text", r"[.\n]+")).alias("s")).select(
+            key, F.trim("s").alias("s")).where(F.length("s") >= 20).distinct()
+        b, d = sent(self.raw("benchmark"), "item_id"), sent(self.raw("documents"), "doc_id")
+        return b.join(d, "s").select(
+            F.col("item_id").alias("query_id"),
+            F.concat_ws(".", F.col("doc_id") % 60 + 1, F.col("doc_id") % 7 + 1).alias("secao")).distinct()
+
+    @cached_property
+    def part_questions(self):
+        """Short questions made from parts, one pattern per residue."""
+        k, name, typ = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+        size = F.col("p_size").cast("string")
+        yr = F.concat(F.lit("20"), pad_code("p_size", 2))
+        cs = F.concat
+        q = (F.when(k % 8 == 0, cs(F.lit("Critica "), size, F.lit(" do manual "), yr, F.lit(" "), name))
+             .when(k % 8 == 1, cs(F.lit("diferença entre "), name, F.lit(" e "), typ))
+             .when(k % 8 == 2, cs(F.lit("como preencher AIH para "), name))
+             .when(k % 8 == 3, cs(F.lit("portaria de "), yr, F.lit(" sobre OPM e "), name, F.lit(" eletiva")))
+             .when(k % 8 == 4, name)
+             .when(k % 8 == 5, cs(F.lit("tabela sigtap "), F.col("p_brand"), F.lit(" e regras de "), typ))
+             .when(k % 8 == 6, cs(F.lit("050046 "), name))
+             .otherwise(k.cast("string")))
+        return self.raw("part").select(k.alias("query_id"), q.alias("pergunta"))
+
+    @cached_property
+    def rule_texts(self):
+        """Source texts with one or two rule definitions each."""
+        k, kw = F.col("p_partkey"), [*fv.RULE_NAME_ENRICHMENT, "outra regra"]
+        word = F.element_at(F.array(*map(F.lit, kw)), (k % len(kw)).cast("int") + 1)
+
+        def block(number, name):
+            return F.concat(F.lit("  CRITICA_"), number.cast("string"), F.lit(": {\n    codigo: '05"), pad_code(k % 10000, 4),
+                            F.lit("',\n    nome: '"), name, F.lit("',\n    campos: ['"), F.col("p_type"),
+                            F.lit("', \"idade\" , ],\n  },\n"))
+
+        text = F.concat(F.lit("export const criticas = {\n"), block(k, F.concat_ws(" ", word, "p_name")),
+                        F.when(F.col("p_size") % 2 == 0, block(k + 1000000000, F.col("p_brand"))).otherwise(""), F.lit("}\n"))
+        code = F.element_at(F.array(*map(F.lit, [
+            "const r = await rlProcedimentoCid(x); if (cbo) { leito }", "calcularIdade(aih) // OPM permanencia",
+            "quantidadeRealizada > 1 && DIARIA", "return duplici + transfus", "no keyword here"])), (k % 5).cast("int") + 1)
+        return self.raw("part").select(k.alias("text_id"), text.alias("texto"), code.alias("codigo_fonte"))
+
+    @cached_property
+    def claim_texts(self):
+        """Claims printed as mirror texts; some lines are missing for some claims."""
+        k, code = F.col("claim_id"), F.col("codigo_procedimento")
+        cs, sub = F.concat, lambda a, n: F.substring(code, a, n)
+        dotted = cs(sub(1, 2), F.lit("."), sub(3, 2), F.lit("."), sub(5, 2), F.lit("."), sub(7, 3), F.lit("-"), sub(10, 1))
+        other = cs(F.lit("0"), (k % 8 + 1).cast("string"), pad_code(k % 100000000, 8))
+        sec = lambda d: cs(F.lit("A"), pad_code((k + d) % 1000, 3))
+        text = cs(
+            F.lit("Num AIH : "), k.cast("string"), F.lit("-"), (k % 10).cast("string"),
+            F.when(k % 3 == 0, "\nTipo: 1-NORMAL").otherwise("\nTipo: 5-LONGA PERMANENCIA"),
+            F.lit("\nProcedimento principal : "), dotted, F.lit(" - PROC "), code,
+            F.lit("\nDiag. principal: "), F.col("codigo_cid"), F.lit(" - Doença do grupo "), F.col("codigo_cid"),
+            F.when(k % 7 != 0, "\nEspecialidade : 01 - CIRURGIA  ").otherwise(""),
+            F.when(k % 5 != 0, "\nCarater atendimento : 2 - URGENCIA").otherwise(""),
+            F.lit("\nMot saida: 12 - ALTA MELHORADO\n"), other, F.lit(" x "), other, F.lit("\n"),
+            F.when(k % 4 != 0, cs(F.lit("CID SECUNDÁRIO\n"), sec(0), F.lit(" "), sec(1), F.lit(" "), sec(0),
+                                  F.lit("\nMS-DATASUS\nZ999"))).otherwise(""))
+        return self.claims.select("claim_id", text.alias("texto"))
+
+    @cached_property
+    def answers(self):
+        """Assistant turns with citations appended, and labelled statements."""
+        c = self.raw("conversations").where("role = 'assistant'")
+        k = F.col("conv_id") * 100 + F.col("turn")
+        sec = lambda d: F.concat_ws(".", (k + d) % 70 + 1, (k + d) % 7 + 1)
+        page = lambda d: ((k + d) % 50 + 1).cast("string")
+        text = F.concat(
+            F.col("text"), F.lit(" Conforme [Seção "), sec(0), F.lit(", p. "), page(0), F.lit("] e seção "), sec(3),
+            F.lit(" (página "), page(4), F.lit("), ver SECAO "), sec(5), F.lit(". "),
+            F.when(k % 3 == 0, F.concat(F.lit("[Secao "), sec(0), F.lit(",p"), page(0), F.lit("]"))).otherwise(""))
+        return c.select(k.alias("answer_id"), text.alias("texto"),
+                        F.when(k % 4 == 0, -1.0).otherwise((k % 10) / 10.0).alias("score_geral"))
+
+    @cached_property
+    def grounding_labels(self):
+        """Every sentence of an answer is a statement with a label."""
+        labels = F.array(F.lit(fv.SUPPORTED), F.lit(fv.INFERRED), F.lit(fv.UNSUPPORTED))
+        return self.answers.select("answer_id", F.posexplode(F.split("texto", r"\.")).alias("i", "s")).select(
+            "answer_id", F.col("s").alias("texto"),
+            F.element_at(labels, ((F.col("answer_id") + F.col("i") * F.col("i")) % 3).cast("int") + 1).alias("classificacao"))

@@ -79,8 +79,7 @@ def at_months(df, months=None):
 
 def at_latest(df):
     """Rows of the table's newest month. An empty table gives an empty result."""
-    top = df.agg(F.max(S.MONTH).alias("_latest"))
-    return df.join(top, F.col(S.MONTH) == F.col("_latest"), "left_semi")
+    return df.where(F.col(S.MONTH) == df.agg(F.max(S.MONTH)).scalar())
 
 
 def latest_month(df):
