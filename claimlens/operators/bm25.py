@@ -94,7 +94,7 @@ def score(questions, index, keys=("query_id",), text="pergunta", filters=(), whe
 
 
 def search(questions, index, n=fv.CANDIDATES_PER_RETRIEVER, keys=("query_id",), text="pergunta",
-           filters=(), where=None, digits=12):
+           filters=(), where=None, digits=9):
     """Best n documents per question. Scores are rounded so that the order of
     summation cannot change the ranking; ties go to the smaller id."""
     s = score(questions, index, keys, text, filters, where).withColumn("score", F.round("score", digits))

@@ -55,10 +55,10 @@ def _block_topk(q, d, keys, filters, k):
                 if not pd.isna(want):
                     s = np.where(d[c].fillna("").astype(str).to_numpy() == want, s, -np.inf)
             hit = _best(ids, s, k)
-            part = {key: [q[key].iloc[row]] * len(hit) for key in keys}
-            out.append(pd.DataFrame({**part, "id": ids[hit], "score": s[hit]}))
-    cols = [*keys, "id", "score"]
-    return pd.concat(out)[cols] if out else pd.DataFrame({c: [] for c in cols})
+            if len(hit):  # an empty part would turn long keys into floats on concat
+                part = {key: [q[key].iloc[row]] * len(hit) for key in keys}
+                out.append(pd.DataFrame({**part, "id": ids[hit], "score": s[hit]}))
+    return pd.concat(out) if out else None
 
 
 def search(queries, vectors, n=fv.CANDIDATES_PER_RETRIEVER, keys=("query_id",), filters=(),
@@ -81,6 +81,8 @@ def search(queries, vectors, n=fv.CANDIDATES_PER_RETRIEVER, keys=("query_id",),
             held = None
             for batch in batches:
                 part = _block_topk(shared.value, batch, keys, filters, n)
+                if part is None:
+                    continue
                 both = part if held is None else pd.concat([held, part])
                 held = both.sort_values([*keys, "score", "id"], ascending=[True] * len(keys) + [False, True]
                                         ).groupby(keys, sort=False).head(n)
@@ -96,8 +98,12 @@ def search(queries, vectors, n=fv.CANDIDATES_PER_RETRIEVER, keys=("query_id",),
             other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
         qs = side(q, keys, n_q, "_qb", "_db", n_d)
         ds = side(d, ["id"], n_d, "_db", "_qb", n_q)
-        partial = qs.groupBy("_qb", "_db").cogroup(ds.groupBy("_qb", "_db")).applyInPandas(
-            lambda a, b: _block_topk(a, b, keys, filters, n), schema)
+
+        def pair(a, b):
+            best = _block_topk(a, b, keys, filters, n)
+            return pd.DataFrame(columns=[*keys, "id", "score"]) if best is None else best
+
+        partial = qs.groupBy("_qb", "_db").cogroup(ds.groupBy("_qb", "_db")).applyInPandas(pair, schema)
     return top_n(partial, keys, [F.desc("score"), "id"], n)
 
 

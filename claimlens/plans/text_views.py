@@ -273,7 +273,7 @@ def bm25(questions, keys, filters=False):
     extra = ", f_ano, f_tipo" if filters else ""
     return f"""
 SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, id) AS posicao FROM (
-  SELECT {keys}, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 12) AS score
+  SELECT {keys}, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM (SELECT {keys}{extra}, term, count(*) AS qtf FROM (SELECT {keys}{extra}, unnest({tokens('texto')}) AS term FROM {questions}) GROUP BY ALL) q
   JOIN v_tf t USING (term) JOIN v_terms USING (term), v_corpus WHERE true {f} GROUP BY {keys}, id) WHERE score > 0
 QUALIFY posicao <= 20"""
