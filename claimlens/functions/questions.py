@@ -94,9 +94,8 @@ def reformulations(question):
     q = as_col(question)
     low = F.lower(q)
     in_domain = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t.lower())) for t in fv.DOMAIN_TERMS])
-    stop = F.array(*[F.lit(w) for w in fv.REFORMULATION_STOPWORDS])
     words = F.filter(F.split(low, r"(?U)\s+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(fv.REFORMULATION_STOPWORDS))
     shortened = (F.size(kept) >= 2) & (F.size(kept) != F.size(words))
     return _clean_distinct([
         q,
@@ -119,7 +118,7 @@ def claim_questions(claim):
     proc, diag = c["procedimento_principal"], c["diagnostico_principal"]
     pname, dcode, dname = proc["nome"], diag["cid"], diag["nome"]
     codes = c["procedimentos_unicos"]
-    groups = F.array_sort(F.array_distinct(F.transform(codes, lambda x: F.substring(x, 1, 2))))
+    groups = F.sort_array(F.array_distinct(F.transform(codes, lambda x: F.substring(x, 1, 2))))
     single = F.array(
         F.when(proc.isNotNull(), F.format_string(fmt["procedure"], pname)),
         F.when(diag.isNotNull(), F.format_string(fmt["diagnosis"], dcode, dname)),

@@ -32,7 +32,9 @@ def _accent_table():
 
 def strip_accents(text):
     accented, plain = _accent_table()
-    return F.translate(as_col(text), accented, plain)
+    t = as_col(text)
+    # one byte per character: plain ASCII, nothing to translate
+    return F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, accented, plain))
 
 
 def fold(text):
@@ -55,10 +57,9 @@ def tokens(text):
 
     Repeated tokens are kept, BM25 needs them.
     """
-    stop = F.array(*[F.lit(w) for w in fv.STOPWORDS_PT])
     return F.filter(
         F.split(fold(text), "[^a-z0-9]+"),
-        lambda t: (F.length(t) >= fv.MIN_TOKEN_CHARS) & ~F.array_contains(stop, t),
+        lambda t: (F.length(t) >= fv.MIN_TOKEN_CHARS) & ~t.isin(fv.STOPWORDS_PT),
     )
 
 

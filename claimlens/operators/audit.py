@@ -29,7 +29,7 @@ def _code_sets(parts, key, kinds):
     """Union of (key, kind, code) frames to one row per key with a sorted set per kind."""
     rows = reduce(lambda a, b: a.unionByName(b), parts).distinct()
     return rows.groupBy(key).agg(*[
-        F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("code")))).alias(k) for k in kinds])
+        F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("code")))).alias(k) for k in kinds])
 
 
 def procedure_rules(cat, month):
@@ -272,7 +272,7 @@ def increment_sets(cat, month):
     rows = at_months(cat["rl_procedimento_incremento"], month)
     entry = F.struct("co_habilitacao", C.percent("vl_percentual_sh").alias("sh"),
                      C.percent("vl_percentual_sa").alias("sa"), C.percent("vl_percentual_sp").alias("sp"))
-    return rows.groupBy("co_procedimento").agg(F.array_sort(F.collect_list(entry)).alias("incrementos"))
+    return rows.groupBy("co_procedimento").agg(F.sort_array(F.collect_list(entry)).alias("incrementos"))
 
 
 def _added(inc, scale="decimal(28,6)"):

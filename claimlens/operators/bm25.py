@@ -16,6 +16,7 @@ from claimlens.functions import fixed_values as fv
 from claimlens.functions.arrays import at, indexes, let
 from claimlens.functions.text import tokens
 from claimlens.operators.catalog import top_n
+from claimlens.session import write_once
 
 META = ["secao", "fonte", "ano", "tipo"]
 
@@ -26,17 +27,33 @@ def term_counts(toks):
         starts = F.filter(indexes(s), lambda i: (i == 0) | (at(s, i) != at(s, F.greatest(i - 1, F.lit(0)))))
         return let(starts, lambda b: F.transform(b, lambda i, k: F.struct(
             at(s, i).alias("term"), (F.coalesce(at(b, k + 1), F.size(s)) - i).alias("tf"))))
-    return let(F.array_sort(toks), runs)
+    return let(F.sort_array(toks), runs)
 
 
-def build_index(chunks, text="contexto", meta=()):
-    """Postings (term, id, tf, dl, metadata), term statistics and corpus statistics."""
+def _postings(chunks, text, meta):
     docs = chunks.select("id", *meta, tokens(text).alias("toks"))
-    postings = docs.select("id", *meta, F.size("toks").alias("dl"), F.explode(term_counts(F.col("toks"))).alias("t")).select(
+    return docs.select("id", *meta, F.size("toks").alias("dl"), F.explode(term_counts(F.col("toks"))).alias("t")).select(
         F.col("t.term").alias("term"), "id", F.col("t.tf").alias("tf"), "dl", *meta)
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
+
+
+def build_index(chunks, text="contexto", meta=(), folder=None):
+    """Postings (term, id, tf, dl, metadata), term statistics and corpus statistics.
+
+    With a ``folder`` the postings are written first and all else is read from
+    them: texts are then tokenised once, however often the index is used.
+    """
+    postings = _postings(chunks, text, meta)
+    if folder:
+        postings = write_once(postings, f"{folder}/postings")
+    # documents without any token count too, so their number comes from the chunks
+    n_docs = chunks.agg(F.count("*").alias("n_docs"))
+    total = postings.agg(F.sum("tf")).scalar()
+    corpus = n_docs.select("n_docs", (total / F.col("n_docs")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return {"postings": postings, "corpus": corpus, "terms": _with_idf(df, corpus)}
+    terms = _with_idf(df, corpus)
+    if folder:
+        corpus, terms = write_once(corpus, f"{folder}/corpus"), write_once(terms, f"{folder}/terms")
+    return {"postings": postings, "corpus": corpus, "terms": terms}
 
 
 def _with_idf(df, corpus):
@@ -47,11 +64,12 @@ def _with_idf(df, corpus):
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def write_index(index, folder):
-    """Write the three tables, the postings clustered by term."""
-    index["postings"].repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    index["terms"].write.mode("overwrite").parquet(f"{folder}/terms")
-    index["corpus"].write.mode("overwrite").parquet(f"{folder}/corpus")
+def cluster_postings(index, folder):
+    """Rewrite the postings in ranges of (term, id), so that a search opens only the
+    files of its terms. Ranges over both columns also cut a very frequent term into
+    several files."""
+    out = index["postings"].repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    return {**index, "postings": write_once(out, f"{folder}/postings_by_term")}
 
 
 def read_index(spark, folder):

@@ -72,7 +72,7 @@ def section_summaries(chunks, chars=SUMMARY_CHARS, text="contexto"):
     count = chunks.groupBy("secao").agg(F.count("*").alias("n_trechos"))
     lead = top_n(chunks.select("secao", "id", F.substring(text, 1, chars + 1).alias("t")), "secao", ["id"], chars + 1)
     joined = lead.groupBy("secao").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("posicao", "t"))), lambda x: x["t"]), "\n").alias("t"))
+        F.sort_array(F.collect_list(F.struct("posicao", "t"))), lambda x: x["t"]), "\n").alias("t"))
     head = section_index(chunks).select("secao", first_line("titulo").alias("titulo"), "pagina", "fonte")
     return head.join(count, "secao").join(joined.select("secao", truncate("t", chars).alias("resumo")), "secao")
 

@@ -33,31 +33,45 @@ def _unit_rows(vectors):
     return m / norm
 
 
-def _best(ids, scores, k):
-    """Positions of the k best scores; ties by id."""
-    ok = np.flatnonzero(np.isfinite(scores))
-    if len(ok) > k:
-        cut = np.partition(scores[ok], len(ok) - k)[len(ok) - k]
-        ok = ok[scores[ok] >= cut]
-    return ok[np.lexsort((ids[ok], -scores[ok]))][:k]
+def _row_topk(sims, k):
+    """(row, column) positions of the k best per row; equal scores by column order.
+
+    Rows are cut with a partial sort; the few with ties at the cut get a full stable one.
+    """
+    n_rows, n_cols = sims.shape
+    if n_cols <= k:
+        cols = np.argsort(-sims, axis=1, kind="stable")
+        return np.repeat(np.arange(n_rows), n_cols), cols.ravel()
+    cand = np.sort(np.argpartition(-sims, k - 1, axis=1)[:, :k], axis=1)
+    kept = np.take_along_axis(sims, cand, axis=1)
+    tied = (sims >= kept.min(axis=1, keepdims=True)).sum(axis=1) > k
+    cols = np.take_along_axis(cand, np.argsort(-kept, axis=1, kind="stable"), axis=1)
+    if tied.any():
+        cols[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(n_rows), k), cols.ravel()
 
 
 def _block_topk(q, d, keys, filters, k):
-    """Best k documents of one document block for each query of one query block."""
+    """Best k documents of one document block for each query of one query block.
+
+    Queries with the same filter values share one matrix product. None if nothing passes.
+    """
+    if not len(q) or not len(d):
+        return None
+    d = d.sort_values("id", kind="stable")
+    groups = q.groupby([f"f_{c}" for c in filters], dropna=False, sort=False) if filters else [((), q)]
     out = []
-    if len(q) and len(d):
-        ids = d["id"].to_numpy()
-        sims = np.round(_unit_rows(q["vector"]) @ _unit_rows(d["embedding"]).T, _DIGITS)
-        for row in range(len(q)):
-            s = sims[row]
-            for c in filters:
-                want = q[f"f_{c}"].iloc[row]
-                if not pd.isna(want):
-                    s = np.where(d[c].fillna("").astype(str).to_numpy() == want, s, -np.inf)
-            hit = _best(ids, s, k)
-            if len(hit):  # an empty part would turn long keys into floats on concat
-                part = {key: [q[key].iloc[row]] * len(hit) for key in keys}
-                out.append(pd.DataFrame({**part, "id": ids[hit], "score": s[hit]}))
+    for values, part in groups:
+        docs = d
+        for c, want in zip(filters, values):
+            if not pd.isna(want):
+                docs = docs[docs[c].fillna("").astype(str) == want]
+        if not len(docs):
+            continue
+        sims = np.round(_unit_rows(part["vector"]) @ _unit_rows(docs["embedding"]).T, _DIGITS)
+        rows, cols = _row_topk(sims, k)
+        hit = {key: part[key].to_numpy()[rows] for key in keys}
+        out.append(pd.DataFrame({**hit, "id": docs["id"].to_numpy()[cols], "score": sims[rows, cols]}))
     return pd.concat(out) if out else None
 
 
@@ -112,4 +126,4 @@ def centroids(vectors, group):
     parts = vectors.select(group, F.posexplode("embedding").alias("i", "x"))
     mean = parts.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return mean.groupBy(group).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+        F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))

@@ -36,8 +36,11 @@ class Bound:
     def __init__(self, spark, sf_dir):
         self.spark, self.dir = spark, sf_dir
 
+    TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
     def raw(self, name):
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return corpus.spread(df, self.TEXT_KEYS[name]) if name in self.TEXT_KEYS else df
 
     def table(self, name):
         return getattr(self, name)
@@ -52,15 +55,15 @@ class Bound:
     # --- claims -----------------------------------------------------------------
     @cached_property
     def order_parts(self):
-        """Per order and part: the first line in full order, and the number of lines."""
-        first = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-                         "l_shipdate", "l_returnflag")
-        return self.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(
-            F.min(first).alias("first"), F.count("*").alias("n_lines"))
+        """Number of lines per order and part."""
+        return self.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n_lines"))
 
     @cached_property
     def first_lines(self):
-        return self.order_parts.groupBy("l_orderkey").agg(F.min("first").alias("first"))
+        """The first line of every order in full column order (combines on the map side)."""
+        first = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+                         "l_shipdate", "l_returnflag")
+        return self.raw("lineitem").groupBy("l_orderkey").agg(F.min(first).alias("first"))
 
     def claims_from(self, orders):
         """Claims for a batch (or stream) of orders."""
@@ -411,9 +414,8 @@ class Bound:
         return centroids(self.raw("embeddings"), "label")
 
     def embed(self, questions):
-        """Stand-in for an embedding model: a question gets the centroid of a label."""
-        label = ((F.col("query_id") + F.coalesce(F.col("sub"), F.lit(0))) % 10).cast("int")
-        return questions.withColumn("_label", label).join(
+        """Stand-in for an embedding model: the length of a question picks a label's centroid."""
+        return questions.withColumn("_label", F.length("pergunta") % 10).join(
             self.label_centroids.withColumnRenamed("label", "_label"), "_label").drop("_label")
 
     @staticmethod

@@ -25,7 +25,7 @@ def _(b):
 
 
 @query("snapshot_scan", """
-SELECT dt_competencia, count(*) AS linhas, sum(CAST(CAST(vl_sh AS DECIMAL(14,2)) AS DOUBLE)) AS soma_sh FROM
+SELECT dt_competencia, count(*) AS linhas, CAST(sum(CAST(vl_sh AS DECIMAL(14,2))) AS DOUBLE) AS soma_sh FROM
 (SELECT dt_competencia, vl_sh FROM tb_procedimento) GROUP BY 1""")
 def _(b):
     root = shared_dir(b.spark, "snapshots")

@@ -92,43 +92,33 @@ def present(results, chunks, text="texto"):
     return results.join(view, "id")
 
 
+def search_texts(requests, c: Corpus, n, mode="hybrid", decompose=False):
+    """Search the questions of (request_id, ordem, pergunta), each distinct text once.
+
+    Requests repeat questions a great deal (claims of one ward share most of
+    theirs), so the text itself is the search key and hits are joined back.
+    """
+    texts = requests.select("pergunta").distinct().withColumn("query_id", F.col("pergunta"))
+    options = {"decompose": decompose} if mode == "hybrid" else {}
+    hits = search(texts, c, n, mode, **options).select(F.col("query_id").alias("pergunta"), "id", "score")
+    return requests.select("request_id", "ordem", "pergunta").join(hits, "pergunta")
+
+
 def multi_query(requests, c: Corpus, n_per_query=3, keep="best", limit=None, decompose=False, mode="hybrid"):
     """Several questions per request: best score per chunk, or the first one seen.
 
-    ``requests``: request_id, ordem, pergunta. Scores are rounded to three digits;
-    the question a chunk came from is kept, cut to its display length.
+    ``requests``: request_id, ordem, pergunta. ``relevancia`` has three digits; the
+    question a chunk came from is kept, cut to its display length.
     """
-    # one id per question of a request; it survives as the key of the search
-    qid = F.xxhash64("request_id", "ordem").alias("query_id")
-    q = requests.select("request_id", "ordem", "pergunta", qid)
-    found = search(q.select("query_id", "pergunta"), _keyed(c, q), n_per_query, mode,
-                   **({"decompose": decompose} if mode == "hybrid" else {}))
-    rows = found.select("query_id", "id", "score").join(q, "query_id").select(
+    rows = search_texts(requests, c, n_per_query, mode, decompose).select(
         "request_id", "id", "score", "ordem",
         F.substring("pergunta", 1, fv.ORIGIN_QUERY_CHARS).alias("query_origem"))
-    merged = fusion.merge_results(rows, ("request_id",), keep=keep)
-    merged = merged.withColumn("relevancia", F.round("score", 3))
+    merged = fusion.merge_results(rows, ("request_id",), keep=keep).withColumn("relevancia", F.round("score", 3))
     if limit:
         return top_n(merged, "request_id", [F.desc("score"), "id"], limit)
     return merged
 
 
-def _keyed(c, q):
-    """Give the corpus' embed and reranker the caller's (request, order) columns."""
-    names = q.select("query_id", "request_id", "ordem")
-
-    def embed(frame):
-        return c.embed(frame.join(names, "query_id"))
-
-    rr = c.reranker
-    if callable(rr):
-        def reranker(cands):
-            return rr(cands.join(names, "query_id"))
-    else:
-        reranker = rr
-    return Corpus(c.chunks, c.index, c.vectors, embed, reranker, c.parent_map)
-
-
 def with_retry(questions, c: Corpus, first, n_retry=5, retry_below=fv.RETRY_RELEVANCE,
                keep_from=fv.KEEP_RELEVANCE, mode="vector"):
     """Search again with rewrites where the first results are weak.
@@ -144,9 +134,7 @@ def with_retry(questions, c: Corpus, first, n_retry=5, retry_below=fv.RETRY_RELE
     rewrites = questions.join(weak, "query_id", "left_semi").select(
         F.col("query_id").alias("request_id"), F.posexplode(Q.reformulations("pergunta")).alias("ordem", "pergunta")
     ).where("ordem > 0")
-    q = rewrites.withColumn("query_id", F.xxhash64("request_id", "ordem"))
-    again = search(q.select("query_id", "pergunta"), _keyed(c, q), n_retry, mode)
-    again = again.select("query_id", "id", "score").join(q.select("query_id", "request_id", "ordem"), "query_id").select(
+    again = search_texts(rewrites, c, n_retry, mode).select(
         F.col("request_id").alias("query_id"), "id", "score", "ordem")
     pooled = kept.select("query_id", "id", "score").withColumn("ordem", F.lit(0)).unionByName(again)
     merged = fusion.merge_results(pooled, keep="first").drop("ordem")

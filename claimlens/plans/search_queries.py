@@ -9,13 +9,20 @@ from claimlens.operators.catalog import top_n
 from claimlens.plans import search as S, text_views as V
 from claimlens.plans.oracle_views import view
 from claimlens.plans.registry import query
+from claimlens.plans.text_queries import CLAIM_Q, ENRICH
+from claimlens.session import shared_dir
 from claimlens.streaming import claims as stream_claims, documents as stream_documents
 
 r6 = lambda c: F.round(c, 6).alias(c)
 
 
-def corpus(b, rerank=True):
-    return S.Corpus(b.chunks, bm25.build_index(b.chunks, meta=S.FILTERS), b.vectors, b.embed,
+def index(b):
+    """The corpus index, written once per query to the shared folder."""
+    return bm25.build_index(b.chunks, meta=S.FILTERS, folder=shared_dir(b.spark, "bm25"))
+
+
+def corpus(b, rerank=True, words=True):
+    return S.Corpus(b.chunks, index(b) if words else None, b.vectors, b.embed,
                     b.rerank_scores if rerank else None, b.parent_map)
 
 
@@ -36,7 +43,7 @@ view("v_bm25_plain", V.bm25("v_plain_q", "query_id"))
 
 @query("bm25_topk", "SELECT query_id, id, round(score, 6) AS score, CAST(posicao AS INTEGER) AS posicao FROM v_bm25_plain")
 def _(b):
-    return bm25.search(b.questions, bm25.build_index(b.chunks)).select("query_id", "id", r6("score"), "posicao")
+    return bm25.search(b.questions, index(b)).select("query_id", "id", r6("score"), "posicao")
 
 
 view("v_filtered_q", f"SELECT query_id, pergunta AS texto, {V.year_of('pergunta')} AS f_ano, {V.type_of('pergunta')} AS f_tipo FROM v_questions")
@@ -45,7 +52,7 @@ view("v_filtered_q", f"SELECT query_id, pergunta AS texto, {V.year_of('pergunta'
 @query("bm25_filtered", f"SELECT query_id, id, round(score, 6) AS score, CAST(posicao AS INTEGER) AS posicao FROM ({V.bm25('v_filtered_q', 'query_id', True)})")
 def _(b):
     q = S.with_filters(b.questions)
-    hits = bm25.search(q, bm25.build_index(b.chunks, meta=S.FILTERS), filters=S.FILTERS)
+    hits = bm25.search(q, index(b), filters=S.FILTERS)
     return hits.select("query_id", "id", r6("score"), "posicao")
 
 
@@ -119,7 +126,7 @@ def _(b):
 @query("parent_resolve", """
 SELECT query_id, coalesce(c.parent_id, k.id) AS id, round(max(score), 6) AS score FROM v_bm25_plain k LEFT JOIN v_chunks c ON c.id = k.id GROUP BY 1, 2""")
 def _(b):
-    hits = bm25.search(b.questions, bm25.build_index(b.chunks))
+    hits = bm25.search(b.questions, index(b))
     return U.resolve_parents(hits, b.parent_map).select("query_id", "id", r6("score"))
 
 
@@ -127,7 +134,7 @@ def _(b):
 SELECT query_id, id, round(s, 6) AS score FROM (SELECT query_id, id, {V.rerank_of()} AS s FROM v_bm25_plain)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10""")
 def _(b):
-    hits = bm25.search(b.questions, bm25.build_index(b.chunks))
+    hits = bm25.search(b.questions, index(b))
     return U.rerank(hits, b.rerank_scores, top=10).select("query_id", "id", r6("score"))
 
 
@@ -148,18 +155,18 @@ def _(b):
 
 
 view("v_vec_only", V.vector_top("v_question_vectors", "query_id", 10))
-view("v_question_vectors", "SELECT query_id, c.v FROM v_questions JOIN v_centroids c ON c.label = query_id % 10")
+view("v_question_vectors", "SELECT query_id, c.v FROM v_questions JOIN v_centroids c ON c.label = length(pergunta) % 10")
 
 
 @query("vector_only_search", "SELECT query_id, id, round(score, 6) AS score, CAST(posicao AS INTEGER) AS posicao FROM v_vec_only WHERE posicao <= 5")
 def _(b):
-    return S.search(b.questions, corpus(b), n=5, mode="vector").select("query_id", "id", r6("score"), "posicao")
+    return S.search(b.questions, corpus(b, words=False), n=5, mode="vector").select("query_id", "id", r6("score"), "posicao")
 
 
 # Several questions per request: the questions of ten benchmark items form one request.
 view("v_mq_subs", f"""
 SELECT item_id AS query_id, item_id // 10 AS request_id, item_id % 10 AS ordem, pergunta AS texto, c.v, {V.year_of('pergunta')} AS f_ano, {V.type_of('pergunta')} AS f_tipo
-FROM (SELECT query_id AS item_id, pergunta FROM v_questions) JOIN v_centroids c ON c.label = item_id % 10""")
+FROM (SELECT query_id AS item_id, pergunta FROM v_questions) JOIN v_centroids c ON c.label = length(pergunta) % 10""")
 view("v_mq_bm25", V.bm25("v_mq_subs", "query_id", True))
 view("v_mq_near", V.vector_top("v_mq_subs", "query_id", filters=True))
 view("v_mq_fused", """
@@ -177,14 +184,6 @@ def _requests(b):
     return b.questions.select(F.floor(k / 10).alias("request_id"), (k % 10).alias("ordem"), "pergunta")
 
 
-def _mq_corpus(b):
-    c = corpus(b, rerank=False)
-    c.embed = lambda frame: b.embed(frame.withColumn("_q", F.col("query_id")).withColumn(
-        "query_id", F.col("request_id") * 10 + F.col("ordem")).withColumn("sub", F.lit(0))).withColumn(
-        "query_id", F.col("_q")).withColumn("sub", F.lit(0)).drop("_q")
-    return c
-
-
 MQ = """
 SELECT request_id, id, round(score, 6) AS score, round(score, 3) AS relevancia, query_origem FROM (
   SELECT q.request_id, h.id, h.score, q.ordem, substr(q.texto, 1, 60) AS query_origem FROM v_mq_hits h JOIN v_mq_subs q USING (query_id))
@@ -193,19 +192,19 @@ QUALIFY row_number() OVER (PARTITION BY request_id, id ORDER BY {order}) = 1"""
 
 @query("multi_query_search", MQ.format(order="score DESC, ordem"))
 def _(b):
-    return S.multi_query(_requests(b), _mq_corpus(b)).select("request_id", "id", r6("score"), "relevancia", "query_origem")
+    return S.multi_query(_requests(b), corpus(b, rerank=False)).select("request_id", "id", r6("score"), "relevancia", "query_origem")
 
 
 @query("multi_query_first_seen", "SELECT * FROM (" + MQ.format(order="ordem, score DESC") + ") QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) <= 12")
 def _(b):
-    return S.multi_query(_requests(b), _mq_corpus(b), keep="first", limit=12).select(
+    return S.multi_query(_requests(b), corpus(b, rerank=False), keep="first", limit=12).select(
         "request_id", "id", r6("score"), "relevancia", "query_origem")
 
 
 @query("relevance_fallback", """
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM v_vec_only) WHERE score >= 0.35 OR m < 0.35""")
 def _(b):
-    hits = S.vector_only(b.questions, corpus(b), n=10)
+    hits = S.vector_only(b.questions, corpus(b, words=False), n=10)
     return U.keep_relevant(hits).select("query_id", "id", r6("score"))
 
 
@@ -215,7 +214,7 @@ view("v_retry_kept", """
 SELECT query_id, id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM v_retry_first) WHERE score >= 0.95 OR m < 0.95""")
 view("v_rewrites", V.unrolled("v_questions", V.reformulation_list("pergunta")))
 view("v_retry_q", """
-SELECT query_id, sub, c.v FROM v_rewrites r JOIN v_centroids c ON c.label = (query_id + sub) % 10
+SELECT query_id, sub, c.v FROM v_rewrites r JOIN v_centroids c ON c.label = length(texto) % 10
 WHERE sub > 0 AND query_id IN (SELECT query_id FROM v_retry_kept GROUP BY query_id HAVING max(score) < 0.97)""")
 view("v_retry_new", V.vector_top("v_retry_q", "query_id, sub", 5))
 view("v_retry_pool", """
@@ -226,15 +225,7 @@ SELECT query_id, id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_i
 
 
 def _retry(b):
-    c = corpus(b)
-
-    def embed(frame):
-        if "request_id" not in frame.columns:
-            return b.embed(frame)
-        e = b.embed(frame.withColumn("_q", F.col("query_id")).withColumn("query_id", F.col("request_id")).withColumn("sub", F.col("ordem")))
-        return e.withColumn("query_id", F.col("_q")).withColumn("sub", F.lit(0)).drop("_q")
-
-    c.embed = embed
+    c = corpus(b, words=False)
     first = S.vector_only(b.questions, c, n=5)
     return S.with_retry(b.questions, c, first, retry_below=0.97, keep_from=0.95)
 
@@ -253,15 +244,15 @@ def _(b):
 
 
 # --- rules and claims against the corpus ----------------------------------------------------
-# Stand-in vectors: a rule's query gets the centroid of label numero % 10.
-view("v_rule_q", "SELECT CAST(numero AS INTEGER) AS query_id, c.v FROM v_rules JOIN v_centroids c ON c.label = numero % 10")
+view("v_rule_q", f"""SELECT query_id, c.v FROM (SELECT CAST(numero AS INTEGER) AS query_id, CASE {ENRICH} ELSE nome END AS texto FROM v_rules)
+JOIN v_centroids c ON c.label = length(texto) % 10""")
 view("v_rule_hits", V.vector_top("v_rule_q", "query_id", 3))
 
 
-def _rule_map(b):
+def _rule_map(b, n=3):
     rules = R.rule_definitions(b.rule_texts, "texto")
-    q = rules.select(F.col("numero").alias("query_id"), F.lit(0).alias("sub"), R.enriched_name("nome").alias("pergunta"))
-    hits = W.search(b.embed(q), b.vectors, n=3)
+    q = rules.select(F.col("numero").alias("query_id"), R.enriched_name("nome").alias("pergunta"))
+    hits = W.search(b.embed(q), b.vectors, n=n)
     return hits.join(b.chunks.select("id", "secao", "pagina"), "id")
 
 
@@ -274,9 +265,9 @@ def _(b):
 @query("rule_map_share", """
 SELECT count(*) AS n, round(avg(CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM v_rule_hits WHERE posicao = 1""")
 def _(b):
-    rules = R.rule_definitions(b.rule_texts, "texto").select(F.col("numero").alias("query_id"), F.lit(0).alias("sub"))
-    best = W.search(b.embed(rules), b.vectors, n=1)
-    return best.agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") > 0.5).cast("double")), 6).alias("share"))
+    rules = R.rule_definitions(b.rule_texts, "texto")
+    q = rules.select(F.col("numero").alias("query_id"), R.enriched_name("nome").alias("pergunta"))
+    return W.search(b.embed(q), b.vectors, n=1).agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") > 0.5).cast("double")), 6).alias("share"))
 
 
 @query("rule_lookup", """
@@ -298,17 +289,10 @@ SELECT text_id AS request_id, CAST(row_number() OVER (PARTITION BY text_id ORDER
     "{terms}", ", ".join("CASE WHEN " + " OR ".join(
         [f"contains(codigo_fonte, {V.lit(w)})" for w in ex] + [f"contains(lower(codigo_fonte), {V.lit(w)})" for w in an])
         + f" THEN {V.lit(t)} END" for t, ex, an in fv.SOURCE_KEYWORD_TERMS)))
-view("v_rule_term_q", "SELECT request_id, ordem, c.v FROM v_rule_terms JOIN v_centroids c ON c.label = (request_id + ordem) % 10")
+view("v_rule_term_q", "SELECT request_id, ordem, c.v FROM v_rule_terms JOIN v_centroids c ON c.label = length(texto) % 10")
 view("v_rule_term_hits", V.vector_top("v_rule_term_q", "request_id, ordem", 3))
 
 
-def _request_corpus(b):
-    c = corpus(b, rerank=False)
-    c.embed = lambda f: b.embed(f.withColumn("_q", F.col("query_id")).withColumn("query_id", F.col("request_id")).withColumn(
-        "sub", F.col("ordem"))).withColumn("query_id", F.col("_q")).withColumn("sub", F.lit(0)).drop("_q")
-    return c
-
-
 @query("rule_context", """
 SELECT request_id, h.id, round(score, 3) AS relevancia FROM (
   SELECT request_id, id, score FROM v_rule_term_hits QUALIFY row_number() OVER (PARTITION BY request_id, id ORDER BY score DESC, ordem) = 1) h
@@ -317,17 +301,13 @@ def _(b):
     names = b.raw("part").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("nome"))
     req = b.rule_texts.join(names, "text_id").select(F.col("text_id").alias("request_id"), F.posexplode(
         R.source_search_terms("codigo_fonte", "nome")).alias("ordem", "pergunta"))
-    return S.multi_query(req, _request_corpus(b), mode="vector", limit=5).select("request_id", "id", "relevancia")
+    return S.multi_query(req, corpus(b, words=False), mode="vector", limit=5).select("request_id", "id", "relevancia")
 
 
-view("v_claim_q", V.unrolled("v_claims_parsed", """[
-  'procedimento principal ' || proc_nome || ' AIH regras', 'diagnostico ' || cid || ' ' || cid_nome || ' compatibilidade procedimento CID',
-  'compatibilidade ' || proc_nome || ' com ' || cid || ' ' || cid_nome, 'especialidade ' || especialidade, 'carater ' || carater, 'motivo ' || motivo_saida,
-  'grupo ' || codigos[1], CASE WHEN len(cids) > 0 THEN 'secundario ' || cids[1] END]""", "claim_id"))
-view("v_claim_qv", "SELECT claim_id, sub, c.v FROM v_claim_q JOIN v_centroids c ON c.label = (claim_id + sub) % 10")
-# the vector depends on (claim_id + sub) % 10 only, so ten searches serve all claims
+view("v_claim_q", V.unrolled("v_claims_parsed", CLAIM_Q, "claim_id"))
+# a vector depends on the length of the text only, so ten searches serve all claims
 view("v_label_top3", "SELECT query_id, id, score FROM v_near_label WHERE posicao <= 3")
-view("v_claim_hits", "SELECT claim_id, sub, id, score FROM v_claim_q JOIN v_label_top3 ON query_id = (claim_id + sub) % 10")
+view("v_claim_hits", "SELECT claim_id, sub, id, score FROM v_claim_q JOIN v_label_top3 ON query_id = length(texto) % 10")
 
 
 @query("claim_search", """
@@ -337,7 +317,7 @@ SELECT claim_id, id, round(score, 6) AS score, CAST(posicao AS INTEGER) AS posic
 def _(b):
     req = b.claim_texts.select(F.col("claim_id").alias("request_id"), F.posexplode(
         Q.claim_questions(P.parse_claim("texto"))).alias("ordem", "pergunta"))
-    hits = S.multi_query(req, _request_corpus(b), mode="vector", keep="first", limit=12)
+    hits = S.multi_query(req, corpus(b, words=False), mode="vector", keep="first", limit=12)
     return hits.select(F.col("request_id").alias("claim_id"), "id", r6("score"), "posicao")
 
 

@@ -180,7 +180,7 @@ def _(b):
                     F.col("c.procedimento_principal.codigo").alias("proc_codigo"), F.col("c.procedimento_principal.nome").alias("proc_nome"),
                     F.col("c.diagnostico_principal.cid").alias("cid"), F.col("c.diagnostico_principal.nome").alias("cid_nome"),
                     F.array_join("c.procedimentos_unicos", ",").alias("codigos"),
-                    F.array_join(F.array_sort("c.cids_secundarios"), ",").alias("cids"))
+                    F.array_join(F.sort_array("c.cids_secundarios"), ",").alias("cids"))
 
 
 GROUPS = " ".join(f"WHEN '{k}' THEN {V.lit(v)}" for k, v in fv.PROCEDURE_GROUPS.items())

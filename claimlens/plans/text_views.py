@@ -290,7 +290,7 @@ SELECT {keys}, id, score, row_number() OVER (PARTITION BY {keys} ORDER BY score
 view("v_subs_text", unrolled("v_questions", sub_list("pergunta")))
 view("v_subs", f"""
 SELECT s.query_id, s.sub, s.texto, {year_of('pergunta')} AS f_ano, {type_of('pergunta')} AS f_tipo, c.v
-FROM v_subs_text s JOIN v_questions q USING (query_id) JOIN v_centroids c ON c.label = (s.query_id + s.sub) % 10""")
+FROM v_subs_text s JOIN v_questions q USING (query_id) JOIN v_centroids c ON c.label = length(s.texto) % 10""")
 view("v_bm25", bm25("v_subs", "query_id, sub", True))
 view("v_near", vector_top("v_subs", "query_id, sub", filters=True))
 view("v_fused", """

@@ -1,9 +1,7 @@
 """Claims arriving as a stream."""
 
-from pyspark.sql import functions as F
-
 from claimlens.operators import audit
-from claimlens.session import shared_dir
+from claimlens.session import shared_dir, write_once
 
 
 def audit_stream(claims, secondaries_of, cat, month, out, checkpoint, facility_month=None):
@@ -29,8 +27,6 @@ def audit_stream(claims, secondaries_of, cat, month, out, checkpoint, facility_m
 
 def audit_orders(b, month="202402"):
     """The test tables' orders as a stream of claims; returns all verdicts."""
-    from claimlens.session import write_once
-
     spark = b.spark
     base = shared_dir(spark, "stream-audit")
     schema = b.raw("orders").schema
@@ -39,11 +35,12 @@ def audit_orders(b, month="202402"):
         .option("maxFilesPerTrigger", 1).parquet(b.dir)
     )
     # the stream meets these on every batch: written once
-    b.__dict__["order_parts"] = write_once(b.order_parts, f"{base}/order_parts")
+    for name in ("order_parts", "first_lines"):
+        b.__dict__[name] = write_once(b.table(name), f"{base}/{name}")
     secs = b.claim_secondaries
     q = audit_stream(
         b.claims_from(orders),
         lambda batch: secs.join(batch.select("claim_id"), "claim_id", "left_semi"),
         b, month, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("lote").withColumn("conforme", F.col("conforme"))
+    return spark.read.parquet(f"{base}/out").drop("lote")
