@@ -4,6 +4,9 @@ from pyspark.sql import Column, functions as F
 
 from claimlens.functions import fixed_values as fv
 
+# every character that Unicode counts as white space
+BLANKS = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
+
 MONEY = "decimal(14,2)"
 PERCENT = "decimal(7,2)"
 
@@ -14,7 +17,7 @@ def as_col(c):
 
 def normalise_code(code):
     """Trim, and drop the leading zero of a ten-digit procedure code."""
-    c = F.regexp_replace(as_col(code), r"(?U)^\s+|\s+$", "")
+    c = F.btrim(as_col(code), F.lit(BLANKS))
     return F.when((F.length(c) == 10) & c.startswith("0"), F.substring(c, 2, 9)).otherwise(c)
 
 

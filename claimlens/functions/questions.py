@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from claimlens.functions import fixed_values as fv
+from claimlens.functions.arrays import let
 from claimlens.functions.codes import as_col, group_description
 from claimlens.functions.text import strip
 
@@ -113,7 +114,10 @@ def is_short(question):
 
 def claim_questions(claim):
     """Search questions for one parsed claim (a struct column of operators.claim_text)."""
-    c = as_col(claim)
+    return let(as_col(claim), _claim_questions)
+
+
+def _claim_questions(c):
     fmt = fv.CLAIM_QUERY_FORMATS
     proc, diag = c["procedimento_principal"], c["diagnostico_principal"]
     pname, dcode, dname = proc["nome"], diag["cid"], diag["nome"]

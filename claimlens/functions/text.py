@@ -6,7 +6,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from claimlens.functions import fixed_values as fv
-from claimlens.functions.codes import as_col
+from claimlens.functions.codes import BLANKS, as_col
 
 # Blocks whose letters may carry accents: Latin-1 to Latin Extended-B, Latin
 # Extended Additional; combining marks are dropped.
@@ -81,8 +81,8 @@ def first_line(text):
 
 
 def strip(text):
-    """Trim all white space (``trim`` only removes blanks)."""
-    return F.regexp_replace(as_col(text), r"(?U)^\s+|\s+$", "")
+    """Trim all white space (``trim`` without a set only removes blanks)."""
+    return F.btrim(as_col(text), F.lit(BLANKS))
 
 
 def page_number(value):

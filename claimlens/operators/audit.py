@@ -265,14 +265,17 @@ def audit(claims, secondaries, cat, month, facility_month=None, bidirectional=Fa
 
 # --- value with increments --------------------------------------------------------
 def increment_sets(cat, month):
-    """Increments of a procedure as one array (one entry per row; repeats are kept).
+    """Increments of a procedure as one array, repeated rows as one entry with a count.
 
-    The array is bounded by the accreditation codes of the catalog.
+    Only distinct (accreditation, percentages) entries are gathered, so the array is
+    bounded by the accreditation codes of the catalog.
     """
-    rows = at_months(cat["rl_procedimento_incremento"], month)
-    entry = F.struct("co_habilitacao", C.percent("vl_percentual_sh").alias("sh"),
-                     C.percent("vl_percentual_sa").alias("sa"), C.percent("vl_percentual_sp").alias("sp"))
-    return rows.groupBy("co_procedimento").agg(F.sort_array(F.collect_list(entry)).alias("incrementos"))
+    entry = ["co_habilitacao", C.percent("vl_percentual_sh").alias("sh"),
+             C.percent("vl_percentual_sa").alias("sa"), C.percent("vl_percentual_sp").alias("sp")]
+    rows = at_months(cat["rl_procedimento_incremento"], month).select("co_procedimento", *entry)
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("n"))
+    return counted.groupBy("co_procedimento").agg(F.sort_array(F.collect_list(
+        F.struct("co_habilitacao", "sh", "sa", "sp", "n"))).alias("incrementos"))
 
 
 def _added(inc, scale="decimal(28,6)"):
@@ -280,6 +283,10 @@ def _added(inc, scale="decimal(28,6)"):
     return (share("vl_sh", "sh") + share("vl_sa", "sa") + share("vl_sp", "sp")).cast(scale)
 
 
+def _times(inc):
+    return (_added(inc) * inc["n"]).cast("decimal(28,6)")
+
+
 def _value_base(requests, cat, month, facility_month):
     head = first_by_key(at_months(cat["tb_procedimento"], month).select(
         "co_procedimento", C.money("vl_sh").alias("vl_sh"), C.money("vl_sa").alias("vl_sa"),
@@ -304,10 +311,10 @@ def claim_values(requests, cat, month, facility_month=None):
     drop out. The sum is exact and rounded once.
     """
     df = _value_base(requests, cat, month, facility_month)
-    none = F.expr("cast(array() as array<struct<co_habilitacao:string,sh:decimal(7,2),sa:decimal(7,2),sp:decimal(7,2)>>)")
+    none = F.expr("cast(array() as array<struct<co_habilitacao:string,sh:decimal(7,2),sa:decimal(7,2),sp:decimal(7,2),n:int>>)")
     usable = F.filter(F.coalesce("incrementos", none), lambda i: F.array_contains("tem_hab", i["co_habilitacao"]))
     extra = F.aggregate(usable, F.lit(0).cast("decimal(28,6)"),
-                        lambda s, i: (s + _added(i)).cast("decimal(28,6)"))
+                        lambda s, i: (s + _times(i)).cast("decimal(28,6)"))
     base = C.total_value("vl_sh", "vl_sa", "vl_sp")
     return df.select(
         *requests.columns, "co_procedimento", base.alias("vl_total_base"), F.size(usable).alias("n_aplicaveis"),

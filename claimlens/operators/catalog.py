@@ -53,7 +53,7 @@ def list_by_ids(table, requests, key, months=None):
 def search(table, column, text, months=None, limit=SEARCH_LIMIT, order=None):
     """Rows whose column contains the text, in any case; ordered, then limited."""
     hits = at_months(table, months).where(F.contains(F.lower(F.col(column)), F.lit(text.lower())))
-    return hits.orderBy(*(order or hits.columns)).limit(limit)
+    return hits.orderBy(*(order or hits.columns)).limit(min(limit, SEARCH_CAP))
 
 
 def search_procedures(table, text, months=None, group="", limit=SEARCH_LIMIT):
@@ -62,7 +62,7 @@ def search_procedures(table, text, months=None, group="", limit=SEARCH_LIMIT):
     hits = at_months(table, months).where(F.contains(name, fold(F.lit(text))))
     if group:
         hits = hits.where(F.col("co_procedimento").startswith(group))
-    return hits.orderBy("co_procedimento", MONTH).limit(limit)
+    return hits.orderBy("co_procedimento", MONTH).limit(min(limit, SEARCH_CAP))
 
 
 def by_prefix(table, prefix, months=None, column="co_procedimento"):
