@@ -42,26 +42,26 @@ def build_index(chunks, text="contexto", meta=(), folder=None):
     With a ``folder`` the postings are written first and all else is read from
     them: texts are then tokenised once, however often the index is used.
     """
-    postings = _postings(chunks, text, meta)
-    if folder:
-        postings = write_once(postings, f"{folder}/postings")
+    store = (lambda df, name: write_once(df, f"{folder}/{name}")) if folder else (lambda df, name: df)
+    postings = store(_postings(chunks, text, meta), "postings")
+    terms = store(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")
     # documents without any token count too, so their number comes from the chunks
-    n_docs = chunks.agg(F.count("*").alias("n_docs"))
-    total = postings.agg(F.sum("tf")).scalar()
-    corpus = n_docs.select("n_docs", (total / F.col("n_docs")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = _with_idf(df, corpus)
-    if folder:
-        corpus, terms = write_once(corpus, f"{folder}/corpus"), write_once(terms, f"{folder}/terms")
-    return {"postings": postings, "corpus": corpus, "terms": terms}
+    n = chunks.agg(F.count("*")).scalar()
+    corpus = terms.agg(
+        F.max(n).alias("n_docs"), (F.sum("cf") / F.max(n)).alias("avgdl"),
+        (F.avg(_raw_idf(n)) * fv.BM25_NEGATIVE_IDF_SHARE).alias("idf_floor"))
+    return {"postings": postings, "terms": terms, "corpus": store(corpus, "corpus")}
 
 
-def _with_idf(df, corpus):
-    """idf per term; where it is negative, a share of the mean idf over all terms."""
-    n = corpus.select("n_docs").scalar()
-    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg(F.avg("raw")).scalar() * fv.BM25_NEGATIVE_IDF_SHARE
-    return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+def _raw_idf(n):
+    return F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def term_idf(index):
+    """(term, df, idf); a negative idf is replaced by a share of the mean over all terms."""
+    c = index["corpus"].select(F.struct("n_docs", "idf_floor")).scalar()
+    raw = index["terms"].select("term", "df", _raw_idf(c["n_docs"]).alias("raw"))
+    return raw.select("term", "df", F.when(F.col("raw") < 0, c["idf_floor"]).otherwise(F.col("raw")).alias("idf"))
 
 
 def cluster_postings(index, folder):
@@ -102,7 +102,7 @@ def score(questions, index, keys=("query_id",), text="pergunta", filters=(), whe
     fcols = [f"f_{c}" for c in filters]
     terms = questions.select(*keys, *fcols, F.explode(tokens(text)).alias("term")).groupBy(
         *keys, *fcols, "term").agg(F.count("*").alias("qtf"))
-    terms = terms.join(index["terms"].select("term", "idf"), "term")
+    terms = terms.join(term_idf(index).select("term", "idf"), "term")
     avgdl = index["corpus"].select("avgdl").scalar()
     k1, b = fv.BM25_K1, fv.BM25_B
     hits = index["postings"].where(match_filter(where)).join(terms, "term").where(_passes(filters))

@@ -24,19 +24,24 @@ def reciprocal_rank_fusion(lists, keys=("query_id",), k=fv.RRF_K, fusion="concat
         F.round(F.sum(F.lit(1.0) / (F.col("_rank") + F.lit(k))), ROUND).alias("score"))
 
 
-def rerank(candidates, scores, keys=("query_id",), top=10):
-    """Replace scores by those of a reranker; candidates without a score drop out.
+def rerank_scores(candidates, scores, keys=("query_id",)):
+    """Candidates with a ``rerank`` column, NULL where the reranker gives none.
 
-    ``scores``: frame of (keys, id, rerank), or a function that makes one from the
-    candidates (for example with a pandas UDF over question and text), or None:
-    then the candidates are only cut.
+    ``scores``: a frame of (keys, id, rerank), or a function that adds the column to
+    the candidates (for example a pandas UDF over question and text).
     """
-    keys = list(keys)
+    if callable(scores):
+        return scores(candidates)
+    return candidates.join(scores.select(*keys, "id", "rerank"), [*keys, "id"], "left")
+
+
+def rerank(candidates, scores, keys=("query_id",), top=10):
+    """Replace scores by those of a reranker; candidates without one drop out. Without
+    a reranker the candidates are only cut."""
     if scores is not None:
-        table = scores(candidates) if callable(scores) else scores
-        candidates = candidates.drop("score").join(
-            table.select(*keys, "id", F.col("rerank").cast("double").alias("score")), [*keys, "id"])
-    return top_n(candidates, keys, [F.desc("score"), "id"], top).drop("posicao")
+        candidates = rerank_scores(candidates, scores, keys).where("rerank is not null").withColumn(
+            "score", F.col("rerank").cast("double")).drop("rerank")
+    return top_n(candidates, list(keys), [F.desc("score"), "id"], top).drop("posicao")
 
 
 def resolve_parents(results, parent_map, keys=("query_id",), carry=()):

@@ -16,6 +16,7 @@ from claimlens.functions.codes import as_col
 from claimlens.functions.text import drop_context_prefix, first_line, page_number
 from claimlens.operators import bm25, fusion, vector
 from claimlens.operators.catalog import top_n
+from claimlens.session import shared_dir, write_once
 
 FILTERS = ("ano", "tipo")
 
@@ -56,17 +57,19 @@ def hybrid(questions, c: Corpus, n=5, decompose=True, parents=True, fusion_mode=
     near = vector.search(c.embed(subs), c.vectors, keys=keys, filters=FILTERS)
     lists = words.withColumn("lista", F.lit("bm25")).unionByName(near.withColumn("lista", F.lit("vetor")))
     fused = fusion.reciprocal_rank_fusion(lists, fusion=fusion_mode)
-    kind = questions.select("query_id", (F.lit(c.reranker is None) | Q.is_short("pergunta")).alias("short"))
-    fused = fused.join(kind, "query_id")
     order = [F.desc("score"), "id"]
     pool = top_n(fused, "query_id", order, max(fv.MIN_RERANK_POOL, 3 * n)).drop("posicao")
-    plain = top_n(pool.where("short"), "query_id", order, 2 * n).drop("posicao", "short")
-    kept = plain.withColumn("score_kind", F.lit("rrf"))
-    if c.reranker is not None:
-        has_text = c.chunks.where(F.coalesce("texto", F.lit("")) != "").select("id")
-        asked = pool.where(~F.col("short")).drop("short").join(has_text, "id", "left_semi")
-        ranked = fusion.rerank(asked, c.reranker, top=2 * n).withColumn("score_kind", F.lit("rerank"))
-        kept = kept.unionByName(ranked.select(kept.columns))
+    if c.reranker is None:
+        scored = pool.withColumn("score_kind", F.lit("rrf"))
+    else:
+        # one path for short and long questions, so that the retrieval runs once
+        short = questions.select("query_id", Q.is_short("pergunta").alias("short"))
+        has_text = c.chunks.where(F.coalesce("texto", F.lit("")) != "").select("id", F.lit(True).alias("_text"))
+        both = fusion.rerank_scores(pool.join(short, "query_id"), c.reranker).join(has_text, "id", "left")
+        usable = F.when(F.col("short"), F.col("score")).when(F.col("_text"), F.col("rerank").cast("double"))
+        scored = both.withColumn("score_kind", F.when(F.col("short"), "rrf").otherwise("rerank")).withColumn(
+            "score", usable).where("score is not null")
+    kept = top_n(scored.select("query_id", "id", "score", "score_kind"), "query_id", order, 2 * n).drop("posicao")
     if parents and c.parent_map is not None:
         kept = fusion.resolve_parents(kept, c.parent_map, carry=["score_kind"])
     known = kept.join(c.chunks.select("id"), "id", "left_semi")
@@ -98,7 +101,10 @@ def search_texts(requests, c: Corpus, n, mode="hybrid", decompose=False):
     Requests repeat questions a great deal (claims of one ward share most of
     theirs), so the text itself is the search key and hits are joined back.
     """
-    texts = requests.select("pergunta").distinct().withColumn("query_id", F.col("pergunta"))
+    spark = requests.sparkSession
+    # written once: the vector search looks at the questions more than once
+    texts = write_once(requests.select("pergunta").distinct(), shared_dir(spark, "questions"))
+    texts = texts.withColumn("query_id", F.col("pergunta"))
     options = {"decompose": decompose} if mode == "hybrid" else {}
     hits = search(texts, c, n, mode, **options).select(F.col("query_id").alias("pergunta"), "id", "score")
     return requests.select("request_id", "ordem", "pergunta").join(hits, "pergunta")

@@ -34,7 +34,7 @@ def _(b):
 
 @query("bm25_terms", "SELECT term, df, round(idf, 6) AS idf FROM v_terms")
 def _(b):
-    return bm25.build_index(b.chunks)["terms"].select("term", "df", r6("idf"))
+    return bm25.term_idf(bm25.build_index(b.chunks)).select("term", "df", r6("idf"))
 
 
 view("v_plain_q", "SELECT query_id, pergunta AS texto FROM v_questions")

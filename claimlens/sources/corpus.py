@@ -31,17 +31,15 @@ def discover(spark, folder, extensions=None, with_content=True):
     return files.where(ext.isin(exts) & ~hidden).select(*cols)
 
 
-def spread(df, key, target_bytes=64 << 20):
-    """Spread an input that is too small to give every core a share.
+def spread(df, key):
+    """Spread an input whose scan has fewer partitions than there are cores.
 
     Row-local text work is bound by the number of scan tasks, and a small table is
-    often a single Parquet row group. Only inputs below ``target_bytes`` per core
-    are moved (by hash of a key); larger ones keep their scan partitions, so that
-    big texts are never shuffled for this.
+    often a single file. A large table has more scan partitions than cores and is
+    left as it is: its texts are not shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * target_bytes else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def path_year(path):
