@@ -34,13 +34,15 @@ class Bound:
     """Lazily derived tables for one data folder."""
 
     def __init__(self, spark, sf_dir):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._read = spark, sf_dir, {}
 
     TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
     def raw(self, name):
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return corpus.spread(df, self.TEXT_KEYS[name]) if name in self.TEXT_KEYS else df
+        if name not in self._read:
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            self._read[name] = corpus.spread(df, self.TEXT_KEYS[name]) if name in self.TEXT_KEYS else df
+        return self._read[name]
 
     def table(self, name):
         return getattr(self, name)

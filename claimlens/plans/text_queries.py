@@ -346,14 +346,16 @@ def _(b):
 
 # --- sinks ------------------------------------------------------------------------------------
 @query("replace_by_source", """
-SELECT id, fonte, length(contexto) AS n FROM v_chunks WHERE fonte NOT IN (SELECT fonte FROM v_chunks WHERE doc_id % 11 = 0)
-UNION ALL SELECT id || '_novo', fonte, length(text) FROM v_chunks WHERE doc_id % 11 = 0""")
+WITH novo AS (SELECT d.* FROM documents d JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT id, fonte, length(contexto) AS n FROM v_chunks WHERE fonte NOT IN (SELECT source FROM novo)
+UNION ALL SELECT 'd' || doc_id || '_novo', source, length(text) FROM novo""")
 def _(b):
-    kept = ["id", "fonte", "contexto"]
-    # the new edition: sources that have a document divisible by 11, with new rows
-    new = b.raw("documents").where("doc_id % 11 = 0").select(
+    # the new edition: the documents labelled toxic, with new ids; their sources are replaced
+    toxic = b.raw("labels").where("toxic = 1").select("doc_id")
+    new = b.raw("documents").join(toxic, "doc_id").select(
         F.concat(F.lit("d"), "doc_id", F.lit("_novo")).alias("id"), F.col("source").alias("fonte"), F.col("text").alias("contexto"))
-    return sinks.replace_by_source(b.chunks.select(*kept), new).select("id", "fonte", F.length("contexto").cast("long").alias("n"))
+    return sinks.replace_by_source(b.chunks.select("id", "fonte", "contexto"), new).select(
+        "id", "fonte", F.length("contexto").cast("long").alias("n"))
 
 
 @query("vector_collection", """
