@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,27 @@ def build_session(app="claimlens", master=None, shuffle_partitions=None, extra=N
     return b.getOrCreate()
 
 
+def ship_package(spark):
+    """Give this package to the Python workers, once per Spark context.
+
+    Functions are sent to workers by module name, so the package must be importable
+    there whatever folder the driver was started in.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_claimlens_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="claimlens-code-"), "claimlens.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for here, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(here, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(name)
+    sc._claimlens_shipped = True
+
+
 def shared_dir(spark, label):
     """A new folder under the cluster's checkpoint folder.
 
