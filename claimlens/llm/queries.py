@@ -21,6 +21,18 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark, sf_dir):
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe_words(spark, sf_dir):
+    from .bpe_words import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard_join, op4_benchmark_decontamination, op5_quality_rules)}
+    op2_ngram_jaccard_join, op3_language_id, op4_benchmark_decontamination, op5_quality_rules, op7_bpe_words)}
 SQL = {"op4_benchmark_decontamination": decontam.SQL, "op5_quality_rules": quality_rules.SQL}
