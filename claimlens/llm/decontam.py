@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from claimlens.session import write_once
 
-from .work import folder
+from .work import bitmap, folder, in_bitmap
 
 #: Fixed values of the word rule: A-Z become a-z, words are runs outside these characters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Longest shingle, and bits of the bitmap.
+#: Longest shingle.
 SHINGLE = 5
-BITS = 1 << 22
 
 
 def _words(text):
@@ -46,23 +45,7 @@ def _spots(rows, lengths, bits=None):
         h = F.when(F.col("k") == k, F.xxhash64(*[F.get(w, F.col("pos") + j) for j in range(k)])).otherwise(h)
     out = (rows.select("*", F.explode(every).alias("at")).select(*rows.columns, pos.alias("pos"), F.pmod("at", F.lit(8)).alias("k"))
            .select(*rows.columns, "pos", "k", h.alias("h")))
-    return out if bits is None else out.filter((F.col("pos") < 0) | _in(bits, F.col("h")))
-
-
-def _bitmap(hashes):
-    """One row: the bitmap of a hash column as a full array of longs."""
-    n = BITS // 64
-    spark = hashes.sparkSession
-    some = hashes.select(F.pmod("h", F.lit(BITS)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("i")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
-    full = spark.range(n).select(F.col("id").cast("int").alias("i")).join(some, "i", "left")
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", F.lit(0).cast("long")).alias("v")))),
-                                lambda x: x["v"]).alias("bits"))
-
-
-def _in(bits, h):
-    bit = F.pmod(h, F.lit(BITS))
-    return F.getbit(F.get(bits, (bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+    return out if bits is None else out.filter((F.col("pos") < 0) | in_bitmap(bits, F.col("h")))
 
 
 def windows(items, id_col="item_id", text_col="text", width=13):
@@ -94,7 +77,7 @@ def contamination(docs, items, id_col="doc_id", text_col="text", item_id="item_i
     lengths = sorted(r[0] for r in distinct.select(k_of).distinct().collect())
     tokens = write_once(_spots(distinct.withColumn("w", F.split("wtext", " ")), lengths).filter("pos >= 0 and k = least(len, 5)")
                         .select("wtext", "len", "k", F.col("pos").alias("off"), "h"), folder(spark, "op4-tokens"))
-    bits = _bitmap(tokens.select("h").distinct()).scalar()
+    bits = bitmap(tokens.select("h").distinct()).scalar()
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                         _words(F.col(text_col).cast("string")).alias("w"))
     begin = F.greatest(F.col("pos") - width, F.lit(0))

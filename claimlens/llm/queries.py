@@ -27,6 +27,12 @@ def op3_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_words(spark, sf_dir):
     from .bpe_words import encode_digests
 
@@ -34,5 +40,5 @@ def op7_bpe_words(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard_join, op3_language_id, op4_benchmark_decontamination, op5_quality_rules, op7_bpe_words)}
+    op2_ngram_jaccard_join, op3_language_id, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_dedup, op7_bpe_words)}
 SQL = {"op4_benchmark_decontamination": decontam.SQL, "op5_quality_rules": quality_rules.SQL}
