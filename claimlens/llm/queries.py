@@ -7,6 +7,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_tree(spark, sf_dir):
+    from .html_tree import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     from .jaccard_join import ngram_components
 
@@ -39,6 +45,25 @@ def op7_bpe_words(spark, sf_dir):
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_network(spark, sf_dir):
+    from .quality_net import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_spans(spark, sf_dir):
+    from .token_spans import section_tokens
+
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark, sf_dir):
+    from .secret_cnn import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_jaccard_join, op3_language_id, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_dedup, op7_bpe_words)}
+    op1_html_tree, op2_ngram_jaccard_join, op3_language_id, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_dedup, op7_bpe_words,
+    op8_quality_network, op9_token_spans, op10_secret_scan)}
 SQL = {"op4_benchmark_decontamination": decontam.SQL, "op5_quality_rules": quality_rules.SQL}
