@@ -130,7 +130,7 @@ def _tokens_of(s, own, sizes, band, plan, costs):
     total = np.add.reduceat(m, at) if len(at) else m
     cost = np.minimum.reduceat(costs[(s >> np.uint64(46)).astype(np.int64)], at) if len(at) else np.zeros(0, np.int64)
     g_own, g_seg = own[at], seg[at]
-    tag = lambda sg: T.mix(np.uint64(band * 0x10001 + 7) * np.uint64(0x9E3779B97F4A7C15) + sg.astype(np.uint64))
+    tag = lambda sg: T.mix(np.uint64((band * 0x10001 + 7) * 0x9E3779B97F4A7C15 % (1 << 64)) + sg.astype(np.uint64))
     rows, tokens = [], []
     present = np.unique(own)
     if wide:
@@ -228,7 +228,8 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
     * An empty table gives an empty frame; other columns are ignored.
 
     Rounds of candidates: every set against the smallest set it meets, then every
-    meeting-place against its smallest set, then all meetings between different
+    meeting-place's sets outside its largest component against some set of that (one
+    by hash for each place, so a set meets many), then all meetings between different
     components. Pairs that earlier rounds have connected are not compared again.
     """
     spark = docs.sparkSession
@@ -270,14 +271,16 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
         comp = write_once(components(links), folder(spark, "op2-comp"))
         tagged = met.join(comp, met.doc_id == comp.node, "left").select(
             "token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        span = tagged.groupBy("token").agg(F.min(F.struct("c", "doc_id")).alias("low"), F.max("c").alias("hi")).filter("low.c < hi")
+        parts = tagged.groupBy("token", "c").agg(
+            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "token").alias("x"), "doc_id")).alias("pick"))
+        span = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c", "pick")).alias("top")).filter("parts > 1")
         if every:
             left = tagged.join(span.select("token"), "token")
             other = left.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
             cand = left.join(other, "token").filter("doc_id < b and c <> cb").select(F.col("doc_id").alias("a"), "b")
         else:
-            cand = (tagged.join(span, "token").filter("c <> low.c")
-                    .select(F.least("low.doc_id", "doc_id").alias("a"), F.greatest("low.doc_id", "doc_id").alias("b")))
+            cand = (tagged.join(span.select("token", F.col("top.c").alias("tc"), F.col("top.pick.doc_id").alias("r")), "token").filter("c <> tc")
+                    .select(F.least("r", "doc_id").alias("a"), F.greatest("r", "doc_id").alias("b")))
         cand = write_once(cand.distinct().join(done, ["a", "b"], "left_anti"), folder(spark, "op2-pairs"))
         done = done.unionByName(cand)
         links = write_once(links.unionByName(_verified(cand, sets)), folder(spark, "op2-links"))
