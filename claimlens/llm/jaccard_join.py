@@ -27,7 +27,11 @@ from .work import folder
 NUM, DEN = 75, 100
 #: Counters of the frequency sketch; only the order of costs depends on it, no result.
 SKETCH = 1 << 18
-_EMPTY = np.uint64(0xA5A5A5A5A5A5A5A5)
+#: A shingle is common if its counter is above so many times the mean, and this number.
+COMMON, COMMON_LEAST = 8, 50
+#: Longs of marks per set: a mark that only one set has stands for a shingle that the other lacks.
+MARKS = 16
+_SINGLE = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def max_partner(size):
@@ -57,7 +61,7 @@ def allocate(sets_by_band):
         for wide in (0, 1, 2, 3):
             narrow = max(0, need - 2 * wide)
             if narrow:
-                narrow = max(narrow, math.ceil(1.3 * narrow))
+                narrow = math.ceil(2 * narrow)
             units = 2 * wide + narrow
             if units == 0:
                 continue
@@ -116,7 +120,7 @@ def _add_cells(batches):
                                          ["n", "cells"])
 
 
-def _tokens_of(s, own, sizes, band, plan, costs):
+def _tokens_of(s, own, sizes, band, plan, costs, bound):
     """(row, token) of the rows of one band, ``sizes`` being per row."""
     wide, narrow = plan[band]
     units = max(1, 2 * wide + narrow)
@@ -132,8 +136,8 @@ def _tokens_of(s, own, sizes, band, plan, costs):
     g_own, g_seg = own[at], seg[at]
     tag = lambda sg: T.mix(np.uint64((band * 0x10001 + 7) * 0x9E3779B97F4A7C15 % (1 << 64)) + sg.astype(np.uint64))
     rows, tokens = [], []
-    present = np.unique(own)
     if wide:
+        present = np.unique(own)
         is_wide = g_seg < wide
         rows.append(g_own[is_wide])
         tokens.append(T.mix(total[is_wide] ^ tag(g_seg[is_wide])))
@@ -156,22 +160,24 @@ def _tokens_of(s, own, sizes, band, plan, costs):
     first = np.searchsorted(n_own, np.arange(len(sizes) + 1))
     rank = np.arange(len(n_own)) - first[n_own] if len(n_own) else np.zeros(0, np.int64)
     take = rank < prefix[n_own]
-    rows.append(n_own[take])
-    tokens.append(n_tok[take])
-    # too few subsets: the empty ones, last in the order, complete the prefix
-    have = np.diff(first)
-    for r in present[(prefix[present] > have[present]) & (narrow > have[present])]:
-        used = g_seg[is_n & (g_own == r)]
-        empties = np.setdiff1d(np.arange(wide, wide + narrow), used)
-        tok = np.sort(T.mix(_EMPTY ^ tag(empties)))[: int(prefix[r] - have[r])]
-        rows.append(np.full(len(tok), r))
-        tokens.append(tok)
+    common = n_cost[order] >= bound
+    rows.append(n_own[take & ~common])
+    tokens.append(n_tok[take & ~common])
+    # too few subsets with a rare shingle: single shingles instead of common or empty subsets
+    have = np.bincount(n_own[~common], minlength=len(sizes))
+    forced = prefix > np.maximum(have, 0)
+    rare = costs[(s >> np.uint64(46)).astype(np.int64)] < bound
+    n_common = np.bincount(own[~rare], minlength=len(sizes))
+    single = forced[own] & (rare | (DEN * n_common >= NUM * sizes)[own])
+    rows.append(own[single])
+    tokens.append(T.mix(s[single] ^ _SINGLE))
     return np.concatenate(rows), np.concatenate(tokens)
 
 
 def _tokens(plan, costs_b):
     def run(batches):
         costs = np.frombuffer(costs_b.value, "<i8")
+        bound = max(COMMON_LEAST, int(COMMON * costs.mean()))
         for batch in batches:
             raw, off = T.utf8(batch.column(1))
             ids = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
@@ -191,7 +197,7 @@ def _tokens(plan, costs_b):
                         if not pick.any() or int(b) not in plan:
                             continue
                         el = pick[own]
-                        r, t = _tokens_of(s[el], own[el], sizes, int(b), plan, costs)
+                        r, t = _tokens_of(s[el], own[el], sizes, int(b), plan, costs, bound)
                         rows.append(r)
                         toks.append(t)
                 if rows:
@@ -207,7 +213,11 @@ def _sets(batches):
             s, own = T.shingle_sets(raw, off, i, j)
             at = np.searchsorted(own, np.arange(j - i + 1)).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(at), pa.array(s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), sets], ["doc_id", "shingles"])
+            marks = np.zeros((j - i, 64 * MARKS), bool)
+            marks[own, (s & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
+            bits = np.packbits(marks, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), sets, *[pa.array(bits[:, k]) for k in range(MARKS)]],
+                                             ["doc_id", "shingles", *[f"m{k}" for k in range(MARKS)]])
 
 
 def _verified(pairs, sets):
@@ -260,7 +270,8 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
     met = write_once(tokens.withColumn("lead", lead).withColumn("last", size).filter("lead < last")
                      .select("token", "doc_id").join(copies, "doc_id", "left_anti"), folder(spark, "op2-met"))
     involved = met.select("doc_id").distinct()
-    sets = write_once(src.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"),
+    sets = write_once(src.join(involved, "doc_id", "left_semi").mapInArrow(
+        _sets, "doc_id long, shingles array<long>, " + ", ".join(f"m{k} long" for k in range(MARKS))),
                       folder(spark, "op2-shingles"))
 
     stars = met.join(met.groupBy("token").agg(F.min("doc_id").alias("a")), "token").filter("a < doc_id")
@@ -275,9 +286,13 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
             F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "token").alias("x"), "doc_id")).alias("pick"))
         span = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c", "pick")).alias("top")).filter("parts > 1")
         if every:
-            left = tagged.join(span.select("token"), "token")
-            other = left.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-            cand = left.join(other, "token").filter("doc_id < b and c <> cb").select(F.col("doc_id").alias("a"), "b")
+            marks = [f"m{k}" for k in range(MARKS)]
+            left = tagged.join(span.select("token"), "token").join(sets.select("doc_id", F.size("shingles").alias("n"), *marks), "doc_id")
+            other = left.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), *[F.col(m).alias(f"b{m}") for m in marks])
+            # the sets differ by one shingle per such mark at least: an exact bound on the distance of linked sets
+            apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in marks), F.lit(0))
+            near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("n") + F.col("nb"))
+            cand = left.join(other, "token").filter("doc_id < b and c <> cb").filter(near).select(F.col("doc_id").alias("a"), "b")
         else:
             cand = (tagged.join(span.select("token", F.col("top.c").alias("tc"), F.col("top.pick.doc_id").alias("r")), "token").filter("c <> tc")
                     .select(F.least("r", "doc_id").alias("a"), F.greatest("r", "doc_id").alias("b")))
