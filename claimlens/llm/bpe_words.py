@@ -217,7 +217,9 @@ def decode(encoded, path=None, id_col="doc_id", ids_col="ids"):
     spark = encoded.sparkSession
     vocab = load(path or tokenizer_path()).get_vocab()
     table = spark.createDataFrame([(i, p) for p, i in vocab.items()], "id int, piece string")
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.posexplode_outer(ids_col).alias("pos", "id"))
+    # numbered before the ids become rows
+    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    rows = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
     return (rows.join(F.broadcast(table), "id", "left").groupBy("row", "doc_id")
             .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
             .select("doc_id", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("text")))

@@ -40,9 +40,8 @@ def max_partner(size):
 
 
 def max_distance(a, b):
-    """The most shingles in which linked sets of sizes a and b differ."""
-    least = -(-(NUM * (a + b)) // (NUM + DEN))
-    return a + b - 2 * least
+    """No fewer shingles than those in which linked sets of sizes up to a and b differ (it grows with both)."""
+    return (a + b) * (DEN - NUM) // (DEN + NUM)
 
 
 def band_of(size):
@@ -150,9 +149,9 @@ def _tokens_of(s, own, sizes, band, plan, costs, bound):
             rows.append(gone)
             tokens.append(T.mix(np.zeros(len(gone), np.uint64) ^ tag(np.full(len(gone), w))))
     # the distance to any partner that meets this set in this band
-    partner = np.minimum(hi, sizes * DEN // NUM)
-    least = -(-(NUM * (sizes + partner)) // (NUM + DEN))
-    prefix = sizes + partner - 2 * least - 2 * wide + 1
+    # (larger sets come down to their partners' band)
+    partner = np.where(sizes > hi, hi, sizes * DEN // NUM)
+    prefix = max_distance(sizes, partner) - 2 * wide + 1
     is_n = g_seg >= wide
     n_own, n_tok, n_cost = g_own[is_n], T.mix(total[is_n] ^ tag(g_seg[is_n])), cost[is_n]
     order = np.lexsort((n_tok, n_cost, n_own))
