@@ -39,9 +39,12 @@ def _postings(chunks, text, meta):
 def build_index(chunks, text="contexto", meta=(), folder=None):
     """Postings (term, id, tf, dl, metadata), term statistics and corpus statistics.
 
-    With a ``folder`` the postings are written first and all else is read from
-    them: texts are then tokenised once, however often the index is used.
+    Parents (``is_parent``, where the column exists) are context for their children
+    and are not indexed. With a ``folder`` the postings are written first and all else
+    is read from them: texts are then tokenised once, however often the index is used.
     """
+    if "is_parent" in chunks.columns:
+        chunks = chunks.filter(~F.coalesce("is_parent", F.lit(False)))
     store = (lambda df, name: write_once(df, f"{folder}/{name}")) if folder else (lambda df, name: df)
     postings = store(_postings(chunks, text, meta), "postings")
     terms = store(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "terms")

@@ -15,7 +15,7 @@ from claimlens.functions.text import contains_folded, fold
 from claimlens.sources.schemas import MONTH
 from claimlens.sources.snapshots import at_months
 
-SEARCH_LIMIT, SEARCH_CAP, SUGGEST_CAP = 50, 100, 200
+SEARCH_LIMIT = 50
 
 
 def list_all(table, months=None):
@@ -51,18 +51,20 @@ def list_by_ids(table, requests, key, months=None):
 
 
 def search(table, column, text, months=None, limit=SEARCH_LIMIT, order=None):
-    """Rows whose column contains the text, in any case; ordered, then limited."""
+    """Rows whose column contains the text, in any case; ordered, then limited (``None``: all)."""
     hits = at_months(table, months).where(F.contains(F.lower(F.col(column)), F.lit(text.lower())))
-    return hits.orderBy(*(order or hits.columns)).limit(min(limit, SEARCH_CAP))
+    hits = hits.orderBy(*(order or hits.columns))
+    return hits if limit is None else hits.limit(limit)
 
 
 def search_procedures(table, text, months=None, group="", limit=SEARCH_LIMIT):
-    """Name search without regard to case or accents, with an optional code prefix."""
+    """Name search without regard to case or accents, with an optional code prefix (``limit=None``: all)."""
     name = F.coalesce(F.nullif(F.col("no_procedimento_normalizado"), F.lit("")), fold("no_procedimento"))
     hits = at_months(table, months).where(F.contains(name, fold(F.lit(text))))
     if group:
         hits = hits.where(F.col("co_procedimento").startswith(group))
-    return hits.orderBy("co_procedimento", MONTH).limit(min(limit, SEARCH_CAP))
+    hits = hits.orderBy("co_procedimento", MONTH)
+    return hits if limit is None else hits.limit(limit)
 
 
 def by_prefix(table, prefix, months=None, column="co_procedimento"):
@@ -239,10 +241,11 @@ def increments_named(cat, month):
 
 
 def top_n(df, partition, order, n, rank="posicao"):
-    """First n rows per partition. The rank filter lets Spark cut groups before the shuffle."""
+    """First n rows per partition (``None``: all, ranked). The rank filter lets Spark cut groups before the shuffle."""
     parts = [partition] if isinstance(partition, str) else list(partition)
     w = W.partitionBy(*parts).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col(rank) <= n)
 
 
 def suggest_procedures(cat, month, diagnoses=None, limit=30):
@@ -258,8 +261,7 @@ def suggest_procedures(cat, month, diagnoses=None, limit=30):
         C.total_value(C.money("vl_sh"), C.money("vl_sa"), C.money("vl_sp")).alias("vl_total")), "co_procedimento")
     known = at_months(cat["tb_cid"], month).groupBy("co_cid").agg(F.min("no_cid").alias("no_cid"))
     rows = rel.distinct().join(proc, "co_procedimento").join(known, "co_cid")
-    return top_n(rows, "co_cid", [F.desc("vl_total"), "co_procedimento", "st_principal"],
-                 min(limit, SUGGEST_CAP))
+    return top_n(rows, "co_cid", [F.desc("vl_total"), "co_procedimento", "st_principal"], limit)
 
 
 # --- snapshot comparison ------------------------------------------------------------

@@ -58,11 +58,13 @@ def shared_dir(spark, label):
     """A new folder under the cluster's checkpoint folder.
 
     The cluster names the folder in ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder is chosen and recorded, so
-    that later calls agree.
+    unset in local mode (tests on one machine) a temporary folder is chosen and
+    recorded, so that later calls agree; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="claimlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
