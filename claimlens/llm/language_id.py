@@ -197,10 +197,10 @@ def _predict(model, held):
         known, scores = {}, np.zeros((0, prob.shape[1]))
         for batch in batches:
             texts = batch.column(1)
-            for i in range(0, batch.num_rows, 1000):
-                part = texts.slice(i, 1000).to_pylist()
+            for i in range(0, batch.num_rows, 500):
+                part = texts.slice(i, 500).to_pylist()
                 found, new, first = [], [], [0]
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known, scores = {}, np.zeros((0, prob.shape[1]))
                 letters = np.zeros(len(part), bool)
                 for r, t in enumerate(part):
@@ -229,7 +229,7 @@ def _predict(model, held):
                 ok = letters & bool(names)
                 lang = [names[b] if k else "und" for b, k in zip(best, ok, strict=True)]
                 score = np.where(ok, p[np.arange(len(part)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1000) for c in held], pa.array(lang, pa.string()), pa.array(score)],
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 500) for c in held], pa.array(lang, pa.string()), pa.array(score)],
                                                  [*[batch.schema.names[c] for c in held], "lang_pred", "score"])
     return run
 
