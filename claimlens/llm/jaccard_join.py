@@ -205,26 +205,62 @@ def _tokens(plan, costs_b):
     return run
 
 
-def _sets(batches):
+def _marks(batches):
+    """Set size and marks of each row: MARKS longs, and a bitmap of at least one bit per shingle."""
     for batch in batches:
         raw, off = T.utf8(batch.column(1))
         for i, j in T.blocks(off):
             s, own = T.shingle_sets(raw, off, i, j)
-            at = np.searchsorted(own, np.arange(j - i + 1)).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(at), pa.array(s.view(np.int64)))
+            n = np.bincount(own, minlength=j - i)
             marks = np.zeros((j - i, 64 * MARKS), bool)
             marks[own, (s & np.uint64(64 * MARKS - 1)).astype(np.int64)] = True
             bits = np.packbits(marks, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), sets, *[pa.array(bits[:, k]) for k in range(MARKS)]],
-                                             ["doc_id", "shingles", *[f"m{k}" for k in range(MARKS)]])
+            width = np.maximum(64 * MARKS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+            first = np.concatenate(([0], np.cumsum(width)))
+            wide = np.zeros(first[-1], bool)
+            wide[first[own] + (s & (width[own] - 1).astype(np.uint64)).astype(np.int64)] = True
+            wide = pa.ListArray.from_arrays(pa.array((first // 64).astype(np.int32)), pa.array(np.packbits(wide, bitorder="little").view("<i8")))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), wide, *[pa.array(bits[:, k]) for k in range(MARKS)]],
+                                             ["doc_id", "n", "wide", *[f"m{k}" for k in range(MARKS)]])
 
 
-def _verified(pairs, sets):
-    """The pairs (a, b) that link: 100 * intersection >= 75 * union."""
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .filter(DEN * both >= NUM * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+def _compare(batches):
+    """The rows (a, b, text of a, text of b) whose sets link."""
+    for batch in batches:
+        (raw_a, off_a), (raw_b, off_b) = T.utf8(batch.column(2)), T.utf8(batch.column(3))
+        for i, j in T.blocks(off_a):
+            (sa, oa), (sb, ob) = T.shingle_sets(raw_a, off_a, i, j), T.shingle_sets(raw_b, off_b, i, j)
+            s, own = np.concatenate((sa, sb)), np.concatenate((oa, ob))
+            order = np.lexsort((s, own))
+            s, own = s[order], own[order]
+            both = np.bincount(own[1:][(s[1:] == s[:-1]) & (own[1:] == own[:-1])], minlength=j - i)
+            linked = DEN * both >= NUM * (np.bincount(own, minlength=j - i) - both)
+            at = pa.array(i + np.flatnonzero(linked & (both > 0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+
+def _linked(pairs, marks, texts):
+    """The pairs (a, b) that link: 100 * intersection >= 75 * union.
+
+    Bitmaps drop what cannot link; only the others' texts (smaller than their sets) are sent and compared.
+    """
+    def halved(x):
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
+
+    def side(k):
+        return marks.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
+
+    # bitmaps of linked sets differ in length by a factor of two at most; the longer one is folded
+    wa = F.when(F.size("wa") > F.size("wb"), halved("wa")).otherwise(F.col("wa"))
+    wb = F.when(F.size("wb") > F.size("wa"), halved("wb")).otherwise(F.col("wb"))
+    apart = F.aggregate(F.zip_with(wa, wb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    near = (pairs.join(side("a"), "a").join(side("b"), "b").filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
+            .filter((NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
+    near = write_once(near, folder(pairs.sparkSession, "op2-near"))
+    return (near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+            .select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long"))
 
 
 def ngram_components(docs, id_col="doc_id", text_col="text"):
@@ -261,43 +297,47 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
 
     nodes = rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = write_once(rows.join(nodes, ["h1", "h2"], "left").select("doc_id", "n", "rep"), folder(spark, "op2-member"))
-    copies = member.filter("n > 0 and doc_id <> rep").select("doc_id")
+    # an id that has a text of its own besides a copy stays
+    copies = member.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.every(F.expr("doc_id <> rep")).alias("copy")).filter("copy").select("doc_id")
 
     tokens = src.filter("doc_id is not null").mapInArrow(_tokens(plan, costs), "doc_id long, token long")
-    lead = F.min("doc_id").over(_by_token())
-    size = F.max("doc_id").over(_by_token())
-    met = write_once(tokens.withColumn("lead", lead).withColumn("last", size).filter("lead < last")
-                     .select("token", "doc_id").join(copies, "doc_id", "left_anti"), folder(spark, "op2-met"))
-    involved = met.select("doc_id").distinct()
-    sets = write_once(src.join(involved, "doc_id", "left_semi").mapInArrow(
-        _sets, "doc_id long, shingles array<long>, " + ", ".join(f"m{k} long" for k in range(MARKS))),
-                      folder(spark, "op2-shingles"))
-
-    stars = met.join(met.groupBy("token").agg(F.min("doc_id").alias("a")), "token").filter("a < doc_id")
-    first = stars.groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = write_once(_verified(first, sets), folder(spark, "op2-links"))
-    done = first
+    # the smallest id at a token is no copy: the set it came with has no smaller id
+    met = write_once(tokens.withColumn("lead", F.min("doc_id").over(_by_token())).withColumn("last", F.max("doc_id").over(_by_token()))
+                     .filter("lead < last").select("token", "doc_id", "lead").join(copies, "doc_id", "left_anti"), folder(spark, "op2-met"))
+    involved = write_once(met.select("doc_id").distinct(), folder(spark, "op2-involved"))
+    texts = write_once(src.join(involved, "doc_id", "left_semi"), folder(spark, "op2-texts"))
+    marks = write_once(texts.mapInArrow(_marks, "doc_id long, n long, wide array<long>, " + ", ".join(f"m{k} long" for k in range(MARKS))),
+                       folder(spark, "op2-marks"))
+
+    first = write_once(met.filter("lead < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"),
+                       folder(spark, "op2-pairs"))
+    links = write_once(_linked(first, marks, texts), folder(spark, "op2-links"))
+    done, live = first, met.select("token", "doc_id")
     for every in (False, True):
         comp = write_once(components(links), folder(spark, "op2-comp"))
-        tagged = met.join(comp, met.doc_id == comp.node, "left").select(
-            "token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        parts = tagged.groupBy("token", "c").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "token").alias("x"), "doc_id")).alias("pick"))
-        span = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c", "pick")).alias("top")).filter("parts > 1")
+        # meeting-places of one component are settled for good
+        live = write_once(
+            live.join(comp, live.doc_id == comp.node, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+            .withColumn("least", F.min("c").over(_by_token())).withColumn("most", F.max("c").over(_by_token()))
+            .filter("least < most").select("token", "doc_id", "c"), folder(spark, "op2-live"))
         if every:
-            marks = [f"m{k}" for k in range(MARKS)]
-            left = tagged.join(span.select("token"), "token").join(sets.select("doc_id", F.size("shingles").alias("n"), *marks), "doc_id")
-            other = left.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), *[F.col(m).alias(f"b{m}") for m in marks])
+            cols = [f"m{k}" for k in range(MARKS)]
+            left = live.join(marks.select("doc_id", "n", *cols), "doc_id")
+            other = left.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), *[F.col(m).alias(f"b{m}") for m in cols])
             # the sets differ by one shingle per such mark at least: an exact bound on the distance of linked sets
-            apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in marks), F.lit(0))
+            apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in cols), F.lit(0))
             near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("n") + F.col("nb"))
             cand = left.join(other, "token").filter("doc_id < b and c <> cb").filter(near).select(F.col("doc_id").alias("a"), "b")
         else:
-            cand = (tagged.join(span.select("token", F.col("top.c").alias("tc"), F.col("top.pick.doc_id").alias("r")), "token").filter("c <> tc")
+            parts = live.groupBy("token", "c").agg(
+                F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "token").alias("x"), "doc_id")).alias("pick"))
+            span = parts.groupBy("token").agg(F.max(F.struct("n", "c", "pick")).alias("top"))
+            cand = (live.join(span.select("token", F.col("top.c").alias("tc"), F.col("top.pick.doc_id").alias("r")), "token").filter("c <> tc")
                     .select(F.least("r", "doc_id").alias("a"), F.greatest("r", "doc_id").alias("b")))
+            live = live.drop("c")
         cand = write_once(cand.distinct().join(done, ["a", "b"], "left_anti"), folder(spark, "op2-pairs"))
         done = done.unionByName(cand)
-        links = write_once(links.unionByName(_verified(cand, sets)), folder(spark, "op2-links"))
+        links = write_once(links.unionByName(_linked(cand, marks, texts)), folder(spark, "op2-links"))
     comp = components(links)
     # copies of a node under several ids, and ids with several texts, are joined too
     extra = member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
