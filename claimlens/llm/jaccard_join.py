@@ -9,6 +9,9 @@ least one. In bands of small sets, where segments would often be empty, some wid
 segments are sent with their one-deletion neighbourhoods: such a segment also
 matches at distance one and so counts for two. How many are wide is chosen per
 band from its number of sets by expected rows and collisions.
+
+A set whose segments mostly hold common shingles only sends single shingles as well:
+the rarest ones, as many as two linked sets of this kind need to meet (prefix filter).
 """
 
 import math
@@ -39,6 +42,11 @@ def max_partner(size):
     return size * DEN // NUM
 
 
+def low(size):
+    """The smallest set that can link with one of this size, and the least they have in common."""
+    return -(-size * NUM // DEN)
+
+
 def max_distance(a, b):
     """No fewer shingles than those in which linked sets of sizes up to a and b differ (it grows with both)."""
     return (a + b) * (DEN - NUM) // (DEN + NUM)
@@ -162,14 +170,17 @@ def _tokens_of(s, own, sizes, band, plan, costs, bound):
     common = n_cost[order] >= bound
     rows.append(n_own[take & ~common])
     tokens.append(n_tok[take & ~common])
-    # too few subsets with a rare shingle: single shingles instead of common or empty subsets
+    # too few subsets with a rare shingle: the prefix of single shingles in the shared order of costs
+    # that two such sets need to meet in, since they have low(size) shingles in common at least
     have = np.bincount(n_own[~common], minlength=len(sizes))
-    forced = prefix > np.maximum(have, 0)
-    rare = costs[(s >> np.uint64(46)).astype(np.int64)] < bound
-    n_common = np.bincount(own[~rare], minlength=len(sizes))
-    single = forced[own] & (rare | (DEN * n_common >= NUM * sizes)[own])
-    rows.append(own[single])
-    tokens.append(T.mix(s[single] ^ _SINGLE))
+    el = (prefix > have)[own]
+    f_own, f_s = own[el], s[el]
+    order = np.lexsort((f_s, costs[(f_s >> np.uint64(46)).astype(np.int64)], f_own))
+    f_own, f_s = f_own[order], f_s[order]
+    first = np.searchsorted(f_own, np.arange(len(sizes) + 1))
+    take = np.arange(len(f_own)) - first[f_own] <= (sizes - low(sizes))[f_own]
+    rows.append(f_own[take])
+    tokens.append(T.mix(f_s[take] ^ _SINGLE))
     return np.concatenate(rows), np.concatenate(tokens)
 
 
@@ -185,14 +196,13 @@ def _tokens(plan, costs_b):
                 s, own = T.shingle_sets(raw, off, i, j)
                 sizes = np.bincount(own, minlength=j - i)
                 bands = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
-                low = -(-sizes * NUM // DEN)
                 rows, toks = [], []
                 for band in np.unique(bands[sizes > 0]):
                     # a set sends its own band, and the band below if partners may lie there
                     for b in (band, band - 1):
                         pick = (bands == band) & (sizes > 0) & known[i:j]
                         if b < band:
-                            pick &= low < (1 << int(band))
+                            pick &= low(sizes) < (1 << int(band))
                         if not pick.any() or int(b) not in plan:
                             continue
                         el = pick[own]
@@ -201,6 +211,12 @@ def _tokens(plan, costs_b):
                         toks.append(t)
                 if rows:
                     r, t = np.concatenate(rows), np.concatenate(toks)
+                    # single shingles are sent once, whatever bands ask for them
+                    order = np.lexsort((t, r))
+                    r, t = r[order], t[order]
+                    new = np.ones(len(r), bool)
+                    new[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1])
+                    r, t = r[new], t[new]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][r]), pa.array(t.view(np.int64))], ["doc_id", "token"])
     return run
 
