@@ -27,11 +27,14 @@ def reciprocal_rank_fusion(lists, keys=("query_id",), k=fv.RRF_K, fusion="concat
 def rerank_scores(candidates, scores, keys=("query_id",)):
     """Candidates with a ``rerank`` column, NULL where the reranker gives none.
 
-    ``scores``: a frame of (keys, id, rerank), or a function that adds the column to
-    the candidates (for example a pandas UDF over question and text).
+    ``scores``: a frame of (keys, id, rerank) or of (pergunta, id, rerank), or a function
+    that adds the column to the candidates (for example a pandas UDF over ``pergunta``
+    and ``texto``, which the search flows put beside the ids).
     """
     if callable(scores):
         return scores(candidates)
+    if "pergunta" in scores.columns:
+        keys = ("pergunta",)
     return candidates.join(scores.select(*keys, "id", "rerank"), [*keys, "id"], "left")
 
 

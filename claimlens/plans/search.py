@@ -63,10 +63,12 @@ def hybrid(questions, c: Corpus, n=5, decompose=True, parents=True, fusion_mode=
         scored = pool.withColumn("score_kind", F.lit("rrf"))
     else:
         # one path for short and long questions, so that the retrieval runs once
-        short = questions.select("query_id", Q.is_short("pergunta").alias("short"))
-        has_text = c.chunks.where(F.coalesce("texto", F.lit("")) != "").select("id", F.lit(True).alias("_text"))
-        both = fusion.rerank_scores(pool.join(short, "query_id"), c.reranker).join(has_text, "id", "left")
-        usable = F.when(F.col("short"), F.col("score")).when(F.col("_text"), F.col("rerank").cast("double"))
+        # the scorer sees question and chunk text
+        asked = questions.select("query_id", "pergunta", Q.is_short("pergunta").alias("short"))
+        texts = c.chunks.select("id", "texto")
+        both = fusion.rerank_scores(pool.join(asked, "query_id").join(texts, "id", "left"), c.reranker)
+        has_text = F.coalesce("texto", F.lit("")) != ""
+        usable = F.when(F.col("short"), F.col("score")).when(has_text, F.col("rerank").cast("double"))
         scored = both.withColumn("score_kind", F.when(F.col("short"), "rrf").otherwise("rerank")).withColumn(
             "score", usable).where("score is not null")
     kept = top_n(scored.select("query_id", "id", "score", "score_kind"), "query_id", order, 2 * n).drop("posicao")
@@ -105,6 +107,8 @@ def search_texts(requests, c: Corpus, n, mode="hybrid", decompose=False):
     # written once: the vector search looks at the questions more than once
     texts = write_once(requests.select("pergunta").distinct(), shared_dir(spark, "questions"))
     texts = texts.withColumn("query_id", F.col("pergunta"))
+    if mode == "hybrid" and isinstance(c.reranker, DataFrame) and "pergunta" not in c.reranker.columns:
+        raise ValueError("a frame of scores for questions of requests needs the key pergunta")
     options = {"decompose": decompose} if mode == "hybrid" else {}
     hits = search(texts, c, n, mode, **options).select(F.col("query_id").alias("pergunta"), "id", "score")
     return requests.select("request_id", "ordem", "pergunta").join(hits, "pergunta")

@@ -92,12 +92,17 @@ def manual_source_name(path, name):
 
 
 def with_path_attributes(df, path="path"):
-    """Add ano, is_annex, tipo and fonte for a path column."""
+    """Add ano, is_annex, tipo, fonte and fonte_id for a path column.
+
+    ``fonte`` is cut for display, so files may share it; ``fonte_id``, a hash of the
+    whole path, is the key to replace a file's rows by.
+    """
     return (
         df.withColumn("ano", path_year(path))
         .withColumn("is_annex", is_annex(path))
         .withColumn("tipo", document_type(path))
         .withColumn("fonte", source_name(path, F.col("ano")))
+        .withColumn("fonte_id", F.sha2(as_col(path).cast("binary"), 256))
     )
 
 

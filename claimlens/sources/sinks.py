@@ -14,14 +14,21 @@ def parent_map(chunks):
     return chunks.where(F.col("parent_id").isNotNull()).select("id", "parent_id")
 
 
-def replace_by_source(existing, new, source="fonte"):
+def source_key(*frames):
+    """The column that tells sources apart: ``fonte_id`` where every frame has it, else ``fonte``."""
+    return "fonte_id" if all("fonte_id" in f.columns for f in frames) else "fonte"
+
+
+def replace_by_source(existing, new, source=None):
     """Existing rows of the sources not in ``new``, plus all rows of ``new``."""
+    source = source or source_key(existing, new)
     sources = new.select(source).distinct()
     return existing.join(sources, source, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def overwrite_sources(new, path, source="fonte"):
+def overwrite_sources(new, path, source=None):
     """The same in place: only the partitions of the new sources are rewritten."""
+    source = source or source_key(new)
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(source).parquet(path))
 

@@ -6,7 +6,7 @@ from claimlens.session import shared_dir
 from claimlens.sources.sinks import overwrite_sources
 
 
-def replace_stream(documents, table, checkpoint, source="fonte"):
+def replace_stream(documents, table, checkpoint, source=None):
     """Replace, for every batch, the table partitions of the sources it contains.
 
     A batch must hold a source completely (one file per edition). Rewriting whole

@@ -191,6 +191,26 @@ def test_multi_query_searches_equal_texts_once(spark, corpus):
     assert best["d1"] == 1.0 and best["d2"] == 1.0
 
 
+def test_multi_query_scores_question_and_text(spark, corpus):
+    long = "quais regras de uti valem para leito de hospital geral no periodo"
+    req = spark.createDataFrame([(7, 0, long), (8, 0, long)], "request_id int, ordem int, pergunta string")
+    seen = []
+
+    def scorer(candidates):
+        seen.append(set(candidates.columns))
+        return candidates.withColumn("rerank", F.when(F.contains("texto", F.lit("uti")), 0.9).otherwise(0.1))
+
+    base = (corpus.chunks, corpus.index, corpus.vectors, corpus.embed)
+    by_text = S.multi_query(req, S.Corpus(*base, scorer, None), 2).collect()
+    assert {"pergunta", "texto"} <= seen[0] and {r.request_id for r in by_text} == {7, 8}
+    ids = [r.id for r in corpus.chunks.collect()]
+    frame = spark.createDataFrame([(long, i, 0.5) for i in ids], ["pergunta", "id", "rerank"])
+    assert {r.score for r in S.multi_query(req, S.Corpus(*base, frame, None), 2).collect()} == {0.5}
+    keyed = spark.createDataFrame([(7, i, 0.5) for i in ids], ["request_id", "id", "rerank"])
+    with pytest.raises(ValueError):
+        S.multi_query(req, S.Corpus(*base, keyed, None), 2)
+
+
 def test_retry_only_for_weak_questions(spark, corpus):
     q = spark.createDataFrame([(1, "uti"), (2, "outra coisa")], ["query_id", "pergunta"])
     first = spark.createDataFrame([(1, "d1", .9), (1, "d5", .8), (2, "d3", .2)], ["query_id", "id", "score"])

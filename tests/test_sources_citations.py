@@ -165,3 +165,11 @@ def test_claim_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{base}/out").drop("lote")
     want = A.audit(b.claims, None, b, "202402")[0]
     assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).count() == 0
+
+
+def test_files_with_equal_name_starts_are_replaced_apart(spark):
+    files = corpus.with_path_attributes(spark.range(10000, 15000).select(F.concat(F.lit("m/" + "a" * 60), F.col("id").cast("string"), F.lit(".pdf")).alias("path")))
+    assert files.select("fonte").distinct().count() == 1 and files.select("fonte_id").distinct().count() == 5000
+    new = files.where(F.endswith("path", F.lit("a10077.pdf"))).withColumn("tipo", F.lit("new"))
+    out = sinks.replace_by_source(files, new)
+    assert out.count() == 5000 and out.where("tipo = 'new'").count() == 1
