@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
-#: A superset for whole batches: texts that may hold an assignment.
+#: A superset for whole batches: texts that may hold an assignment (those with AKIA may hold an access key).
 MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 #: Other candidates have at least so many characters of the key alphabet.
 LEAST = 16
@@ -63,7 +63,8 @@ def _runs(mask, rel, least):
 def scan(column):
     """Per row of an Arrow string column that has any: (row, text bytes, base spans, other candidates)."""
     raw, off = T.utf8(column)
-    may = pc.match_substring_regex(column.fill_null(""), MAY_ASSIGN).to_numpy(zero_copy_only=False)
+    filled = column.fill_null("")
+    may = pc.or_(pc.match_substring_regex(filled, MAY_ASSIGN), pc.match_substring(filled, "AKIA")).to_numpy(zero_copy_only=False)
     for i, j in T.blocks(off):
         data = raw[off[i]: off[j]]
         rel = (off[i: j + 1] - off[i]).astype(np.int64)
