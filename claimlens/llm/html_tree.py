@@ -20,6 +20,8 @@ BLOCK = 2_000_000
 #: Kinds of elements of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title iframe noscript svg template xmp noembed noframes math canvas object audio video select".split())
+#: Of these, the text up to the end of the page is not markup if there is no closing tag.
+RAW_TEXT = set("script style textarea title iframe xmp noembed noframes".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
 ENDS_P = BLOCKS - set("body html tbody td tfoot th thead tr caption option legend summary".split())
 GROUPS = ["nav", "header", "footer", "aside", "article main", "section", "h1 h2 h3 h4 h5 h6 hgroup", "p", "li dd dt", "ul ol dl menu dir", "a",
@@ -42,6 +44,7 @@ N_EDGES = 3
 ROUNDS, RATE, DECAY = 300, 0.05, 2e-3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|y)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"'/]+)/$")
 _STOP = re.compile(r"[.!?;:,。]")
 _SPACE = re.compile(r"\s+")
 
@@ -92,6 +95,7 @@ class Forest:
         root = self._node(-1, 0, "html", "")
         self.roots.append(root)
         stack, names, open_names = [root], ["#"], {}
+        unclosed = set()
 
         def text(s):
             if s:
@@ -142,9 +146,16 @@ class Forest:
                     close(tag)
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*/?>|\Z", re.I).search(page, at)
-                at = end.end()
                 text(" ")
+                if tag in ("svg", "math") and _SELF_CLOSED.search(m[3]):
+                    continue
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW_TEXT:
+                    at = n
+                else:
+                    unclosed.add(tag)
                 continue
             if tag in VOID:
                 if tag == "hr":

@@ -286,6 +286,24 @@ def test_html(llm_spark):
     assert by[2] == by[3] == ("", 0) and by[4] == ("plain", 5) and by[None] == ("a\nb", 3) and by[6][0] in ("", "deep")
 
 
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<svg/>", "<svg hidden />", "<math/>", "<svg>", "<math>", "<select>", "<audio controls>", "<video src=v>", "<object>", "<canvas>", "<noscript>", "<template>"])
+def test_html_keeps_text_after_tags_without_content(tag):
+    def texts(page):
+        f = html_tree.Forest()
+        f.add(page)
+        return "".join(p[1] if p else "\n" for p in f.pieces[0]).split()
+
+    assert texts(f"<article><p>One {tag} two</p><p>three {tag} four</p></article>") == ["One", "two", "three", "four"]
+    if tag[-2] == "/":
+        assert texts(f"<p>One {tag} two <svg><text>drawn</text></svg> three <math>x</math> four") == ["One", "two", "three", "four"]
+
+
+def test_html_still_drops_raw_content():
+    f = html_tree.Forest()
+    f.add('<p>a<svg class=i/><text>drawn</text></svg>b<select><option>c</select>d<script>var x = "<p>"')
+    assert "".join(p[1] if p else "\n" for p in f.pieces[0]).split() == ["a", "b", "d"]
+
+
 def test_marginals_are_exact():
     """Sum-product on a small tree against the sum over all markings."""
     f = html_tree.Forest()
