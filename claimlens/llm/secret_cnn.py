@@ -2,14 +2,18 @@
 
 Candidates are the base findings and every other long token of key characters with
 letters and digits. The network reads a candidate's characters and those around it:
-embedding, convolution, maximum over places, logistic output; plain numpy. It is
-trained on labelled findings (base findings against other candidates and words) and
-calibrated; its threshold is the highest that keeps RECALL of the labelled secrets
-set aside. Candidates above it are added to the base findings, which always stay.
+embedding, convolution, maximum over all places of a candidate, logistic output;
+plain numpy. It is trained on the values of base findings, their keyword or prefix
+masked, against plain words and harmless tokens (words and numbers joined as in URLs
+and names); key-like candidates that nothing labels are no examples of either. It is
+calibrated; its threshold keeps RECALL of the labelled secrets set aside: half way
+from the highest such score down to the next harmless example (0.5 at least).
+Candidates above it are added to the base findings, which always stay.
 """
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,17 @@ KEY = np.zeros(256, bool)
 KEY[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 IS_HEX = np.zeros(256, bool)
 IS_HEX[[ord(c) for c in "0123456789abcdef"]] = True
-#: What the network reads: characters before, of (head and tail), and after the candidate.
-BEFORE, HEAD, TAIL, AFTER = 20, 32, 12, 8
-LENGTH = BEFORE + HEAD + TAIL + AFTER
+#: What the network reads at once: characters before, of, and after a piece of a candidate.
+BEFORE, BODY, AFTER = 20, 44, 8
+LENGTH = BEFORE + BODY + AFTER
+#: A harmless token: words and short numbers, joined.
+_PART = rb"(?:[A-Z]?[a-z]{2,}|[0-9]{1,6})"
+HARMLESS = re.compile(rb"[\"'(\[<]*" + _PART + rb"(?:[-_/.:+=]+" + _PART + rb")*[-_/.:+=,;!?)\]>\"']*")
 #: Labelled findings of each kind that the network is fitted on, and texts looked at for them
 #: (those with the smallest hash of their id).
 FIT, FIT_DOCS = 1500, 20_000
+#: Pieces of a candidate that an example for the fit holds at most.
+FIT_PIECES = 16
 RECALL = 0.98
 EMBED, FILTERS, WIDTH, EPOCHS, RATE = 8, 24, 5, 6, 0.01
 
@@ -89,19 +98,46 @@ def scan(column):
                 yield i + r, text, base, other
 
 
-def window(text, start, end):
-    """LENGTH characters around a candidate; 0 pads, bytes beyond ASCII are one class."""
-    head = text[start: min(end, start + HEAD)]
-    tail = text[max(start + HEAD, end - TAIL): end]
-    w = text[max(0, start - BEFORE): start].rjust(BEFORE, b"\0") + head.ljust(HEAD, b"\0") + tail.ljust(TAIL, b"\0") + text[end: end + AFTER].ljust(AFTER, b"\0")
+def window(text, start, end, blank=0):
+    """LENGTH characters around the first piece of a candidate; 0 pads, also the ``blank`` ones before it, bytes beyond ASCII are one class."""
+    before = text[max(0, start - BEFORE): start]
+    blank = min(blank, len(before))
+    w = (before[: len(before) - blank] + b"\0" * blank).rjust(BEFORE, b"\0") + text[start: min(end, start + BODY)].ljust(BODY, b"\0") + text[end if end < start + BODY else start + BODY:][:AFTER].ljust(AFTER, b"\0")
     return np.minimum(np.frombuffer(w, np.uint8), 128)
 
 
+def windows(text, start, end, blank=0, most=None):
+    """Windows of all pieces of a candidate (at most ``most``), one after the other."""
+    at = range(start, max(end, start + 1), BODY)[:most]
+    return b"".join(window(text[max(0, a - BEFORE): a + BODY + AFTER], min(a, BEFORE), min(a, BEFORE) + min(end - a, BODY), blank if a == start else 0).tobytes() for a in at)
+
+
+def value_of(text, start, end, kind):
+    """(start, end, characters to blank before it): the value of a base finding without its keyword or prefix."""
+    if kind == 0:
+        m = ASSIGN.match(text, start)
+        return m.start(2), m.end(2), m.start(2) - start
+    return (start + 4, end, 4) if kind == 1 else (start, end, 0)
+
+
+def _pieces(found):
+    """(windows as rows, number of windows of each candidate) of joined windows."""
+    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, LENGTH), np.array([len(w) // LENGTH for w in found], np.int64)
+
+
 class CharNet:
-    def __init__(self, x, y, seed=5):
+    """``x`` are windows; ``count`` of them in turn belong to one candidate (one each if not given)."""
+
+    def __init__(self, x, y, count=None, seed=5):
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(x))
-        hold, fit = order[: len(x) // 4], order[len(x) // 4:]
+        count = np.ones(len(x), np.int64) if count is None else count
+        first = np.cumsum(count) - count
+        order = rng.permutation(len(count))
+        hold, fit = order[: len(count) // 4], order[len(count) // 4:]
+
+        def of(which):
+            return x[np.concatenate([np.arange(first[i], first[i] + count[i]) for i in which])], count[which]
+
         self.w = {"e": rng.normal(0, 0.3, (129, EMBED)), "p": rng.normal(0, 0.3, (LENGTH, EMBED)),
                   "f": rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)), "fb": np.zeros(FILTERS),
                   "o": rng.normal(0, 0.2, FILTERS), "ob": np.zeros(1)}
@@ -109,20 +145,25 @@ class CharNet:
         for _ in range(EPOCHS):
             fit = rng.permutation(fit)
             for i in range(0, len(fit), 64):
-                g = self._gradient(x[fit[i:i + 64]], y[fit[i:i + 64]])
+                g = self._gradient(*of(fit[i:i + 64]), y[fit[i:i + 64]])
                 t += 1
                 for k in self.w:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
                     self.w[k] = self.w[k] - RATE * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(s[k] / (1 - 0.999 ** t)) + 1e-8)
         self.temperature, self.threshold = 1.0, 1.0
-        logit, target = self.logit(x[hold]), y[hold]
+        target = y[hold]
         if 0 < target.sum() < len(target):
+            held = of(hold)
+            logit = self.logit(*held)
             grid = np.geomspace(0.3, 5, 40)
             loss = [np.mean(np.logaddexp(0, np.where(target > 0.5, -logit, logit) / g)) for g in grid]
             self.temperature = float(grid[int(np.argmin(loss))])
-            good = np.sort(self.score(x[hold])[target > 0.5])
-            self.threshold = float(max(0.5, good[int((1 - RECALL) * len(good))]))
+            logit = np.clip(logit / self.temperature, -30, 30)
+            good = np.sort(logit[target > 0.5])
+            top = good[int((1 - RECALL) * len(good))]
+            below = logit[(target < 0.5) & (logit < top)]
+            self.threshold = float(1 / (1 + np.exp(-max(0.0, (top + below.max()) / 2 if len(below) else top))))
 
     def _layers(self, x):
         e = self.w["e"][x] + self.w["p"]
@@ -132,12 +173,16 @@ class CharNet:
         top = h.argmax(1)
         return col, top, np.take_along_axis(h, top[:, None], 1)[:, 0]
 
-    def _gradient(self, x, y):
-        col, top, best = self._layers(x)
-        err = (1 / (1 + np.exp(-np.clip(best @ self.w["o"] + self.w["ob"], -30, 30))) - y) / len(x)
+    def _gradient(self, x, count, y):
+        col, top, each = self._layers(x)
+        first = np.cumsum(count) - count
+        owner = np.repeat(np.arange(len(count)), count)
+        best = np.maximum.reduceat(each, first, axis=0)
+        err = (1 / (1 + np.exp(-np.clip(best @ self.w["o"] + self.w["ob"], -30, 30))) - y) / len(y)
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
         g["o"], g["ob"] = best.T @ err, err.sum(keepdims=True)
-        d = err[:, None] * self.w["o"] * (best > 0)
+        won = (each == best[owner]) * 1.0
+        d = (err[:, None] * self.w["o"] * (best > 0) / np.add.reduceat(won, first, axis=0))[owner] * won
         g["fb"] = d.sum(0)
         row = np.arange(len(x))[:, None]
         picked = col[row, top]
@@ -149,28 +194,74 @@ class CharNet:
             np.add.at(g["p"], at, back[:, :, k])
         return g
 
-    def logit(self, x):
-        return np.concatenate([self._layers(x[i:i + 512])[2] @ self.w["o"] + self.w["ob"] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+    def logit(self, x, count=None):
+        if not len(x):
+            return np.zeros(0)
+        each = np.concatenate([self._layers(x[i:i + 512])[2] for i in range(0, len(x), 512)])
+        best = each if count is None else np.maximum.reduceat(each, np.cumsum(count) - count, axis=0)
+        return best @ self.w["o"] + self.w["ob"]
+
+    def score(self, x, count=None):
+        return 1 / (1 + np.exp(-np.clip(self.logit(x, count) / self.temperature, -30, 30)))
+
+
+def _blank(token):
+    """Characters to blank before an example without keyword: none, or as many as keywords have."""
+    k = zlib.crc32(token)
+    return 0 if k % 2 else 4 + k // 2 % 12
 
-    def score(self, x):
-        return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
+
+def _examples(text, base, other):
+    """(windows, label): values of base findings (1); plain words and harmless tokens, also made of the text's words (0).
+
+    Values are also put in the places of words, and words in those of values, so that
+    what stands around a finding does not tell the label.
+    """
+    def put(token, place, label):
+        a, b, blank = place
+        before = text[max(0, a - BEFORE): a]
+        return windows(before + token + text[b: b + AFTER], len(before), len(before) + len(token), blank, FIT_PIECES), label
+
+    taken = [(a, b) for a, b, _ in base]
+    harmless = []
+    for a, b in other:
+        (harmless if HARMLESS.fullmatch(text, a, b) else taken).append((a, b))
+    plain = []
+    for m in re.finditer(rb"[^\x00-\x20]{5,}", text):
+        a, b = m.span()
+        short = b - a < LEAST and not re.search(rb"[0-9]", m[0])
+        if (short or HARMLESS.fullmatch(m[0])) and not any(a < e and s < b for s, e in taken):
+            plain.append((a, b))
+    spots = plain[:: max(1, len(plain) // 4)][:4]
+    safe = [text[a:b] for a, b in harmless + spots]
+    words = [w for w in (text[a:b].strip(b".,;:!?()[]\"'") for a, b in plain[:: max(1, len(plain) // 12)][:12]) if HARMLESS.fullmatch(w)]
+    for i in range(0, len(words) - 1, 6):
+        k = zlib.crc32(words[i])
+        parts = words[i: i + 2 + k % 5]
+        parts.insert(k // 8 % (len(parts) + 1), b"%d" % (k // 64 % 10 ** (1 + k // 16 % 6)))
+        safe.append(b"-_/"[k % 3: k % 3 + 1].join(parts))
+    spots = [(a, b, _blank(text[a:b])) for a, b in harmless + spots]
+    for token in safe:
+        yield put(token, spots[zlib.crc32(token) % len(spots)], 0)
+    for a, b, kind in base:
+        s, e, blank = value_of(text, a, b, kind)
+        if e == s or kind == 2 and any(j < 2 and c <= a and b <= d for c, d, j in base):
+            continue
+        place = s, e, blank or _blank(text[s:e])
+        yield put(text[s:e], place, 1)
+        for spot in spots:
+            yield put(text[s:e], spot, 1)
+        for token in safe if spots else ():
+            yield put(token, place, 0)
 
 
 def _findings(batches):
-    """Labelled findings: windows of base findings (1) and of other candidates and words (0)."""
-    word = re.compile(rb"[^\x00-\x20]{5,}")
     for batch in batches:
         w, y = [], []
         for _, text, base, other in scan(batch.column(0)):
-            for a, b, _ in base:
-                w.append(window(text, a, b).tobytes())
-                y.append(1)
-            w += [window(text, a, b).tobytes() for a, b in other]
-            y += [0] * len(other)
-            plain = [m.span() for m in word.finditer(text) if not any(m.start() < b and a < m.end() for a, b, _ in base)]
-            for a, b in plain[:: max(1, len(plain) // 4)][:4]:
-                w.append(window(text, a, b).tobytes())
-                y.append(0)
+            for x, label in _examples(text, base, other):
+                w.append(x)
+                y.append(label)
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.int32())], ["w", "y"])
 
 
@@ -189,21 +280,26 @@ def fit(docs, id_col="doc_id", text_col="text", each=FIT, fit_docs=FIT_DOCS):
     y = np.array([r["y"] for r in rows], float)
     if not 20 <= y.sum() <= len(y) - 20:
         return None
-    return CharNet(np.array([np.frombuffer(r["w"], np.uint8) for r in rows], np.int64), y)
+    x, count = _pieces([r["w"] for r in rows])
+    return CharNet(x, y, count)
 
 
-def _all_spans(column, net):
-    """(row, text, spans in bytes with kinds) of rows that have any."""
+def _scored(column, net, base_too=False):
+    """(row, text, base spans, other candidates, scores) of rows with any; scores of the base ones first, if asked for."""
     held = list(scan(column))
-    x = [window(text, a, b) for _, text, _, other in held for a, b in other]
-    score = net.score(np.array(x, np.int64)) if net and x else np.zeros(len(x))
+    at = [[(*value_of(text, *f),) for f in base] * base_too + [(a, b, 0) for a, b in other] for _, text, base, other in held]
+    found = [windows(h[1], *f) for h, fs in zip(held, at, strict=True) for f in fs] if net else []
+    score = net.score(*_pieces(found)) if found else np.zeros(sum(map(len, at)))
     k = 0
-    for row, text, base, other in held:
-        spans = list(base)
-        for a, b in other:
-            if net and score[k] >= net.threshold:
-                spans.append((a, b, 3))
-            k += 1
+    for (row, text, base, other), fs in zip(held, at, strict=True):
+        yield row, text, base, other, score[k: k + len(fs)]
+        k += len(fs)
+
+
+def _all_spans(column, net):
+    """(row, text, spans in bytes with kinds) of rows that have any."""
+    for row, text, base, other, score in _scored(column, net):
+        spans = base + [(a, b, 3) for (a, b), p in zip(other, score, strict=True) if net and p >= net.threshold]
         if spans:
             yield row, text, sorted(spans, key=lambda s: (s[0], s[2]))
 
@@ -247,7 +343,32 @@ def find_secrets(docs, id_col="doc_id", text_col="text", net=None):
     return src.mapInArrow(_digests(model), f"doc_id {dict(docs.dtypes)[id_col]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def _blank(model, at, n_chars, mark):
+def _score_rows(model):
+    def run(batches):
+        net = model.value
+        for batch in batches:
+            rows, spans, scores = [], [], []
+            for r, text, base, other, score in _scored(batch.column(1), net, base_too=True):
+                every = _points(text, base + [(a, b, 3) for a, b in other])
+                rows += [r] * len(every)
+                spans += every
+                scores += score.tolist() if net else [None] * len(every)
+            kept = [k < 3 or net is not None and p >= net.threshold for (_, _, k), p in zip(spans, scores, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([KINDS[k] for _, _, k in spans], pa.string()), pa.array([a for a, _, _ in spans], pa.int64()),
+                 pa.array([b for _, b, _ in spans], pa.int64()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())],
+                ["doc_id", "kind", "start", "end", "score", "kept"])
+    return run
+
+
+def score_findings(docs, id_col="doc_id", text_col="text", net=None):
+    """One row for every candidate, base findings too: ``doc_id, kind, start, end, score, kept``; scores are null without a network."""
+    model = docs.sparkSession.sparkContext.broadcast(net or fit(docs, id_col, text_col))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(_score_rows(model), f"doc_id {dict(docs.dtypes)[id_col]}, kind string, start long, end long, score double, kept boolean")
+
+
+def _redacted(model, at, n_chars, mark):
     def run(batches):
         net = model.value
         for batch in batches:
@@ -280,4 +401,4 @@ def redact(docs, id_col="doc_id", text_col="text", n_chars_col="n_chars", mark="
     model = docs.sparkSession.sparkContext.broadcast(net or fit(docs, id_col, text_col))
     at = docs.columns.index(text_col)
     n = docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None
-    return docs.mapInArrow(_blank(model, at, n, mark.encode()), docs.schema)
+    return docs.mapInArrow(_redacted(model, at, n, mark.encode()), docs.schema)

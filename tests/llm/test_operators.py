@@ -214,6 +214,35 @@ def test_char_network_learns():
     assert (score[:300] >= net.threshold).mean() > 0.95 and (score[300:] >= net.threshold).mean() < 0.05
 
 
+def test_unlabelled_keys_are_added(llm_spark):
+    """Keys without a keyword, also long ones, are found though the sample holds many; names and paths are not."""
+    rng = np.random.default_rng(4)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    key = lambda n: "".join(rng.choice(chars, n)) + "x7"
+    rows = [(i, f"{EN} api_key = \"{key(int(rng.integers(16, 40)))}\" and {DE}") for i in range(300)]
+    rows += [(1000 + i, f"{DE} use {key(30 if i % 2 else 120)} with {EN}") for i in range(300)]
+    rows += [(2000 + i, f"see river/wall-of-stone-{i}/town_people-2024 and https://www.example.com/2024/05/the-wall-{i}.html {EN}") for i in range(200)]
+    frame = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    net = secret_cnn.fit(frame)
+    out = {r.doc_id: r.spans for r in secret_cnn.find_secrets(frame, net=net).collect()}
+    assert sum(out[i].startswith("assign") for i in range(300)) == 300
+    assert sum("model" in out[1000 + i] for i in range(300)) >= 285
+    assert sum("model" in out[2000 + i] for i in range(200)) <= 10
+    rows = secret_cnn.score_findings(frame, net=net).collect()
+    assert sum(r.kind == "assign" for r in rows) == 300 and all(r.score is not None for r in rows)
+    assert sum(r.score >= net.threshold for r in rows if r.kind == "assign") >= 285 and all(r.kept for r in rows if r.kind != "model")
+
+
+def test_network_reads_the_whole_candidate():
+    text = b"see " + b"a" * 300 + b" end"
+    w = secret_cnn.windows(text, 4, 304)
+    assert len(w) == 7 * secret_cnn.LENGTH
+    body = b"".join(w[i + secret_cnn.BEFORE: i + secret_cnn.BEFORE + secret_cnn.BODY] for i in range(0, len(w), secret_cnn.LENGTH))
+    assert body.rstrip(b"\0") == b"a" * 300 and w.endswith(b" end".ljust(secret_cnn.AFTER, b"\0"))
+    assert secret_cnn.value_of(b"x token = abcdef9", 2, 17, 0) == (10, 17, 8)
+    assert b"token" not in secret_cnn.windows(b"x token = abcdef9", 10, 17, 8)
+
+
 def test_language_id(llm_spark, empty, odd):
     rows = [(i, (EN, DE)[i % 2] * (1 + i % 3), ("en", "de")[i % 2], "s", "") for i in range(80)] + [(90, "123 !", "en", "s", ""), (91, None, "en", "s", ""), (92, "", None, "s", "")]
     out = {r.doc_id: r for r in language_id.identify(llm_spark.createDataFrame(rows, SCHEMA)).collect()}
