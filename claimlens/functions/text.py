@@ -89,12 +89,13 @@ def page_number(value):
     return F.coalesce(as_col(value).try_cast("int"), F.lit(0))
 
 
-def id_prefix(source, hash_of=None):
-    """Slug of a source name plus six characters of an MD5: of the name, or of a
-    more distinctive column such as the path, as different files may share a name."""
+def id_prefix(source, hash_of=None, hash_chars=6):
+    """Slug of a source name plus ``hash_chars`` (32 at most) characters of an MD5: of the
+    name, or of a more distinctive column such as the path, as different files may share
+    a name. Six characters collide from some thousand like-named files on."""
     s = as_col(source)
     slug = F.regexp_replace(F.lower(s), "[^a-z0-9]", "_")
-    return F.concat_ws("_", F.substring(slug, 1, 24), F.substring(F.md5(as_col(hash_of or s).cast("binary")), 1, 6))
+    return F.concat_ws("_", F.substring(slug, 1, 24), F.substring(F.md5(as_col(hash_of or s).cast("binary")), 1, hash_chars))
 
 
 def verdict_line(analysis):

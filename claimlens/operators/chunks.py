@@ -16,6 +16,18 @@ CHUNK_COLUMNS = ["id", "secao", "titulo", "pagina", "fonte", "ano", "tipo", "tex
                  "is_parent", "parent_id"]
 
 
+def _source_columns(files):
+    """What names a file: fonte, ano, tipo, and fonte_id where the files have it."""
+    return ["fonte", "ano", "tipo", *(["fonte_id"] if "fonte_id" in files.columns else [])]
+
+
+def _prefix(files, hash_of, hash_chars):
+    """Start of the ids: of ``fonte_id`` in full width where the files have it, if nothing else is asked for."""
+    if hash_of is None and "fonte_id" in files.columns:
+        return id_prefix("fonte", "fonte_id", hash_chars or 32)
+    return id_prefix("fonte", hash_of or "fonte", hash_chars or 6)
+
+
 def _snippet(text):
     cut = F.regexp_replace(F.substring(text, 1, fv.PARENT_SNIPPET_CHARS), r"(?U)\s+$", "")
     return F.when(F.length(text) > fv.PARENT_SNIPPET_CHARS, F.concat(cut, F.lit("..."))).otherwise(cut)
@@ -32,11 +44,12 @@ def _row(id_, text, context, is_parent, parent_id):
 
 def chunk_sections(files, sections="secoes", parents=True, sep="\n\n", max_chars=fv.FLAT_CHUNK_CHARS,
                    parent_chars=fv.PARENT_CHUNK_CHARS, child_chars=fv.CHILD_CHUNK_CHARS,
-                   overlap=fv.OVERLAP_CHARS, hash_of="fonte"):
+                   overlap=fv.OVERLAP_CHARS, hash_of=None, hash_chars=None):
     """Chunks of detected sections; needs fonte, ano, tipo and the sections array.
 
-    ``hash_of`` names the column hashed into the ids: the path where several
-    files share a source name.
+    ``hash_of`` names the column hashed into the ids, ``hash_chars`` how much of the
+    hash they hold: all of fonte_id's where the files have that column (it is then
+    carried to the chunks), else six characters of fonte's.
 
     Equal section numbers in one file would give equal ids: later ones get a
     ``_dupN`` suffix, counted from the earlier sections of the same number.
@@ -50,14 +63,14 @@ def chunk_sections(files, sections="secoes", parents=True, sep="\n\n", max_chars
             (split_with_overlap(p, child_chars, overlap, sep) if parents else F.array().cast("array<string>"))
             .alias("filhos"))).alias("partes")))
     # for every section: child counts per part of the earlier sections with its number
-    keep = ["fonte", "ano", "tipo", id_prefix("fonte", hash_of).alias("_pre")]
-    shaped = files.select(*keep, let(with_pieces, lambda all_: F.transform(
+    own = _source_columns(files)
+    shaped = files.select(*own, _prefix(files, hash_of, hash_chars).alias("_pre"), let(with_pieces, lambda all_: F.transform(
         all_, lambda s, i: F.struct(
             s.alias("s"),
             F.transform(F.filter(F.slice(all_, F.lit(1), i), lambda e: e["numero"] == s["numero"]),
                         lambda e: F.transform(e["partes"], lambda p: F.size(p["filhos"]))).alias("antes")))).alias("_s"))
-    rows = shaped.select("fonte", "ano", "tipo", "_pre", F.explode("_s").alias("x")).select(
-        "fonte", "ano", "tipo", "_pre", "x.s.numero", "x.s.titulo", "x.s.pagina", "x.antes", F.size("x.s.partes").alias("n_partes"),
+    rows = shaped.select(*own, "_pre", F.explode("_s").alias("x")).select(
+        *own, "_pre", "x.s.numero", "x.s.titulo", "x.s.pagina", "x.antes", F.size("x.s.partes").alias("n_partes"),
         F.posexplode("x.s.partes").alias("p", "parte"))
     pre = F.concat("_pre", F.lit("_secao_"), F.col("numero"))
     full_title = F.concat_ws(". ", "numero", "titulo")
@@ -81,9 +94,9 @@ def chunk_sections(files, sections="secoes", parents=True, sep="\n\n", max_chars
         chunks = F.concat(
             F.array(_row(parent_id, text, F.concat(head, F.lit("\n\n"), text), True, none)),
             F.transform("parte.filhos", child))
-    out = rows.select(F.col("numero").alias("secao"), "titulo", "pagina", "fonte", "ano", "tipo",
+    out = rows.select(F.col("numero").alias("secao"), "titulo", "pagina", *own,
                       F.explode(chunks).alias("c"))
-    return out.select("c.*", "secao", "titulo", "pagina", "fonte", "ano", "tipo").select(*CHUNK_COLUMNS)
+    return out.select("c.*", "secao", "titulo", "pagina", *own).select(*CHUNK_COLUMNS, *own[3:])
 
 
 def page_blocks(pages, sep="\n\n", limit=fv.PARENT_CHUNK_CHARS):
@@ -108,19 +121,20 @@ def page_blocks(pages, sep="\n\n", limit=fv.PARENT_CHUNK_CHARS):
 
 def chunk_pages(files, pages="pages", parents=True, sep="\n\n", max_chars=fv.FLAT_CHUNK_CHARS,
                 parent_chars=fv.PARENT_CHUNK_CHARS, child_chars=fv.CHILD_CHUNK_CHARS, overlap=fv.OVERLAP_CHARS,
-                hash_of="fonte"):
-    """Chunks of files without sections; needs fonte, ano, tipo and the pages array."""
+                hash_of=None, hash_chars=None):
+    """Chunks of files without sections; needs fonte, ano, tipo and the pages array. Ids as in ``chunk_sections``."""
     none = F.lit(None).cast("string")
     blocks = page_blocks(pages, sep, parent_chars)
     pre = F.col("_pre")
-    files = files.withColumn("_pre", id_prefix("fonte", hash_of))
+    own = _source_columns(files)
+    files = files.withColumn("_pre", _prefix(files, hash_of, hash_chars))
     page = F.col("pagina").cast("string")
     if not parents:
         flat = let(blocks, lambda bs: F.flatten(F.transform(bs, lambda b: F.transform(
             split_with_overlap(b["texto"], max_chars, overlap, sep),
             lambda t: F.struct(b["pagina"].alias("pagina"), t.alias("texto"))))))
-        rows = files.select("fonte", "ano", "tipo", "_pre", F.posexplode(flat).alias("i", "b")).select(
-            "fonte", "ano", "tipo", "_pre", "i", "b.pagina", "b.texto")
+        rows = files.select(*own, "_pre", F.posexplode(flat).alias("i", "b")).select(
+            *own, "_pre", "i", "b.pagina", "b.texto")
         text = F.col("texto")
         chunks = F.array(_row(
             F.concat(pre, F.lit("_p"), page, F.lit("_c"), F.col("i").cast("string")), text,
@@ -129,8 +143,8 @@ def chunk_pages(files, pages="pages", parents=True, sep="\n\n", max_chars=fv.FLA
         shaped = F.transform(blocks, lambda b: F.struct(
             b["pagina"].alias("pagina"), b["texto"].alias("texto"),
             split_with_overlap(b["texto"], child_chars, overlap, sep).alias("filhos")))
-        rows = files.select("fonte", "ano", "tipo", "_pre", F.posexplode(shaped).alias("i", "b")).select(
-            "fonte", "ano", "tipo", "_pre", "i", "b.pagina", "b.texto", "b.filhos")
+        rows = files.select(*own, "_pre", F.posexplode(shaped).alias("i", "b")).select(
+            *own, "_pre", "i", "b.pagina", "b.texto", "b.filhos")
         text, i = F.col("texto"), F.col("i").cast("string")
         head = F.concat(F.lit("["), F.col("fonte"), F.lit(" | Página "), page, F.lit(" | Tipo: "), F.col("tipo"), F.lit("]"))
         parent_id = F.concat(pre, F.lit("_p"), page, F.lit("_parent"), i)
@@ -139,12 +153,12 @@ def chunk_pages(files, pages="pages", parents=True, sep="\n\n", max_chars=fv.FLA
             F.transform("filhos", lambda t, c: _row(
                 F.concat(pre, F.lit("_p"), page, F.lit("_c"), i, F.lit("_"), c.cast("string")), t,
                 F.concat(head, F.lit("\n\nContexto: "), _snippet(text), F.lit("\n\n"), t), False, parent_id)))
-    out = rows.select("fonte", "ano", "tipo", "pagina", F.explode(chunks).alias("c"))
+    out = rows.select(*own, "pagina", F.explode(chunks).alias("c"))
     return out.select("c.*", page.alias("secao"), F.concat(F.lit("Página "), page).alias("titulo"),
-                      "pagina", "fonte", "ano", "tipo").select(*CHUNK_COLUMNS)
+                      "pagina", *own).select(*CHUNK_COLUMNS, *own[3:])
 
 
 def sections_of_chunks(chunks):
     """Section rows for files that were chunked without section detection."""
     return chunks.select(F.col("pagina").cast("string").alias("numero"), "titulo",
-                         F.col("pagina").alias("pagina_inicio"), "texto", "fonte")
+                         F.col("pagina").alias("pagina_inicio"), "texto", "fonte", *_source_columns(chunks)[3:])

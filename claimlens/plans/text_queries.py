@@ -95,7 +95,7 @@ UNION ALL SELECT {V.dup("pre || '_p' || p || '_c' || c", 'ord')}, pid, numero, t
 FROM v_section_children JOIN (SELECT doc_id AS d2, ord AS o2, p AS p2, {V.dup("pre || '_parent' || p", 'ord')} AS pid FROM v_section_parents)
   ON d2 = doc_id AND o2 = ord AND p2 = p""")
 def _(b):
-    c = H.chunk_sections(_sections(b), sep=LF, hash_of="path")
+    c = H.chunk_sections(_sections(b), sep=LF, hash_of="path", hash_chars=6)
     return c.select("id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "secao", "titulo", "pagina", "fonte", "tipo", "is_parent",
                     F.md5(F.col("texto").cast("binary")).alias("h"), F.md5(F.col("contexto").cast("binary")).alias("hc"))
 
@@ -106,7 +106,7 @@ SELECT {V.dup("pre || CASE WHEN i > 0 THEN '_parte' || i ELSE '' END", 'ord')} A
 FROM (SELECT s.*, f.fonte, {V.id_prefix('f.fonte', 'f.path')} || '_secao_' || numero AS pre, unnest(ps) AS parte, unnest(range(0, len(ps))) AS i, len(ps) AS n
   FROM (SELECT *, {V.split_pieces('texto', 1500, 200, V.SEP)} AS ps FROM v_sections) s JOIN v_files f USING (doc_id))""")
 def _(b):
-    c = H.chunk_sections(_sections(b), parents=False, sep=LF, hash_of="path")
+    c = H.chunk_sections(_sections(b), parents=False, sep=LF, hash_of="path", hash_chars=6)
     return c.select("id", F.md5(F.col("texto").cast("binary")).alias("h"), F.md5(F.col("contexto").cast("binary")).alias("hc"))
 
 
@@ -117,7 +117,7 @@ FROM v_blocks JOIN v_files USING (doc_id)
 UNION ALL SELECT pre || '_p' || pagina || '_c' || bloco || '_' || c, pre || '_p' || pagina || '_parent' || bloco, CAST(pagina AS VARCHAR), pagina, md5(filho),
   md5(head || chr(10) || chr(10) || 'Contexto: ' || {V.snippet('texto')} || chr(10) || chr(10) || filho) FROM v_block_children""")
 def _(b):
-    c = H.chunk_pages(b.files, sep=LF, hash_of="path")
+    c = H.chunk_pages(b.files, sep=LF, hash_of="path", hash_chars=6)
     return c.select("id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "secao", "pagina",
                     F.md5(F.col("texto").cast("binary")).alias("h"), F.md5(F.col("contexto").cast("binary")).alias("hc"))
 
@@ -127,7 +127,7 @@ SELECT {V.id_prefix('fonte', 'path')} || '_p' || pagina || '_c' || (row_number()
 FROM (SELECT doc_id, bloco, pagina, unnest(ps) AS t, unnest(range(0, len(ps))) AS i FROM (SELECT *, {V.split_pieces('texto', 1500, 200, V.SEP)} AS ps FROM v_blocks))
 JOIN v_files USING (doc_id)""")
 def _(b):
-    c = H.chunk_pages(b.files, parents=False, sep=LF, hash_of="path")
+    c = H.chunk_pages(b.files, parents=False, sep=LF, hash_of="path", hash_chars=6)
     return c.select("id", F.md5(F.col("texto").cast("binary")).alias("h"))
 
 
@@ -136,7 +136,7 @@ SELECT CAST(pagina AS VARCHAR) AS numero, 'Página ' || pagina AS titulo, pagina
 UNION ALL SELECT CAST(pagina AS VARCHAR), 'Página ' || pagina, pagina, fonte, md5(filho) FROM v_block_children""")
 def _(b):
     s = H.sections_of_chunks(H.chunk_pages(b.files, sep=LF))
-    return s.withColumn("h", F.md5(F.col("texto").cast("binary"))).drop("texto")
+    return s.withColumn("h", F.md5(F.col("texto").cast("binary"))).drop("texto", "fonte_id")
 
 
 @query("html_to_text", r"""

@@ -1,5 +1,6 @@
 """Table sinks of the document side."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -15,8 +16,22 @@ def parent_map(chunks):
 
 
 def source_key(*frames):
-    """The column that tells sources apart: ``fonte_id`` where every frame has it, else ``fonte``."""
-    return "fonte_id" if all("fonte_id" in f.columns for f in frames) else "fonte"
+    """The column that tells sources apart: ``fonte_id``, or ``fonte`` where no frame has that.
+
+    Different files may share ``fonte``, so a side that alone lacks ``fonte_id`` is an error.
+    """
+    have = {"fonte_id" in f.columns for f in frames}
+    if len(have) > 1:
+        raise ValueError("fonte_id is missing on one side; add it there, or name the key with source=")
+    return "fonte_id" if True in have else "fonte"
+
+
+def _table(spark, path):
+    """The table at a path as a list of one frame; of none if nothing is there yet."""
+    try:
+        return [spark.read.parquet(path)]
+    except AnalysisException:
+        return []
 
 
 def replace_by_source(existing, new, source=None):
@@ -28,14 +43,14 @@ def replace_by_source(existing, new, source=None):
 
 def overwrite_sources(new, path, source=None):
     """The same in place: only the partitions of the new sources are rewritten."""
-    source = source or source_key(new)
+    source = source or source_key(new, *_table(new.sparkSession, path))
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(source).parquet(path))
 
 
 def vector_collection(chunks, vectors, path=None):
     """Children with their vectors and metadata; written over ``path`` if given."""
-    meta = ["secao", "titulo", "pagina", "fonte", "ano", "tipo"]
+    meta = ["secao", "titulo", "pagina", "fonte", "ano", "tipo", *(["fonte_id"] if "fonte_id" in chunks.columns else [])]
     rows = (
         chunks.where(~F.coalesce(F.col("is_parent"), F.lit(False)))
         .select("id", F.col("contexto").alias("documento"), *meta)

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators import citations as Z, claim_text as P, catalog as K
+from claimlens.operators import chunks as H, citations as Z, claim_text as P, catalog as K
 from claimlens.functions.questions import claim_questions
 from claimlens.sources import corpus, schemas as S, sinks, snapshots as N
 from claimlens.streaming.claims import audit_stream
@@ -167,6 +168,26 @@ def test_claim_stream_equals_batch(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).count() == 0
 
 
+def test_chunks_of_files_with_equal_names_are_replaced_apart(spark, tmp_path):
+    paths = spark.range(10000, 13000).select(F.concat(F.lit("m/" + "a" * 60), F.col("id").cast("string"), F.lit(".pdf")).alias("path"))
+    files = corpus.with_path_attributes(paths).withColumn("pages", F.array(F.struct(F.lit(1).alias("pagina"), F.concat(F.lit("texto de uma pagina "), "path").alias("texto")))).withColumn(
+        "secoes", F.array(F.struct(F.lit("4").alias("numero"), F.lit("A").alias("titulo"), F.lit(1).alias("pagina_inicio"), F.col("path").alias("texto"))))
+    for make in (H.chunk_pages, H.chunk_sections):
+        for parents in (True, False):
+            old = make(files, parents=parents).cache()
+            n = old.count()
+            assert n == 3000 * (1 + parents) and old.select("id").distinct().count() == n and old.select("fonte").distinct().count() == 1
+            new = make(files.where(F.endswith("path", F.lit("a10077.pdf"))), parents=parents).withColumn("tipo", F.lit("new"))
+            out = sinks.replace_by_source(old, new)
+            assert out.count() == n and out.where("tipo = 'new'").count() == 1 + parents
+    with pytest.raises(ValueError, match="fonte_id"):
+        sinks.replace_by_source(old, new.drop("fonte_id"))
+    few = old.limit(3)
+    sinks.overwrite_sources(few, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="fonte_id"):
+        sinks.overwrite_sources(few.drop("fonte_id"), str(tmp_path / "t"))
+
+
 def test_files_with_equal_name_starts_are_replaced_apart(spark):
     files = corpus.with_path_attributes(spark.range(10000, 15000).select(F.concat(F.lit("m/" + "a" * 60), F.col("id").cast("string"), F.lit(".pdf")).alias("path")))
     assert files.select("fonte").distinct().count() == 1 and files.select("fonte_id").distinct().count() == 5000
