@@ -18,20 +18,32 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each group of documents that link, the one with the smallest id stays."""
+    """Of each group of documents that link, the one with the smallest id stays.
+
+    Rows without an id link with nothing and all stay. Rows that repeat an id are one
+    document as far as links go: if its group keeps that id, all its rows stay.
+    """
     from claimlens.llm.jaccard_join import ngram_components
 
     ship_package(spark)
     stay = ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Documents that hold passages of the benchmark, by the contamination rule, go."""
+    """Documents that hold passages of the benchmark, by the contamination rule, go.
+
+    Rows without an id are told apart by their text, on which alone the verdict depends.
+    """
+    from pyspark.sql import functions as F
+
     from claimlens.llm.decontam import contamination
 
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    kind = "bigint" if dict(docs.dtypes)["doc_id"] == "bigint" else "string"
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast(kind), F.xxhash64("text").cast(kind)))
+    bad = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark, docs, sf_dir):

@@ -351,6 +351,20 @@ def test_marginals_are_exact():
     assert html_tree.marginals(arrays, w)[0] == pytest.approx(ones / total)
 
 
+def test_pipeline_keeps_null_ids(llm_spark, tmp_path):
+    import corpus_pipeline as C
+
+    rows = [(None, EN), (None, DE), (1, EN), (2, EN), (3, DE * 2), (3, DE * 2), (None, "one more text with a leak in it"), (4, "another text with a leak in it")]
+    docs = llm_spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    llm_spark.createDataFrame([("i", "a leak")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    few = C.near_duplicates(llm_spark, docs, str(tmp_path))
+    assert few.columns == docs.columns
+    out = sorted(((r.doc_id or 0, r.text) for r in few.collect()))
+    assert out == sorted((i or 0, t) for i, t in rows if i != 2)
+    out = sorted((r.doc_id or 0, r.text) for r in C.decontaminate(llm_spark, docs, str(tmp_path)).collect())
+    assert out == sorted((i or 0, t) for i, t in rows[:6])
+
+
 def test_pipeline_stages(llm_spark, docs, tmp_path):
     import corpus_pipeline as C
 
