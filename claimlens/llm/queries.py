@@ -1,6 +1,6 @@
 """One query per operator, over whole tables."""
 
-from . import decontam, quality_rules
+from . import decontam, filter_audit, histogram_shards, quality_rules, ranked_search
 
 
 def table(spark, sf_dir, name):
@@ -63,7 +63,20 @@ def op10_secret_scan(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_histogram_shards(spark, sf_dir):
+    return histogram_shards.histogram_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_tree, op2_ngram_jaccard_join, op3_language_id, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_dedup, op7_bpe_words,
-    op8_quality_network, op9_token_spans, op10_secret_scan)}
-SQL = {"op4_benchmark_decontamination": decontam.SQL, "op5_quality_rules": quality_rules.SQL}
+    op8_quality_network, op9_token_spans, op10_secret_scan, op11_ranked_search, op12_filter_audit, op13_histogram_shards)}
+SQL = {"op4_benchmark_decontamination": decontam.SQL, "op5_quality_rules": quality_rules.SQL, "op11_ranked_search": ranked_search.SQL,
+       "op12_filter_audit": filter_audit.SQL, "op13_histogram_shards": histogram_shards.SQL}
