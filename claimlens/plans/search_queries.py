@@ -80,10 +80,26 @@ def _(b):
 
 @query("vector_topk_blocks", NEAR)
 def _(b):
-    hits = W.search(_label_queries(b), b.vectors, broadcast_limit=0, doc_block=200, query_block=4)
+    hits = W.search(_label_queries(b), b.vectors, doc_block=200, query_block=4)
     return hits.select("query_id", "id", r6("score"), "posicao")
 
 
+@query("vector_cells_all", NEAR)
+def _(b):
+    ix = W.build_cells(b.vectors, shared_dir(b.spark, "cells"))
+    return W.search_cells(_label_queries(b), ix, probes=len(ix.centroids)).select("query_id", "id", r6("score"), "posicao")
+
+
+@query("vector_cells_recall", """
+SELECT count(*) * 20 AS n, true AS recall_90, true AS fewer_cells FROM embeddings WHERE vec_id % 50 = 0""")
+def _(b):
+    """Stored vectors as questions: recall@20 of the default probes against the exact search."""
+    q = b.vectors.where("cast(substring(id, 2) as bigint) % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    ix = W.build_cells(b.vectors, shared_dir(b.spark, "cells"))
+    found = W.recall(W.search(q, ix), W.search(q, b.vectors))
+    return found.select("n", (F.col("recall") >= 0.9).alias("recall_90"), F.lit(ix.probes < len(ix.centroids)).alias("fewer_cells"))
+
+
 @query("vector_filtered", f"""
 WITH q AS (SELECT label AS query_id, v, CASE WHEN label % 3 = 0 THEN '2008' END AS f_ano, CASE WHEN label % 2 = 0 THEN 'manual' END AS f_tipo FROM v_centroids)
 SELECT query_id, id, round(score, 6) AS score FROM ({V.vector_top('q', 'query_id', 10, True)})""")

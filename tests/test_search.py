@@ -89,14 +89,17 @@ def vectors(spark):
     return v, spark.createDataFrame(rows, "id string, embedding array<double>, ano string")
 
 
-@pytest.mark.parametrize("limit,filters", [(100, ()), (0, ()), (100, ("ano",)), (0, ("ano",))])
-def test_vector_search_is_exact(spark, vectors, limit, filters):
+@pytest.mark.parametrize("block,filters", [(1000, ()), (70, ()), (1000, ("ano",)), (70, ("ano",))])
+@pytest.mark.parametrize("cells", [False, True])
+def test_vector_search_is_exact(spark, vectors, tmp_path, block, filters, cells):
     v, df = vectors
     big = 9_007_199_254_740_993  # not representable as a double
     qs = [(big + i, [float(x) for x in v[i]], None if i % 2 else "2011") for i in range(12)]
     q = spark.createDataFrame(qs, "query_id long, vector array<double>, f_ano string")
     got = {}
-    for r in W.search(q, df, n=5, filters=filters, broadcast_limit=limit, doc_block=70, query_block=5).collect():
+    run = {"n": 5, "filters": filters, "doc_block": block, "query_block": 5}
+    hits = W.search_cells(q, W.build_cells(df, str(tmp_path)), probes=100, **run) if cells else W.search(q, df, **run)
+    for r in hits.collect():
         got.setdefault(r.query_id, []).append((r.posicao, r.id))
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     for i, (k, _, year) in enumerate(qs):
@@ -108,8 +111,26 @@ def test_vector_search_is_exact(spark, vectors, limit, filters):
 
 def test_filter_that_matches_nothing(spark, vectors):
     q = spark.createDataFrame([(1, [1.0] * 8, "1999")], "query_id long, vector array<double>, f_ano string")
-    for limit in (0, 10):
-        assert W.search(q, vectors[1], filters=("ano",), broadcast_limit=limit).count() == 0
+    assert W.search(q, vectors[1], filters=("ano",)).count() == 0
+    assert W.search(q.limit(0), vectors[1]).count() == 0 and W.search(q, vectors[1].limit(0)).count() == 0
+
+
+def test_cells_find_most_neighbours_in_few_cells(spark, tmp_path):
+    """Clustered vectors with one huge cluster and one vector repeated: recall, every vector indexed, blocks of bounded size."""
+    rnd = np.random.default_rng(9)
+    middle = rnd.normal(size=(30, 16)) * 3
+    of = np.concatenate([np.zeros(1500, int), rnd.integers(0, 30, 1500)])
+    v = middle[of] + rnd.normal(size=(3000, 16))
+    v[:400] = v[0]
+    df = spark.createDataFrame([(f"v{i:04d}", [float(x) for x in r]) for i, r in enumerate(v)], "id string, embedding array<double>")
+    df = df.unionByName(spark.createDataFrame([("none", None)], "id string, embedding array<double>"))
+    q = df.where("id like '%00' and embedding is not null").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    ix = W.build_cells(df, str(tmp_path))
+    assert len(ix.centroids) == round(math.sqrt(3000)) and ix.vectors.count() == 3000
+    exact = W.search(q, df)
+    got = W.recall(W.search(q, ix, doc_block=100), exact).first()
+    assert got.n == 30 * 20 and got.recall >= 0.9 and ix.probes <= len(ix.centroids) // 4
+    assert W.recall(W.search(q, W.read_cells(spark, str(tmp_path))), exact).first().recall == got.recall
 
 
 # --- fusion -----------------------------------------------------------------------------
