@@ -1,11 +1,11 @@
 """Stored rows and questions that meet block by block.
 
-Stored rows lie in cells; a cell is cut into blocks of bounded size. A question goes to
-every block of the cells it asks for, and the stored row of a block comes before the
-questions of the block in the same sorted partition. A task holds one block and lets the
-questions stream past it, so its memory does not depend on how many there are. Only when
-a cell has very many questions are they cut into slices that work side by side, each with
-its copy of the cell. The only exchange is the one that brings both sides together.
+Stored rows lie in cells, a cell in blocks of bounded size. A question goes to the blocks
+that it asks for, and the stored rows of a block come before the questions of the block in
+the same sorted partition. A task holds one block and lets the questions stream past it, so
+its memory does not depend on how many there are. Very many questions of a block are cut into
+slices that work side by side, each with its copy of the block. The only exchange is the one
+that brings both sides together.
 """
 
 import math
@@ -16,27 +16,17 @@ from pyspark.sql import functions as F
 PLACE = ["_cell", "_block", "_slice"]
 
 
-def meet(stored, asked, keys, block_rows, slice_rows, score, schema, order=()):
-    """``score(block, questions)`` for every block and the questions that meet it.
+def scan_blocks(stored, asked, score, schema, order=()):
+    """``score(block)(questions)`` for every block and the questions that meet it.
 
-    ``stored`` and ``asked`` have a column ``cell``; ``keys`` tell questions apart. ``block``
-    is a function of the held record batches, called once a block; what it returns is
-    called with record batches of questions and gives a record batch, or None.
+    Both sides have the integer columns of PLACE. ``score`` gets the record batches of a
+    block, once; what it returns is called with record batches of questions and gives a
+    record batch, or None.
     """
-    spark = stored.sparkSession
-    # one row per cell on the driver; the number of cells is a bounded parameter of the index
-    size = dict(stored.groupBy("cell").count().collect())
-    asks = dict(asked.groupBy("cell").count().collect())
-    plan = [(c, math.ceil(size[c] / block_rows), math.ceil(asks[c] / slice_rows)) for c in size if c in asks]
-    plan = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, slices int"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    s = (stored.join(plan, "cell").withColumn("_block", F.pmod(F.xxhash64(*(order or ["id"])), F.col("blocks")).cast("int"))
-         .withColumn("_slice", upto("slices")).withColumn("_side", F.lit(0)))
-    q = (asked.join(plan, "cell").withColumn("_slice", F.pmod(F.xxhash64(*keys), F.col("slices")).cast("int"))
-         .withColumn("_block", upto("blocks")).withColumn("_side", F.lit(1)))
-    both = s.unionByName(q, allowMissingColumns=True).drop("blocks", "slices").withColumnRenamed("cell", "_cell")
-    # given in full so that small shuffles are not merged into few tasks of heavy work
-    both = both.repartition(_parts(spark), *PLACE).sortWithinPartitions(*PLACE, "_side", *order)
+    both = stored.withColumn("_side", F.lit(0)).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    # the number is given so that small shuffles are not merged into few tasks of heavy work
+    both = both.repartition(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
+    both = both.sortWithinPartitions(*PLACE, "_side", *order)
 
     def scan(batches):
         place, held, ready = None, [], None
@@ -61,5 +51,20 @@ def meet(stored, asked, keys, block_rows, slice_rows, score, schema, order=()):
     return both.mapInArrow(scan, schema)
 
 
-def _parts(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def meet(stored, asked, keys, block_rows, slice_rows, score, schema, order=()):
+    """``scan_blocks`` of sides with a column ``cell``: cells are cut into blocks and slices by their counts.
+
+    A question goes to every block of its cells. ``keys`` tell questions apart.
+    """
+    spark = stored.sparkSession
+    # one row per cell on the driver; the number of cells is a bounded parameter of the index
+    size = dict(stored.groupBy("cell").count().collect())
+    asks = dict(asked.groupBy("cell").count().collect())
+    plan = [(c, math.ceil(size[c] / block_rows), math.ceil(asks[c] / slice_rows)) for c in size if c in asks]
+    plan = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, slices int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda cols, n: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
+    s = stored.join(plan, "cell").withColumn("_block", part(order or ["id"], "blocks")).withColumn("_slice", upto("slices"))
+    q = asked.join(plan, "cell").withColumn("_slice", part(keys, "slices")).withColumn("_block", upto("blocks"))
+    placed = [df.drop("blocks", "slices").withColumnRenamed("cell", "_cell") for df in (s, q)]
+    return scan_blocks(*placed, score, schema, order)

@@ -16,9 +16,17 @@ from claimlens.streaming import claims as stream_claims, documents as stream_doc
 r6 = lambda c: F.round(c, 6).alias(c)
 
 
+_STORED = {}
+
+
 def index(b):
-    """The corpus index, written once per query to the shared folder."""
-    return bm25.build_index(b.chunks, meta=S.FILTERS, folder=shared_dir(b.spark, "bm25"))
+    """The stored corpus index: written by the first search of a session, read by all later ones."""
+    key = (b.spark.sparkContext.applicationId, b.dir)
+    if key not in _STORED:
+        folder = shared_dir(b.spark, "bm25")
+        bm25.build_index(b.chunks, meta=S.FILTERS, folder=folder, source="fonte")
+        _STORED[key] = folder
+    return bm25.read_index(b.spark, _STORED[key])
 
 
 def corpus(b, rerank=True, words=True):
@@ -29,12 +37,27 @@ def corpus(b, rerank=True, words=True):
 # --- BM25 ------------------------------------------------------------------------------
 @query("bm25_index", "SELECT id, term, tf, CAST(dl AS INTEGER) AS dl FROM v_tf")
 def _(b):
-    return bm25.build_index(b.chunks)["postings"].select("id", "term", F.col("tf").cast("long").alias("tf"), "dl")
+    return bm25.postings(b.chunks).select("id", "term", F.col("tf").cast("long").alias("tf"), "dl")
 
 
 @query("bm25_terms", "SELECT term, df, round(idf, 6) AS idf FROM v_terms")
 def _(b):
-    return bm25.term_idf(bm25.build_index(b.chunks)).select("term", "df", r6("idf"))
+    return bm25.term_idf(index(b)).select("term", "df", r6("idf"))
+
+
+view("v_lists_after", """
+SELECT term, count(*) AS df, sum(tf) AS cf FROM v_tf WHERE CAST(substr(id, 2) AS BIGINT) % 3 <> 1 OR id NOT IN (SELECT id FROM v_replaced) GROUP BY term""")
+view("v_replaced", "SELECT id FROM v_chunks WHERE fonte IN (SELECT DISTINCT fonte FROM v_chunks ORDER BY fonte LIMIT 2)")
+
+
+@query("bm25_replace_sources", "SELECT term, df, CAST(cf AS BIGINT) AS cf FROM v_lists_after")
+def _(b):
+    """Two sources come again without a third of their documents: statistics of the index after the replacement."""
+    folder = shared_dir(b.spark, "bm25")
+    bm25.build_index(b.chunks, meta=S.FILTERS, folder=folder, source="fonte")
+    names = b.chunks.select("fonte").distinct().orderBy("fonte").limit(2)
+    new = b.chunks.join(names, "fonte", "left_semi").where("cast(substring(id, 2) as bigint) % 3 <> 1")
+    return bm25.replace_sources(new, folder, meta=S.FILTERS)["terms"]
 
 
 view("v_plain_q", "SELECT query_id, pergunta AS texto FROM v_questions")

@@ -264,7 +264,7 @@ view("v_corpus", "SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM v_doc_token
 view("v_terms_raw", """
 SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM v_tf GROUP BY term), v_corpus""")
 view("v_terms", """
-SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM v_terms_raw) ELSE raw END AS idf FROM v_terms_raw""")
+SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM v_terms_raw""")
 
 
 def bm25(questions, keys, filters=False):

@@ -72,13 +72,61 @@ def test_stored_index_gives_the_same_answers(spark, index, tmp_path):
     folder = str(tmp_path / "ix")
     chunks = spark.createDataFrame([(k, v) for k, v in DOCS.items()], ["id", "contexto"])
     stored = bm25.build_index(chunks, folder=folder)
-    clustered = bm25.cluster_postings(stored, folder)
     qs = spark.createDataFrame([(1, "uti leito hospital")], ["query_id", "pergunta"])
     want = sorted(ranked(bm25.search(qs, index), "id", "score"))
-    for ix in (stored, clustered, bm25.read_index(spark, folder)):
+    for ix in (stored, bm25.read_index(spark, folder)):
         assert sorted(ranked(bm25.search(qs, ix), "id", "score")) == want
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """3000 documents of 40 sources; a word of a third of them, rare words in few."""
+    rnd = random.Random(4)
+    rows = [(f"x{i:04d}", f"s{i % 40}", " ".join(["comum"] * (i % 3 == 0) * rnd.randint(1, 4) + [f"raro{i % 40}"]
+             + [f"termo{int(rnd.paretovariate(.7)) % 300}" for _ in range(rnd.randint(1, 30))])) for i in range(3000)]
+    return spark.createDataFrame(rows, "id string, fonte string, contexto string")
+
+
+def test_blocks_give_the_best_of_all_pairs(spark, many, monkeypatch):
+    ix = bm25.build_index(many, source="fonte", meta=("fonte",), segments=4, block_docs=200)
+    sizes = ix["lists"].groupBy("segment", "block").agg(F.max("df").alias("df")).collect()
+    assert len(sizes) >= 10 and sum(ix["lists"].where("term = 'comum'").select("df").toPandas()["df"]) == 1000
+    qs = spark.createDataFrame([(1, "comum", None), (2, "comum raro7 raro9", None), (3, "raro3 termo5 termo5", None), (4, "comum termo2", "s3"), (5, "nada", None)],
+                               "query_id int, pergunta string, f_fonte string")
+    full = bm25.score(qs, ix).join(many.select("id", "fonte"), "id").join(qs.select("query_id", "f_fonte"), "query_id").where("f_fonte is null or f_fonte = fonte")
+    want = {(r.query_id, r.posicao, r.id, r.score) for r in bm25.top_n(full, ["query_id"], [F.desc("score"), "id"], 10).collect()}
+    passes = []
+    real = bm25.scan_blocks
+    monkeypatch.setattr(bm25, "scan_blocks", lambda *a, **k: passes.append((a[1].count(), real(*a, **k))) or passes[-1][1])
+    for slice_rows in (50000, 2):
+        passes.clear()
+        got = bm25.search(qs, ix, n=10, filters=("fonte",), slice_rows=slice_rows)
+        assert {(r.query_id, r.posicao, r.id, r.score) for r in got.collect()} == want
+        # k rows per question and block leave the tasks, however many documents hold a word
+        assert all(df.count() <= 10 * pairs for pairs, df in passes)
+    # the rare words rule out most blocks
+    passes.clear()
+    bm25.search(qs.where("query_id = 2"), ix, n=5).count()
+    assert passes[0][0] == 1 and passes[1][0] <= 2
+
+
+def test_replaced_sources_equal_a_full_rebuild(spark, many, tmp_path):
+    folder = str(tmp_path / "ix")
+    bm25.build_index(many, folder=folder, source="fonte", meta=("fonte",), segments=8, block_docs=100)
+    before = {r.segment: r.f for r in spark.read.parquet(f"{folder}/docs").groupBy("segment").agg(F.max("_metadata.file_modification_time").alias("f")).collect()}
+    new = many.where("fonte in ('s1', 's2')").where("id < 'x2000'").unionByName(
+        spark.createDataFrame([("y1", "s1", "comum novo novo"), ("y2", "outra", "novo")], "id string, fonte string, contexto string"))
+    for _ in range(2):  # a repeated call changes nothing
+        ix = bm25.replace_sources(new, folder, meta=("fonte",), segments=8, block_docs=100)
+        whole = bm25.build_index(many.where("fonte not in ('s1', 's2')").unionByName(new), source="fonte", meta=("fonte",), segments=8, block_docs=100)
+        for table in ("terms", "corpus"):
+            assert sorted(map(str, ix[table].collect())) == sorted(map(str, whole[table].collect()))
+        flat = lambda x: sorted(map(str, x["lists"].select("segment", "block", "term", "df", "cf", "tf_most", "dl_least", F.sort_array("entries").alias("e")).collect()))
+        assert flat(ix) == flat(whole)
+    after = {r.segment: r.f for r in spark.read.parquet(f"{folder}/docs").groupBy("segment").agg(F.max("_metadata.file_modification_time").alias("f")).collect()}
+    assert 0 < sum(before[s] != after[s] for s in before) <= 3
+
+
 # --- vectors ----------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def vectors(spark):
