@@ -173,6 +173,31 @@ def test_bpe_joins_rare_words(docs, monkeypatch):
     assert few == {r[0]: tuple(r)[1:] for r in bpe_words.encode_digests(docs).collect()}
 
 
+def test_packed_codes():
+    codes = np.array([0, 1, 127, 128, 300, 16383, 16384, bpe_words.FREQUENT, 5])
+    data, size = bpe_words._packed(codes)
+    assert bpe_words._unpacked(data.tobytes()).tolist() == codes.tolist() and size.tolist() == [1, 1, 1, 2, 2, 2, 3, 3, 1]
+    assert bpe_words._unpacked(b"").tolist() == []
+
+
+def test_bpe_of_many_rows_without_id(llm_spark, monkeypatch):
+    """Rows without id, equal and different texts, words over 32 bytes: every row keeps its own words."""
+    monkeypatch.setattr(bpe_words, "FREQUENT", 200)
+    text = lambda i: f"row {i % 30000} of {'long' * (9 + i % 5)}{i % 30000} and w{i % 997}"
+    n = 100_000
+    df = llm_spark.range(n).selectExpr(
+        "cast(null as bigint) as doc_id",
+        "concat('row ', id % 30000, ' of ', repeat('long', cast(9 + id % 5 as int)), id % 30000, ' and w', id % 997) as text")
+    t = bpe_words.load(bpe_words.tokenizer_path())
+    want = collections.Counter()
+    for i in range(n):
+        want[text(i)] += 1
+    digest = {x: hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest() for x, e in zip(want, t.encode_batch(list(want), add_special_tokens=False), strict=True)}
+    got = bpe_words.encode_digests(df).groupBy("ids_sha256").count().collect()
+    assert {r[0]: r[1] for r in got} == {digest[x]: c for x, c in want.items()}
+    assert bpe_words.encode_digests(df.limit(0)).count() == 0
+
+
 def test_token_spans(docs):
     enc, _ = token_spans.encoder(token_spans.ranks_path())
     got = collections.defaultdict(list)
