@@ -132,3 +132,22 @@ def info(cat, months=None):
         .groupBy(MONTH).agg(F.count("*").alias("total_cnes")).withColumn("tipo", F.lit(k))
         for k, t in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), per_table)
+
+
+def as_of_months(requests, registry, key="codigo_cnes", month="competencia", registry_key="cnes", name="mes_cnes"):
+    """Requests with the newest month of ``registry`` that has their facility and is not after their own.
+
+    NULL where the facility appears later only, or never. Months are YYYYMM texts. A facility's
+    months (a handful a year) are one array, so requests are joined once by facility and keep
+    their number of rows.
+    """
+    months = registry.groupBy(F.col(registry_key).alias("_key")).agg(F.collect_set(MONTH).alias("_months"))
+    found = F.array_max(F.filter("_months", lambda m: m <= F.col(month)))
+    return requests.join(months, requests[key] == months["_key"], "left").withColumn(name, found).drop("_key", "_months")
+
+
+def rows_as_of(requests, registry, key="codigo_cnes", month="competencia", registry_key="cnes", name="mes_cnes"):
+    """Requests with the registry rows of their facility, as of their month; requests without any drop out."""
+    dated = as_of_months(requests, registry, key, month, registry_key, name)
+    rows = registry.withColumnsRenamed({registry_key: "_key", MONTH: "_month"})
+    return dated.join(rows, (F.col(key) == F.col("_key")) & (F.col(name) == F.col("_month"))).drop("_key", "_month")

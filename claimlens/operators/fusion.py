@@ -56,10 +56,10 @@ def resolve_parents(results, parent_map, keys=("query_id",), carry=()):
 
 def keep_relevant(results, keys=("query_id",), threshold=fv.KEEP_RELEVANCE):
     """Rows at or above the threshold; all rows of a question that has none."""
-    keys = list(keys)
-    best = results.groupBy(*keys).agg(F.max(F.coalesce("score", F.lit(0.0))).alias("_best"))
+    # a question has as many results as its limit, so the groups are small and the results are evaluated once
+    best = F.max(F.coalesce("score", F.lit(0.0))).over(W.partitionBy(*keys))
     keep = (F.coalesce("score", F.lit(0.0)) >= threshold) | (F.col("_best") < threshold)
-    return results.join(best, keys).where(keep).drop("_best")
+    return results.withColumn("_best", best).where(keep).drop("_best")
 
 
 def merge_results(results, keys=("query_id",), order="ordem", keep="best"):

@@ -463,3 +463,26 @@ SELECT DISTINCT co_procedimento, codigo_cid, ok_cid AS valido, coalesce(no_cid,
 FROM v_checks WHERE existe""")
 def _(b):
     return A.diagnosis_check(b.claims, b, M2).drop("no_procedimento", "total_cids")
+
+
+AS_OF = """
+WITH q AS (SELECT claim_id, codigo_cnes, CASE claim_id % 3 WHEN 0 THEN '202312' WHEN 1 THEN '202401' ELSE '202403' END AS competencia FROM v_claims),
+m AS (SELECT claim_id, q.codigo_cnes, competencia, (SELECT max(l.dt_competencia) FROM tb_leito_cnes l WHERE l.cnes = q.codigo_cnes AND l.dt_competencia <= q.competencia) AS mes_cnes FROM q)
+"""
+
+
+def _dated_claims(b):
+    k = F.col("claim_id") % 3
+    return b.claims.select("claim_id", "codigo_cnes", F.when(k == 0, "202312").when(k == 1, "202401").otherwise("202403").alias("competencia"))
+
+
+@query("facility_month_as_of", AS_OF + "SELECT claim_id, codigo_cnes, competencia, mes_cnes FROM m")
+def _(b):
+    """Claims of months that the registry does not have, is older than, or has without their facility."""
+    return Y.as_of_months(_dated_claims(b), b.tb_leito_cnes)
+
+
+@query("facility_beds_as_of", AS_OF + """
+SELECT claim_id, competencia, mes_cnes, co_leito, quantidade_sus FROM m JOIN tb_leito_cnes l ON l.cnes = m.codigo_cnes AND l.dt_competencia = m.mes_cnes""")
+def _(b):
+    return Y.rows_as_of(_dated_claims(b), b.tb_leito_cnes).select("claim_id", "competencia", "mes_cnes", "co_leito", "quantidade_sus")

@@ -135,9 +135,11 @@ def with_retry(questions, c: Corpus, first, n_retry=5, retry_below=fv.RETRY_RELE
 
     ``first``: results of the questions. Only weak questions are searched again;
     new ids are added (the first score seen counts), the threshold is applied
-    again, and a warning is set per question.
+    again, and a warning is set per question. The first search is evaluated once: what is
+    kept of it is written, and the weak questions, the pool and the warnings read that.
     """
-    kept = fusion.keep_relevant(first, threshold=keep_from)
+    folder = shared_dir(questions.sparkSession, "retry")
+    kept = write_once(fusion.keep_relevant(first, threshold=keep_from), f"{folder}/kept")
     best = questions.select("query_id").join(
         kept.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left")
     weak = best.where(F.coalesce("best", F.lit(0.0)) < retry_below).select("query_id")
@@ -148,7 +150,7 @@ def with_retry(questions, c: Corpus, first, n_retry=5, retry_below=fv.RETRY_RELE
         F.col("request_id").alias("query_id"), "id", "score", "ordem")
     pooled = kept.select("query_id", "id", "score").withColumn("ordem", F.lit(0)).unionByName(again)
     merged = fusion.merge_results(pooled, keep="first").drop("ordem")
-    final = fusion.keep_relevant(merged, threshold=keep_from)
+    final = write_once(fusion.keep_relevant(merged, threshold=keep_from), f"{folder}/final")
     stats = questions.select("query_id").join(
         final.groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("n")), "query_id", "left")
     top = F.coalesce("best", F.lit(0.0))

@@ -427,3 +427,10 @@ SELECT 'd' || doc_id AS id, source AS fonte, length(text) AS n FROM documents"""
 def _(b):
     out = stream_documents.replace_documents(b)
     return out.select("id", "fonte", F.length("texto").cast("long").alias("n"))
+
+
+@query("stream_replace_editions", """
+SELECT 'd' || doc_id AS id, source AS fonte, length(text) AS n, 2 AS edicao FROM documents""")
+def _(b):
+    out = stream_documents.edition_documents(b)
+    return out.select("id", "fonte", F.length("texto").cast("long").alias("n"), "edicao")

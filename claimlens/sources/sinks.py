@@ -26,7 +26,7 @@ def source_key(*frames):
     return "fonte_id" if True in have else "fonte"
 
 
-def _table(spark, path):
+def table_at(spark, path):
     """The table at a path as a list of one frame; of none if nothing is there yet."""
     try:
         return [spark.read.parquet(path)]
@@ -43,7 +43,7 @@ def replace_by_source(existing, new, source=None):
 
 def overwrite_sources(new, path, source=None):
     """The same in place: only the partitions of the new sources are rewritten."""
-    source = source or source_key(new, *_table(new.sparkSession, path))
+    source = source or source_key(new, *table_at(new.sparkSession, path))
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(source).parquet(path))
 

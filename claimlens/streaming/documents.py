@@ -1,16 +1,17 @@
 """Documents arriving as a stream, replaced source by source."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimlens.session import shared_dir
-from claimlens.sources.sinks import overwrite_sources
+from claimlens.session import shared_dir, write_once
+from claimlens.sources.sinks import overwrite_sources, source_key, table_at
 
 
 def replace_stream(documents, table, checkpoint, source=None):
     """Replace, for every batch, the table partitions of the sources it contains.
 
-    A batch must hold a source completely (one file per edition). Rewriting whole
-    partitions makes a repeated batch harmless.
+    A batch must hold a source completely (one file per edition; else see
+    ``replace_editions``). Rewriting whole partitions makes a repeated batch harmless.
     """
     def one_batch(batch, _batch_id):
         overwrite_sources(batch, table, source)
@@ -23,6 +24,68 @@ def replace_stream(documents, table, checkpoint, source=None):
     )
 
 
+def replace_editions(documents, table, stage, checkpoint, source=None, wait=None):
+    """Replace sources by editions that may arrive over several batches, in any order.
+
+    Rows carry ``edicao`` (larger is newer), ``parte`` and ``partes``, the number of parts of
+    the edition. Rows wait below ``stage`` until their edition has all its parts; then the
+    newest complete edition of a source replaces the source's partition, unless the table
+    already holds a newer one. A part that comes again counts once, as it came last.
+    Editions that are still incomplete ``wait`` batches after their first part go to
+    ``stage/incompletas`` (``None``: they wait for ever).
+
+    Every batch derives its waiting rows from the ones of the batch before and writes them
+    whole, and partitions are rewritten whole, so a repeated batch changes nothing.
+    """
+    def one_batch(batch, batch_id):
+        spark = batch.sparkSession
+        key = source or source_key(batch)
+        edition = [key, "edicao"]
+        new = batch.withColumn("_lote", F.lit(batch_id)).withColumn("_desde", F.lit(batch_id))
+        before = table_at(spark, f"{stage}/espera/lote={batch_id - 1}") if batch_id else []
+        rows = before[0].unionByName(new) if before else new
+        # of a repeated part the rows of its last batch
+        last = F.max("_lote").over(W.partitionBy(*edition, "parte"))
+        rows = write_once(rows.withColumn("_ultimo", last).where("_lote = _ultimo").drop("_ultimo"), f"{stage}/lidas/lote={batch_id}")
+        state = rows.groupBy(*edition).agg(F.countDistinct("parte").alias("n"), F.max("partes").alias("partes"), F.min("_desde").alias("desde"))
+        state = write_once(state.withColumn("completa", F.col("n") >= F.col("partes")), f"{stage}/edicoes/lote={batch_id}")
+        ready = state.where("completa").groupBy(key).agg(F.max("edicao").alias("edicao"))
+        for held in table_at(spark, table):
+            # a row per source
+            current = held.groupBy(key).agg(F.max("edicao").alias("_atual"))
+            ready = ready.join(current, key, "left").where("_atual is null or edicao >= _atual").drop("_atual")
+        ready = write_once(ready, f"{stage}/publicadas/lote={batch_id}")
+        overwrite_sources(rows.join(ready, edition, "left_semi").drop("_lote", "_desde"), table, key)
+        open_ = state.where("not completa").select(*edition, F.col("desde").alias("_inicio"))
+        waiting = rows.join(open_, edition).withColumn("_desde", F.col("_inicio")).drop("_inicio")
+        if wait is not None:
+            late = F.col("_desde") + wait <= batch_id
+            waiting.where(late).write.mode("overwrite").parquet(f"{stage}/incompletas/lote={batch_id}")
+            waiting = waiting.where(~late)
+        waiting.write.mode("overwrite").parquet(f"{stage}/espera/lote={batch_id}")
+
+    return (
+        documents.writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def edition_documents(b, files=4):
+    """The test documents as new editions, every source spread over several batches."""
+    spark = b.spark
+    base = shared_dir(spark, "stream-editions")
+    view = b.raw("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("fonte"), F.col("text").alias("texto"), F.pmod("doc_id", F.lit(files)).alias("parte"))
+    overwrite_sources(view.drop("parte").withColumns({"texto": F.lit("old edition"), "edicao": F.lit(1), "parte": F.lit(0).cast("long"), "partes": F.lit(1).cast("long")}), f"{base}/table")
+    partes = view.groupBy("fonte").agg(F.countDistinct("parte").alias("partes"))
+    view.join(partes, "fonte").withColumn("edicao", F.lit(2)).select("id", "texto", "edicao", "parte", "partes", "fonte").repartition(files, "parte").write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    replace_editions(new, f"{base}/table", f"{base}/stage", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/table")
+
+
 def replace_documents(b):
     """The test documents as a stream of editions over a table of older texts."""
     spark = b.spark

@@ -1,11 +1,15 @@
+import glob
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators import chunks as H, citations as Z, claim_text as P, catalog as K
+from claimlens.operators import chunks as H, citations as Z, claim_text as P, catalog as K, facility
 from claimlens.functions.questions import claim_questions
 from claimlens.sources import corpus, schemas as S, sinks, snapshots as N
 from claimlens.streaming.claims import audit_stream
-from claimlens.streaming.documents import replace_stream
+from claimlens.streaming.documents import replace_editions, replace_stream
 
 
 def grupo(spark, rows):
@@ -154,6 +158,62 @@ def test_document_stream_replaces_sources(spark, tmp_path):
     assert sorted((r.fonte, int(r.id)) for r in spark.read.parquet(f"{base}/t").collect()) == [("a", 1), ("b", 9)]
 
 
+EDITION = "id string, texto string, edicao int, parte int, partes int, fonte string"
+
+
+def edition_batches(spark, folder, batches):
+    """One file per batch, in order."""
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, EDITION)
+        df.coalesce(1).write.parquet(f"{folder}/x{i}")
+        name, = glob.glob(f"{folder}/x{i}/part-*")
+        os.makedirs(f"{folder}/in", exist_ok=True)
+        shutil.copy(name, f"{folder}/in/{i:02d}.parquet")
+        os.utime(f"{folder}/in/{i:02d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(EDITION).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def rows_of(spark, path):
+    return sorted((r.fonte, r.edicao, r.id, r.texto) for r in spark.read.parquet(path).collect())
+
+
+def test_editions_over_several_batches(spark, tmp_path):
+    base = str(tmp_path)
+    spark.createDataFrame([("a0", "old", 1, 0, 1, "a"), ("b0", "old", 1, 0, 1, "b"), ("c0", "old", 5, 0, 1, "c")], EDITION).write.partitionBy("fonte").parquet(f"{base}/t")
+    batches = [
+        [("a1", "x", 2, 0, 2, "a"), ("b1", "x", 2, 0, 1, "b")],             # half of a, all of b
+        [("c1", "late", 4, 0, 1, "c"), ("d1", "x", 1, 0, 2, "d")],          # older than the table; half of a new source
+        [("a2", "x", 2, 1, 2, "a"), ("a9", "y", 3, 0, 2, "a")],             # a complete; half of the next edition
+        [("d1", "again", 1, 0, 2, "d"), ("d2", "x", 1, 1, 2, "d")],         # a part comes again, changed
+    ]
+    stream = edition_batches(spark, base, batches)
+    for _ in range(2):  # a second run finds nothing new
+        replace_editions(stream, f"{base}/t", f"{base}/s", f"{base}/cp").awaitTermination()
+        assert rows_of(spark, f"{base}/t") == [("a", 2, "a1", "x"), ("a", 2, "a2", "x"), ("b", 2, "b1", "x"), ("c", 5, "c0", "old"),
+                                               ("d", 1, "d1", "again"), ("d", 1, "d2", "x")]
+    assert [r.id for r in spark.read.parquet(f"{base}/s/espera/lote=3").collect()] == ["a9"]
+    # all batches again from the start, as after a lost checkpoint, over the table as it is
+    replace_editions(stream, f"{base}/t", f"{base}/s", f"{base}/cp2").awaitTermination()
+    assert len(rows_of(spark, f"{base}/t")) == 6
+
+
+def test_incomplete_editions_time_out(spark, tmp_path):
+    base = str(tmp_path)
+    stream = edition_batches(spark, base, [[("a1", "x", 2, 0, 2, "a")], [("b1", "x", 1, 0, 1, "b")], [("c1", "x", 1, 0, 1, "c")], [("a2", "x", 2, 1, 2, "a")]])
+    replace_editions(stream, f"{base}/t", f"{base}/s", f"{base}/cp", wait=2).awaitTermination()
+    assert [r[2] for r in rows_of(spark, f"{base}/t")] == ["b1", "c1"]
+    assert [r.id for r in spark.read.parquet(f"{base}/s/incompletas").collect()] == ["a1"]
+
+
+def test_months_as_of(spark):
+    reg = spark.createDataFrame([("1", "202401", 10), ("1", "202401", 11), ("1", "202403", 12), ("2", "202405", 13)], "cnes string, dt_competencia string, v int")
+    req = spark.createDataFrame([(1, "1", "202312"), (2, "1", "202402"), (3, "1", "202412"), (4, "2", "202404"), (5, "9", "202404"), (6, None, "202404")],
+                                "claim_id int, codigo_cnes string, competencia string")
+    got = {r.claim_id: r.mes_cnes for r in facility.as_of_months(req, reg).collect()}
+    assert got == {1: None, 2: "202401", 3: "202403", 4: None, 5: None, 6: None}
+    assert sorted((r.claim_id, r.v) for r in facility.rows_as_of(req, reg).collect()) == [(2, 10), (2, 11), (3, 12)]
+
+
 def test_claim_stream_equals_batch(spark, tmp_path):
     from claimlens.operators import audit as A
     from claimlens.plans.bindings import Bound
