@@ -11,10 +11,10 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from claimlens.functions import fixed_values as fv, questions as Q
+from claimlens.functions import fixed_values as fv, questions as Q, rules as R
 from claimlens.functions.codes import as_col
-from claimlens.functions.text import drop_context_prefix, first_line, page_number
-from claimlens.operators import bm25, fusion, vector
+from claimlens.functions.text import drop_context_prefix, first_line, page_number, truncate
+from claimlens.operators import bm25, claim_text, fusion, vector
 from claimlens.operators.catalog import top_n
 from claimlens.session import shared_dir, write_once
 
@@ -158,3 +158,35 @@ def with_retry(questions, c: Corpus, first, n_retry=5, retry_below=fv.RETRY_RELE
         top < retry_below, F.format_string(fv.WARN_LOW, F.bround(top * 100, 0).cast("int")))
         .when(F.coalesce("n", F.lit(0)) < 2, fv.WARN_FEW).otherwise("").alias("aviso"))
     return final, warn
+
+
+# --- rules and claims ------------------------------------------------------------------
+def map_rules(rules, c: Corpus, folder, n=3):
+    """The n best chunks of every rule by its enriched name, written to ``folder`` and read back.
+
+    Result: numero, codigo, nome, id, secao, pagina, score, posicao.
+    """
+    asked = rules.select(F.col("numero").alias("query_id"), R.enriched_name("nome").alias("pergunta"))
+    hits = vector.search(c.embed(asked), c.vectors, n=n).withColumnRenamed("query_id", "numero")
+    return write_once(rules.select("numero", "codigo", "nome").join(hits, "numero").join(c.chunks.select("id", "secao", "pagina"), "id"), folder)
+
+
+def mapped_share(rule_map, above=0.5):
+    """Mapped rules, and the share whose best chunk scores above a threshold."""
+    best = rule_map.where("posicao = 1")
+    return best.agg(F.count("*").alias("n"), F.avg((F.col("score") > above).cast("double")).alias("share"))
+
+
+def rule_sections(rule_map, chunks, max_chars=None):
+    """The sections of a stored rule map with the context of their first chunk."""
+    first = chunks.groupBy("secao").agg(F.min_by("contexto", "id").alias("texto"))
+    found = rule_map.select("numero", "codigo", "nome", "secao").distinct().join(first, "secao", "left")
+    return found.withColumn("texto", truncate("texto", max_chars)) if max_chars else found
+
+
+def claim_search(claims, c: Corpus, n_per_query=3, limit=12, mode="vector", decompose=False):
+    """Chunks for each claim text (claim_id, texto): the questions that it gives rise to,
+    the first score seen per chunk, the best ``limit`` of them."""
+    asked = claims.select(F.col("claim_id").alias("request_id"), F.posexplode(
+        Q.claim_questions(claim_text.parse_claim("texto"))).alias("ordem", "pergunta"))
+    return multi_query(asked, c, n_per_query, keep="first", limit=limit, decompose=decompose, mode=mode).withColumnRenamed("request_id", "claim_id")

@@ -2,10 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from claimlens.functions import fixed_values as fv, questions as Q, rules as R
-from claimlens.functions.text import truncate
-from claimlens.operators import bm25, claim_text as P, evaluation as E, fusion as U, vector as W
-from claimlens.operators.catalog import top_n
+from claimlens.functions import fixed_values as fv, rules as R
+from claimlens.operators import bm25, evaluation as E, fusion as U, vector as W
 from claimlens.plans import search as S, text_views as V
 from claimlens.plans.oracle_views import view
 from claimlens.plans.registry import query
@@ -288,25 +286,24 @@ JOIN v_centroids c ON c.label = length(texto) % 10""")
 view("v_rule_hits", V.vector_top("v_rule_q", "query_id", 3))
 
 
-def _rule_map(b, n=3):
-    rules = R.rule_definitions(b.rule_texts, "texto")
-    q = rules.select(F.col("numero").alias("query_id"), R.enriched_name("nome").alias("pergunta"))
-    hits = W.search(b.embed(q), b.vectors, n=n)
-    return hits.join(b.chunks.select("id", "secao", "pagina"), "id")
+def _rules(b):
+    return R.rule_definitions(b.rule_texts, "texto")
+
+
+def _rule_map(b):
+    return S.map_rules(_rules(b), corpus(b, words=False), shared_dir(b.spark, "rule-map"))
 
 
 @query("rule_section_map", """
 SELECT query_id AS numero, secao, pagina, round(score, 3) AS relevancia, CAST(posicao AS INTEGER) AS posicao FROM v_rule_hits JOIN v_chunks USING (id)""")
 def _(b):
-    return _rule_map(b).select(F.col("query_id").alias("numero"), "secao", "pagina", F.round("score", 3).alias("relevancia"), "posicao")
+    return _rule_map(b).select("numero", "secao", "pagina", F.round("score", 3).alias("relevancia"), "posicao")
 
 
 @query("rule_map_share", """
 SELECT count(*) AS n, round(avg(CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM v_rule_hits WHERE posicao = 1""")
 def _(b):
-    rules = R.rule_definitions(b.rule_texts, "texto")
-    q = rules.select(F.col("numero").alias("query_id"), R.enriched_name("nome").alias("pergunta"))
-    return W.search(b.embed(q), b.vectors, n=1).agg(F.count("*").alias("n"), F.round(F.avg((F.col("score") > 0.5).cast("double")), 6).alias("share"))
+    return S.mapped_share(_rule_map(b)).select("n", r6("share"))
 
 
 @query("rule_lookup", """
@@ -314,11 +311,7 @@ SELECT m.query_id AS numero, r.codigo, r.nome, m.secao, md5(CASE WHEN length(t)
 FROM (SELECT DISTINCT query_id, secao FROM v_rule_hits JOIN v_chunks USING (id)) m JOIN v_rules r ON r.numero = m.query_id
 LEFT JOIN (SELECT secao, min_by(contexto, id) AS t FROM v_chunks GROUP BY secao) s ON s.secao = m.secao""")
 def _(b):
-    rules = R.rule_definitions(b.rule_texts, "texto").select("numero", "codigo", "nome")
-    mapped = _rule_map(b).select(F.col("query_id").alias("numero"), "secao").distinct()
-    first = b.chunks.groupBy("secao").agg(F.min_by("contexto", "id").alias("t"))
-    return mapped.join(rules, "numero").join(first, "secao", "left").select(
-        "numero", "codigo", "nome", "secao", F.md5(truncate("t", 1500).cast("binary")).alias("texto"))
+    return S.rule_sections(_rule_map(b), b.chunks, 1500).select("numero", "codigo", "nome", "secao", F.md5(F.col("texto").cast("binary")).alias("texto"))
 
 
 view("v_rule_terms", f"""
@@ -354,10 +347,7 @@ SELECT claim_id, id, round(score, 6) AS score, CAST(posicao AS INTEGER) AS posic
   SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, id) AS posicao FROM (
     SELECT claim_id, id, score FROM v_claim_hits QUALIFY row_number() OVER (PARTITION BY claim_id, id ORDER BY sub, score DESC) = 1)) WHERE posicao <= 12""")
 def _(b):
-    req = b.claim_texts.select(F.col("claim_id").alias("request_id"), F.posexplode(
-        Q.claim_questions(P.parse_claim("texto"))).alias("ordem", "pergunta"))
-    hits = S.multi_query(req, corpus(b, words=False), mode="vector", keep="first", limit=12)
-    return hits.select(F.col("request_id").alias("claim_id"), "id", r6("score"), "posicao")
+    return S.claim_search(b.claim_texts, corpus(b, words=False)).select("claim_id", "id", r6("score"), "posicao")
 
 
 # --- evaluation ------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimlens.functions import fixed_values as fv, questions as Q, rules as R, text as T
-from claimlens.operators import chunks as H, citations as Z, claim_text as P, html as M, sections as D
+from claimlens.operators import chunks as H, citations as Z, claim_text as P, html as M, sections as D, inventory as I
 from claimlens.plans import text_views as V
 from claimlens.plans.registry import query
 from claimlens.sources import corpus, sinks
@@ -236,8 +236,7 @@ def _(b):
 
 @query("rule_list_filter", "SELECT CAST(numero AS INTEGER) AS numero, codigo, nome FROM v_rules WHERE contains(lower(nome), 'sexo')")
 def _(b):
-    rules = R.rule_definitions(b.rule_texts, "texto")
-    return rules.where(F.contains(F.lower("nome"), F.lit("sexo"))).select("numero", "codigo", "nome")
+    return I.rules_named(R.rule_definitions(b.rule_texts, "texto"), "Sexo").select("numero", "codigo", "nome")
 
 
 @query("verdict_lines", """
@@ -253,14 +252,13 @@ def _(b):
 @query("source_inventory", """
 SELECT fonte, count(*) AS chunks, min_by(tipo, id) AS tipo, min_by(ano, id) AS ano FROM v_chunks GROUP BY fonte""")
 def _(b):
-    return b.chunks.groupBy("fonte").agg(F.count("*").alias("chunks"), F.min_by("tipo", "id").alias("tipo"), F.min_by("ano", "id").alias("ano"))
+    return I.sources(b.chunks)
 
 
 @query("chunk_counts", """
 SELECT 'tipo' AS por, tipo AS valor, count(*) AS n FROM v_chunks GROUP BY tipo UNION ALL SELECT 'fonte', fonte, count(*) FROM v_chunks GROUP BY fonte""")
 def _(b):
-    n = lambda c: b.chunks.groupBy(F.col(c).alias("valor")).agg(F.count("*").alias("n")).select(F.lit(c).alias("por"), "valor", "n")
-    return n("tipo").unionByName(n("fonte"))
+    return I.counts_by(b.chunks, ["tipo", "fonte"])
 
 
 @query("section_list", """
@@ -276,10 +274,8 @@ def _(b):
 SELECT c.secao, c.id, titulo, pagina, fonte, md5(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '[...truncado]' ELSE text END) AS h
 FROM v_chunks c WHERE secao IN (SELECT secao FROM v_citations)""")
 def _(b):
-    asked = Z.extract_citations(b.answers).select("secao").distinct()
-    hit = b.chunks.join(asked, "secao", "left_semi")
-    return hit.select("secao", "id", T.first_line("titulo").alias("titulo"), "pagina", "fonte",
-                      F.md5(T.truncate(T.drop_context_prefix("texto"), 2000).cast("binary")).alias("h"))
+    shown = I.chunks_of_sections(b.chunks, Z.extract_citations(b.answers), 2000)
+    return shown.select("secao", "id", "titulo", "pagina", "fonte", F.md5(F.col("texto").cast("binary")).alias("h"))
 
 
 # --- citations -----------------------------------------------------------------------------

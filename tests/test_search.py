@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators import bm25, evaluation as E, fusion as U, vector as W
+from claimlens.operators import bm25, evaluation as E, fusion as U, inventory as I, vector as W
 from claimlens.plans import search as S
 
 
@@ -293,6 +293,36 @@ def test_retry_only_for_weak_questions(spark, corpus):
     assert warn.first().aviso.startswith("[AVISO: Resultados de baixa relevancia (melhor score: 20%)")
 
 
+def test_rule_map_is_stored_and_looked_up(spark, corpus, tmp_path):
+    rules = spark.createDataFrame([(1, "05a", "uti"), (2, "05b", "parto")], "numero int, codigo string, nome string")
+    S.map_rules(rules, corpus, str(tmp_path / "map"), n=2)
+    stored = spark.read.parquet(str(tmp_path / "map"))
+    assert sorted((r.numero, r.posicao, r.id) for r in stored.collect()) == [(1, 1, "d1"), (1, 2, "d5"), (2, 1, "d2"), (2, 2, "d3")]
+    assert tuple(S.mapped_share(stored, 0.5).first()) == (2, 1.0) and tuple(S.mapped_share(stored, 1.0).first()) == (2, 0.0)
+    chunks = corpus.chunks.withColumn("contexto", F.col("texto"))
+    got = {(r.numero, r.secao): r.texto for r in S.rule_sections(stored, chunks, 4).collect()}
+    assert got.keys() == {(1, "d1"), (1, "d5"), (2, "d2"), (2, "d3")} and got[1, "d1"].startswith("leit") and got[1, "d1"] != DOCS["d1"]
+
+
+@pytest.mark.parametrize("mode", ["vector", "hybrid"])
+def test_claim_search_in_both_modes(spark, corpus, mode):
+    text = "Procedimento principal : 03.04.01.039-0 - UTI GERAL\nDiag. principal: A00 - Doença"
+    out = S.claim_search(spark.createDataFrame([(1, text), (2, text)], "claim_id int, texto string"), corpus, limit=2, mode=mode).collect()
+    assert {r.claim_id for r in out} == {1, 2} and {r.posicao for r in out} <= {1, 2}
+
+
+def test_inventory(spark):
+    ch = spark.createDataFrame([("a", "4.1", "[Manual X]\n\ntexto longo", "T\nu", 1, "f", "m", "2020"), ("b", "4.1", "curto", "V", 2, "f", None, None), ("c", "4.2", "x", "W", 3, "g", "p", "2021")],
+                               "id string, secao string, texto string, titulo string, pagina int, fonte string, tipo string, ano string")
+    asked = spark.createDataFrame([("4.1",), ("4.1",), ("9",)], ["secao"])
+    assert sorted((r.id, r.titulo, r.texto) for r in I.chunks_of_sections(ch, asked).collect()) == [("a", "T", "texto longo"), ("b", "V", "curto")]
+    assert {r.id: r.texto for r in I.chunks_of_sections(ch, asked, 5).collect()}["a"].startswith("texto\n")
+    assert sorted(map(tuple, I.sources(ch).collect())) == [("f", 2, "m", "2020"), ("g", 1, "p", "2021")]
+    assert {(r.por, r.valor): r.n for r in I.counts_by(ch, ["tipo", "fonte"]).collect()} == {("tipo", "m"): 1, ("tipo", None): 1, ("tipo", "p"): 1, ("fonte", "f"): 2, ("fonte", "g"): 1}
+    rules = spark.createDataFrame([(1, "Sexo 100%"), (2, "idade")], ["numero", "nome"])
+    assert [r.numero for r in I.rules_named(rules, "sEXO").collect()] == [1] and I.rules_named(rules, "0%").count() == 1 and I.rules_named(rules).count() == 2
+
+
 # --- metrics --------------------------------------------------------------------------------
 def test_metrics(spark):
     res = spark.createDataFrame([("v", 1, "s1", 1), ("v", 1, "s2", 2), ("v", 1, "s2", 3), ("h", 1, "s2", 1), ("v", 2, "s9", 6)],
