@@ -343,6 +343,7 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
             # the sets differ by one shingle per such mark at least: an exact bound on the distance of linked sets
             apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in cols), F.lit(0))
             near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("n") + F.col("nb"))
+            near &= DEN * F.least("n", "nb") >= NUM * F.greatest("n", "nb")
             cand = left.join(other, "token").filter("doc_id < b and c <> cb").filter(near).select(F.col("doc_id").alias("a"), "b")
         else:
             parts = live.groupBy("token", "c").agg(
