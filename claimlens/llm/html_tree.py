@@ -29,18 +29,21 @@ GROUPS = ["nav", "header", "footer", "aside", "article main", "section", "h1 h2
           "figure figcaption picture", "head", "body", "html", "details summary dialog"]
 TAG = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 INLINE = len(GROUPS)
-#: Words in class, id and role that tell what an element is for, by family.
-FAMILIES = [r"\bnav|menu|breadcrumb|toolbar|pagination|pager", r"\bads?\b|\bads?[-_]|[-_]ads?\b|advert|sponsor|promo|banner|dfp|outbrain|taboola",
-            r"comment|disqus|respond|reply|replies|discussion", r"share|social|follow|\blike", r"foot|copyright|colophon|legal|disclaimer|imprint", r"head|masthead|logo|brand|topbar",
-            r"side|widget|rail|complementary", r"notice|cookie|consent|alert|popup|modal|overlay|gdpr|warning|message", r"related|recommend|more-|most-|popular|trending|also|teaser",
-            r"newsletter|subscri|signup|sign-up|login|search|form", r"content|article|post|entry|story|\bmain\b|\bbody\b|text|prose"]
-FAMILY = [re.compile(f) for f in FAMILIES]
+#: Words in class, id and role that tell what an element is for, by family; each starts where no letter is before it.
+FAMILIES = [r"nav(?!y)|menu|breadcrumb|toolbar|pagination|pager", r"ads?(?![a-z])|adv(?:ert|t)|sponsor|promo|banner|dfp|outbrain|taboola",
+            r"(?:user|reader)?comment|disqus|respond(?![a-z])|reply|replies|discussion", r"shar(?:e|ing)(?![a-z])|social|follow(?![a-z])|likes?(?![a-z])",
+            r"(?:page|site)?foot(?:er)?(?![a-z])|copyright|colophon|legal|disclaimer|imprint", r"(?:page|site)?head(?:er)?(?![a-z])|masthead|logo|brand|topbar",
+            r"(?:left|right)?side(?:bar|nav|menu|col)?(?![a-z])|widget|rail(?![a-z])|complementary", r"notice|cookie|consent|alert|popup|modal|overlay|gdpr|warning|message",
+            r"related|recommend|more(?![a-z])|most(?![a-z])|popular|trending|also(?![a-z])|teaser", r"newsletter|subscri|sign-?up|log-?in|search|forms?(?![a-z])",
+            r"(?:main)?content(?!s)|article|post(?:s|body|content)?(?![a-z])|entry|story(?![a-z])|main(?![a-z])|body|text(?![a-z])|prose|headline"]
+FAMILY = [re.compile(rf"(?<![a-z])(?:{f})") for f in FAMILIES]
+CONTENT = INLINE + len(FAMILIES)
 N_OWN = INLINE + 1 + len(FAMILIES)
 #: Features of the whole subtree: steps of text length, of the share of links, full stops, hidden.
 LENGTHS, LINKS = (1, 20, 60, 150, 500), (0.2, 0.5, 0.9)
 N_FEATURES = N_OWN + len(LENGTHS) + len(LINKS) + 2 + 1
-#: Kinds of edges: an inline child, a block child, a child that the markup names as a part of the page.
-N_EDGES = 3
+#: Kinds of edges: an inline child, a block child, a child that the markup names as a part of the page; each once more within an article.
+N_EDGES = 6
 ROUNDS, RATE, DECAY = 300, 0.05, 2e-3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|y)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -53,7 +56,7 @@ class Forest:
     """Elements of several pages: parents, levels, features; and their texts in page order."""
 
     def __init__(self):
-        self.parent, self.level, self.own, self.edge, self.length, self.stops, self.link, self.mark = [], [], [], [], [], [], [], []
+        self.parent, self.level, self.own, self.edge, self.length, self.stops, self.link, self.mark, self.within = [], [], [], [], [], [], [], [], []
         self.pieces = []
         self.roots = []
         self._families = {}
@@ -81,7 +84,11 @@ class Forest:
             more, mark = self._families[attrs]
             own += more
         self.own.append(own)
-        self.edge.append(2 if tag in ("nav", "header", "footer", "aside", "form", "head", "section", "article", "main") else 1 if tag in BLOCKS else 0)
+        # an article's parts lie within it; a comment or menu inside does not bring its own
+        within = parent >= 0 and self.within[parent]
+        self.edge.append((2 if tag in ("nav", "header", "footer", "aside", "form", "head", "section", "article", "main") else 1 if tag in BLOCKS else 0) + 3 * within)
+        other = tag in ("nav", "footer", "aside", "form") or any(INLINE < f < CONTENT for f in own)
+        self.within.append(not other and (within or tag in ("article", "main") or CONTENT in own))
         self.length.append(0)
         self.stops.append(0)
         self.link.append(0)

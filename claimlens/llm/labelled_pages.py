@@ -29,4 +29,25 @@ PAGES = [
       for w, n in (("A short line.", 60), ("Line", 60), ("Two words", 25), ("All, of it. And more; then: some.", 40))],
     *[f'<html y="1"><body><div class="content"><h2>Title</h2><p>{_L}</p>{f"<p>{w}</p>" * n}</div><div class="comments" y="0">{f"<div><p>{w}</p></div>" * n}</div><aside y="0">{f"<p>{w}</p>" * n}</aside></body></html>'
       for w, n in (("A short line.", 20), ("Line", 20))],
+    # no names for parts: menus are lists or cells of links
+    f'<html y="1"><body><ul y="0"><li><a>Start</a></li><li><a>Shop</a></li><li><a>Help</a></li></ul><h1>Salt</h1><p>{_L}</p><p>{_S}</p><p>{_L}</p><ul y="0"><li><a>Imprint</a></li><li><a>Data</a></li></ul></body></html>',
+    f'<html y="1"><body><p y="0"><a>Start</a> | <a>Shop</a> | <a>Help</a></p><h2>Bread</h2><div><p>{_L}{_S}</p><p>{_Q}</p></div><ul><li>Flour, sifted twice.</li><li>Salt from the sea.</li></ul><div y="0"><a>Imprint</a> <a>Data</a></div></body></html>',
+    f'<html y="1"><body><table><tr><td y="0"><a>Start</a><br><a>Shop</a><br><a>Help</a></td><td><h1>Salt</h1><p>{_L}</p><p>{_S}{_S}</p></td></tr><tr><td y="0"><a>Imprint</a></td></tr></table></body></html>',
+    f'<html y="1"><body><table><tr y="0"><td><a>Start</a><a>Shop</a><a>Help</a></td></tr><tr><td><p>{_S}</p><p>{_L}</p></td></tr></table><table><tr><th>Year</th><th>Ships</th></tr><tr><td>1901</td><td>40</td></tr></table></body></html>',
+    f'<html y="1"><body><div><div y="0"><a>Start</a><a>Shop</a></div><div><div><p>{_L}</p><p>{_L}{_S}</p></div></div></div></body></html>',
+    f'<html y="1"><body><div class="page"><div class="row"><div class="col"><h1>Rope</h1><p>{_L}</p><p>{_L}</p></div></div></div></body></html>',
+    f'<html y="1"><body><div class="outer"><div class="box"><p>{_S}</p><p>{_L}{_L}</p></div></div><div id="bottom" y="0"><a>Imprint</a> <a>Data</a></div></body></html>',
+    # links that belong to the article
+    f'<html y="1"><body><nav y="0"><ul><li><a>Start</a></li><li><a>Shop</a></li></ul></nav><article><h1>Sources</h1><p>{_L}</p><ul><li><a>The report of the council</a></li><li><a>The map of the river</a></li><li><a>Minutes</a>, in part</li></ul><p>{_S}</p><p><a>The old wall</a></p></article><footer y="0"><a>Imprint</a></footer></body></html>',
+    f'<html y="1"><body><main><h1>Guide</h1><p>{_S}</p><ol><li><a>Knots</a></li><li><a>Sails</a></li></ol><h2><a>Knots</a></h2><p>{_L}</p><table><tr><td><a>Bowline</a></td><td>a loop that holds</td></tr></table></main><aside y="0"><ul><li><a>Boats</a></li></ul></aside></body></html>',
+    f'<html y="1"><body><div class="post"><p>{_L}</p><ul><li><a>One way</a></li><li><a>The other way</a></li></ul><p>{_Q}</p><ul class="share" y="0"><li><a>Like</a></li><li><a>Send</a></li></ul><ul class="related-posts" y="0"><li><a>Floods</a></li><li><a>Boats</a></li></ul></div></body></html>',
+    f'<html y="1"><body><div class="story"><div class="headline"><h1>{_Q}</h1></div><div class="info"><p>{_L}</p><p>{_S}</p></div><div class="byline"><p>By a reader of maps.</p></div></div><div class="menu-bottom" y="0"><a>Start</a></div></body></html>',
+    # readers' comments as long as articles, in lists and divisions after or within the article
+    *[f'<html y="1"><body><header y="0"><h2>The Daily</h2></header><{t}><h1>Wall</h1><p>{_L}</p><p>{_S}{_Q}</p></{t.split()[0]}><{c} y="0"><li><p>{_L}</p></li><li><p>{_S}</p></li><li><p>Thanks!</p></li></{c.split()[0]}></body></html>'
+      for t in ("article", 'div class="content"', "main") for c in ('ul class="comments"', 'ol id="comment-list"', 'ol class="commentlist"', 'ul class="replies"')],
+    f'<html y="1"><body><article><h1>Wall</h1><p>{_L}</p><div class="info"><p>{_L}</p></div><ol class="commentlist" y="0"><li><p>{_L}</p></li><li><div><p>{_S}</p></div></li></ol></article></body></html>',
+    f'<html y="1"><body><div id="content"><p>{_L}</p></div><section id="respond" y="0"><h3>Write to us</h3><p>{_S}</p><form><input></form></section></body></html>',
+    # parts beside the article that read like one
+    *[f'<html y="1"><body><{t}><h1>Boats</h1><p>{_L}</p><p>{_L}</p></{t.split()[0]}><div class="{c}" y="0"><h3>{_Q}</h3><p>{_L}</p></div></body></html>'
+      for t, c in (("main", "sidebar"), ("article", "right-side"), ("main", "related"), ('div class="entry"', "most-read"), ("article", "newsletter"), ("main", "site-footer"), ('div id="main-content"', "cookie-bar"), ("article", "promo-box"))],
 ]
