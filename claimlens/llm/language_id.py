@@ -4,7 +4,8 @@ A language is a distribution over the pieces of a fixed public vocabulary. The
 probability of a word is the sum over all its segmentations into pieces (forward
 algorithm); a text's is the product over its words. Piece probabilities are learned
 by expectation-maximisation (forward and backward) on the words of labelled texts.
-Words of equal length are worked on together, one numpy step per pair of cuts.
+Words of equal length are worked on together, one numpy step per pair of cuts; a longer
+word (a line of a script without blanks) goes through the same sums letter by letter, in logarithms.
 """
 
 import re
@@ -22,8 +23,10 @@ from .work import folder
 FIT_DOCS = 800
 #: Rounds of expectation-maximisation; probability mass for pieces a language never used.
 ROUNDS, SMOOTH = 3, 0.05
-#: Longer words are cut into parts of so many letters.
-PART = 28
+#: Longer words (with their start mark) are summed in logarithms, one by one: UNKNOWN to this power is still a double.
+TOGETHER = 48
+#: Words of equal length worked on at once; letters of the words whose scores a task remembers.
+ROWS, REMEMBERED = 4_000, 4_000_000
 #: Probability of a letter that no piece covers.
 UNKNOWN = 1e-6
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,18 +68,12 @@ class Pieces:
         return np.where(self.keys[at] == h, self.order[at], self.n)
 
 
-def parts(word):
-    """The word with its start mark, cut into parts of bounded length."""
-    w = "▁" + word
-    return [w[i:i + PART] for i in range(0, len(w), PART)]
-
-
 def _by_length(strings):
     n = np.array([len(s) for s in strings])
-    for length in np.unique(n):
+    for length in np.unique(n[n <= TOGETHER]):
         at = np.flatnonzero(n == length)
-        for i in range(0, len(at), 20_000):
-            rows = at[i:i + 20_000]
+        for i in range(0, len(at), ROWS):
+            rows = at[i:i + ROWS]
             code = np.frombuffer("".join([strings[r] for r in rows]).encode("utf-32-le"), "<u4").reshape(len(rows), length)
             yield rows, code
 
@@ -95,8 +92,51 @@ def _spans(pieces, code):
     return found
 
 
+def _lattice(pieces, string):
+    """Piece numbers by end and length: row e, column k is the piece of k + 1 letters that ends at letter e.
+
+    The number of pieces stands for none, the next for a single letter that no piece covers.
+    """
+    code = np.frombuffer(string.encode("utf-32-le"), "<u4")
+    ids = np.full((len(code), min(len(code), pieces.longest)), pieces.n, np.int32)
+    h = np.full(len(code), 1469598103934665603, np.uint64)
+    for k in range(ids.shape[1]):
+        h = h[:len(code) - k] * _B + code[k:] + np.uint64(1)
+        ids[k:, k] = pieces.find(h)
+    ids[ids[:, 0] == pieces.n, 0] += 1
+    return ids
+
+
+def _logs(prob):
+    """Logarithms of probabilities by piece number, with those of no piece and of an unknown letter."""
+    with np.errstate(divide="ignore"):
+        return np.log(np.vstack([prob, np.zeros(prob.shape[1]), np.full(prob.shape[1], UNKNOWN)]))
+
+
+def _log_sums(ids, logs):
+    """log of the sum over all segmentations of the first e letters, e from 0: (letters + 1, languages)."""
+    n, longest = ids.shape
+    a = np.full((n + longest, logs.shape[1]), -np.inf)
+    a[longest - 1] = 0
+    for i in range(0, n, ROWS):
+        weights = logs[ids[i:i + ROWS]]
+        for e in range(i, min(n, i + ROWS)):
+            x = a[e:e + longest][::-1] + weights[e - i]
+            top = x.max(0)
+            a[e + longest] = top + np.log(np.exp(x - top).sum(0))
+    return a[longest - 1:]
+
+
+def _turned(ids, none):
+    """The lattice of the word read backwards."""
+    out = np.full_like(ids, none)
+    for k in range(ids.shape[1]):
+        out[k:, k] = ids[k:, k][::-1]
+    return out
+
+
 def forward(pieces, prob, strings):
-    """log P(string) per language: array (strings, languages)."""
+    """log P(string) per language, over all segmentations: array (strings, languages)."""
     table = np.vstack([prob, np.zeros(prob.shape[1])])
     single = np.vstack([prob, np.full(prob.shape[1], UNKNOWN)])
     out = np.zeros((len(strings), prob.shape[1]))
@@ -106,14 +146,18 @@ def forward(pieces, prob, strings):
         a[0] = 1
         for (s, e), ids in sorted(_spans(pieces, code).items(), key=lambda x: x[0]):
             a[e] += a[s] * (single if e == s + 1 else table)[ids]
-        out[rows] = np.log(np.maximum(a[length], 1e-300))
+        out[rows] = np.log(a[length])
+    logs = _logs(prob)
+    for r, s in enumerate(strings):
+        if len(s) > TOGETHER:
+            out[r] = _log_sums(_lattice(pieces, s), logs)[-1]
     return out
 
 
 def expected(pieces, prob, strings, counts):
     """Expected piece counts of strings under one language's probabilities."""
     table, single = np.append(prob, 0.0), np.append(prob, UNKNOWN)
-    total = np.zeros(pieces.n + 1)
+    total = np.zeros(pieces.n + 2)
     for rows, code in _by_length(strings):
         length = code.shape[1]
         spans = sorted(_spans(pieces, code).items())
@@ -123,11 +167,18 @@ def expected(pieces, prob, strings, counts):
             a[e] += a[s] * (single if e == s + 1 else table)[ids]
         for (s, e), ids in reversed(spans):
             b[s] += (single if e == s + 1 else table)[ids] * b[e]
-        z = np.maximum(a[length], 1e-300)
         for (s, e), ids in spans:
-            post = a[s] * (single if e == s + 1 else table)[ids] * b[e] / z * counts[rows]
-            total += np.bincount(ids, post, pieces.n + 1)
-    return total[:-1]
+            post = a[s] * (single if e == s + 1 else table)[ids] * b[e] / a[length] * counts[rows]
+            total += np.bincount(ids, post, pieces.n + 2)
+    logs = _logs(prob[:, None])
+    for s, c in zip(strings, counts, strict=True):
+        if len(s) > TOGETHER:
+            ids = _lattice(pieces, s)
+            a, b = _log_sums(ids, logs)[:, 0], _log_sums(_turned(ids, pieces.n), logs)[::-1, 0]
+            for k in range(ids.shape[1]):
+                post = np.exp(a[:len(s) - k] + logs[ids[k:, k], 0] + b[k + 1:] - a[-1])
+                total += np.bincount(ids[k:, k], c * post, pieces.n + 2)
+    return total[:pieces.n]
 
 
 def _word_counts(batches):
@@ -149,10 +200,8 @@ def _expect(model):
             lang, word, n = (batch.column(i).to_pylist() for i in range(3))
             for k, name in enumerate(names):
                 own = [(w, c) for x, w, c in zip(lang, word, n, strict=True) if x == name]
-                strings = [p for w, _ in own for p in parts(w)]
-                c = np.array([c for w, c in own for _ in parts(w)], float)
-                if strings:
-                    total[k] += expected(pieces, prob[:, k], strings, c)
+                if own:
+                    total[k] += expected(pieces, prob[:, k], ["▁" + w for w, _ in own], np.array([c for _, c in own], float))
         k, p = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(total[k, p])], ["lang", "piece", "c"])
     return run
@@ -163,14 +212,25 @@ def remainder(id_col):
 
 
 def fit(docs, id_col="doc_id", text_col="text", lang_col="lang", per_language=FIT_DOCS):
-    """(languages, piece probabilities) from texts whose id's remainder is not 2."""
+    """(languages, piece probabilities) from texts whose id's remainder is not 2.
+
+    The texts of a language with the smallest hashes of their ids: counts by the hash's
+    magnitude give a bound that about twice as many lie below, and only those are ranked.
+    """
     spark = docs.sparkSession
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    pick = (docs.filter((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-            .withColumn("r", rank).filter(F.col("r") <= per_language).select("doc_id", "lang"))
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = write_once(text.join(pick, "doc_id").select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    known = (docs.filter((remainder(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+             .select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), h.alias("h"))
+             .withColumn("size", F.floor(F.log2(F.col("h").cast("double") + 2.0**63 + 1))))
+    # a row per language and magnitude, some 60 of them
+    so_far = Window.partitionBy("lang").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    bound = (known.groupBy("lang", "size").count().withColumn("before", F.coalesce(F.sum("count").over(so_far), F.lit(0)))
+             .filter(F.col("before") < per_language).groupBy("lang").agg(F.max("size").alias("bound")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))
+    pick = (known.join(bound, "lang").filter("size <= bound").select("doc_id", "lang", "text", "h")
+            .withColumn("r", rank).filter(F.col("r") <= per_language))
+    pick = write_once(pick.select("lang", "text"), folder(spark, "op3-fit"))
+    words = write_once(pick.mapInArrow(_word_counts, "lang string, word string, n long")
                        .groupBy("lang", "word").agg(F.sum("n").alias("n")), folder(spark, "op3-words"))
     names = sorted(r[0] for r in pick.select("lang").distinct().collect())
     pieces = vocabulary()
@@ -194,14 +254,14 @@ def _predict(model, held):
     def run(batches):
         names, prob = model.value
         pieces = Pieces(vocabulary())
-        known, scores = {}, np.zeros((0, prob.shape[1]))
+        known, scores, letters_kept = {}, np.zeros((0, prob.shape[1])), 0
         for batch in batches:
             texts = batch.column(1)
             for i in range(0, batch.num_rows, 500):
                 part = texts.slice(i, 500).to_pylist()
                 found, new, first = [], [], [0]
-                if len(known) > 200_000:
-                    known, scores = {}, np.zeros((0, prob.shape[1]))
+                if len(known) > 200_000 or letters_kept > REMEMBERED:
+                    known, scores, letters_kept = {}, np.zeros((0, prob.shape[1])), 0
                 letters = np.zeros(len(part), bool)
                 for r, t in enumerate(part):
                     t = t or ""
@@ -215,10 +275,8 @@ def _predict(model, held):
                         found.append(k)
                     first.append(len(found))
                 if new:
-                    cut = [parts(w) for w in new]
-                    z = forward(pieces, prob, [p for c in cut for p in c])
-                    n = np.cumsum([0] + [len(c) for c in cut])
-                    scores = np.vstack([scores, np.add.reduceat(z, n[:-1], axis=0)])
+                    scores = np.vstack([scores, forward(pieces, prob, ["▁" + w for w in new])])
+                    letters_kept += sum(map(len, new))
                 total = np.concatenate([np.zeros((1, prob.shape[1])), np.cumsum(scores[np.array(found, np.int64)], axis=0)])
                 first = np.array(first)
                 doc = total[first[1:]] - total[first[:-1]]

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimlens.llm import bpe_words, decontam, html_tree, jaccard_join, language_id, quality_net, quality_rules, secret_cnn, suffix_dedup, token_spans
 
@@ -284,6 +285,37 @@ def test_forward_sums_all_segmentations():
     assert got == pytest.approx(0.1 * 0.2 * 0.3 + 0.1 * 0.25 + 0.15 * 0.3)
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    pieces = language_id.Pieces(["▁", "a", "b", "ab", "▁a", "bab", "aabb"])
+    prob = rng.dirichlet(np.ones(7), 3).T
+    words = ["▁" + "".join(rng.choice(list("abc"), n)) for n in (1, 5, 30, 40, 47)]
+    together = language_id.forward(pieces, prob, words)
+    counts = np.arange(1.0, 6.0)
+    mass = language_id.expected(pieces, prob[:, 0], words, counts)
+    monkeypatch.setattr(language_id, "TOGETHER", 1)
+    monkeypatch.setattr(language_id, "ROWS", 7)
+    assert language_id.forward(pieces, prob, words) == pytest.approx(together)
+    assert language_id.expected(pieces, prob[:, 0], words, counts) == pytest.approx(mass)
+    # letters by the thousand: a word of one letter is a product
+    alone = language_id.Pieces(["▁", "a"])
+    got = language_id.forward(alone, np.array([[0.5], [0.25]]), ["▁" + "a" * 20_000])[0, 0]
+    assert got == pytest.approx(np.log(0.5) + 20_000 * np.log(0.25))
+
+
+def test_fit_takes_the_smallest_hashes(llm_spark):
+    rows = [(i, f"{'ab'[i % 2] * (1 + i % 7)}{chr(97 + i // 2 % 26)}", ("x", "y")[i % 3 == 0], "s", "") for i in range(400)]
+    docs = llm_spark.createDataFrame(rows, SCHEMA)
+    known = docs.filter((language_id.remainder("doc_id") != 2) & F.col("lang").isNotNull())
+    names, few = language_id.fit(docs, per_language=20)
+    want = []
+    for lang in ("x", "y"):
+        want += known.filter(F.col("lang") == lang).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(20).collect()
+    assert names == ["x", "y"]
+    _, same = language_id.fit(llm_spark.createDataFrame(want, docs.schema), per_language=20)
+    assert few == pytest.approx(same)
+
+
 def test_quality_network(llm_spark, docs, labels, empty):
     good = [(i, EN * (1 + i % 4), "en", "s", "") for i in range(0, 200, 2)]
     bad = [(i, "## $$ | || %% && " * (1 + i % 4), "en", "s", "") for i in range(1, 200, 2)]
@@ -390,6 +422,20 @@ def test_pipeline_keeps_null_ids(llm_spark, tmp_path):
     assert out == sorted((i or 0, t) for i, t in rows[:6])
 
 
+def test_language_stage(llm_spark):
+    import corpus_pipeline as C
+
+    rows = [(i, (EN, DE)[i % 2] * (1 + i % 3), ("en", "de")[i % 2] if i < 70 else None, "s", 1) for i in range(80)] + [(90, "123 !", "en", "s", 1), (91, None, "en", "s", 1), (None, DE, None, "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = llm_spark.createDataFrame(rows, schema)
+    out = C.language_id(llm_spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.lang) for r in out.collect()) == [(-1, "de"), *[(i, ("en", "de")[i % 2]) for i in range(80)]]
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in C.language_id(llm_spark, unlabelled, "").collect()) == [-1, *range(80)]
+    assert C.language_id(llm_spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_stages(llm_spark, docs, tmp_path):
     import corpus_pipeline as C
 
