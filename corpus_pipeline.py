@@ -10,11 +10,21 @@ from claimlens.session import ship_package, write_once
 
 
 def language_id(spark, docs, sf_dir):
-    """Documents whose language is undecided (null text, or no letter) go."""
-    from claimlens.llm.language_id import identify
+    """Documents without a language (null text, or no letter) go; a null ``lang`` becomes the predicted one.
+
+    Without any labelled text nothing can be learned: then texts with a letter stay as they are.
+    Rows that repeat an id or have none are judged each for itself; an empty table stays empty.
+    """
+    from pyspark.sql import functions as F
+
+    from claimlens.llm.language_id import fit, identify
 
     ship_package(spark)
-    return identify(docs, keep=True).filter("lang_pred <> 'und'").select(*docs.columns)
+    model = fit(docs)
+    if not model[0]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = identify(docs, keep=True, model=model).filter("lang_pred <> 'und'")
+    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
