@@ -227,7 +227,8 @@ def fit(docs, id_col="doc_id", text_col="text", lang_col="lang", per_language=FI
     bound = (known.groupBy("lang", "size").count().withColumn("before", F.coalesce(F.sum("count").over(so_far), F.lit(0)))
              .filter(F.col("before") < per_language).groupBy("lang").agg(F.max("size").alias("bound")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))
-    pick = (known.join(bound, "lang").filter("size <= bound").select("doc_id", "lang", "text", "h")
+    # a row per language, of which the model has a column each: texts beyond the bound leave before the shuffle
+    pick = (known.join(F.broadcast(bound), "lang").filter("size <= bound").select("doc_id", "lang", "text", "h")
             .withColumn("r", rank).filter(F.col("r") <= per_language))
     pick = write_once(pick.select("lang", "text"), folder(spark, "op3-fit"))
     words = write_once(pick.mapInArrow(_word_counts, "lang string, word string, n long")
