@@ -50,4 +50,11 @@ PAGES = [
     # parts beside the article that read like one
     *[f'<html y="1"><body><{t}><h1>Boats</h1><p>{_L}</p><p>{_L}</p></{t.split()[0]}><div class="{c}" y="0"><h3>{_Q}</h3><p>{_L}</p></div></body></html>'
       for t, c in (("main", "sidebar"), ("article", "right-side"), ("main", "related"), ('div class="entry"', "most-read"), ("article", "newsletter"), ("main", "site-footer"), ('div id="main-content"', "cookie-bar"), ("article", "promo-box"))],
+    # nothing but text below plain divisions
+    *[f'<html y="1"><body>{"<div>" * n}{b}{t}{e}{"</div>" * n}</body></html>'
+      for n in (1, 2, 4, 9) for t in (_S, _Q, _L, "One line.", "word", "rope and sail and wind</p><p>salt") for b, e in (("", ""), ("<p>", "</p>"), ("<h1>Salt</h1><p>", "</p>"), ("<h1>Salt</h1><span>", "</span>"))],
+    # and the same beside named parts, short and long
+    *[f'<html y="1"><body><div class="{c}" y="0">{x}</div>{b}<p>{_S}</p><p>One, two; three.</p>{e}<div class="{d}" y="0">{x}</div></body></html>'
+      for c, d in (("header", "footer"), ("top menu", "comments"), ("ad", "sidebar"), ("notice", "related")) for x in ("Salt", _S, f"<p>{_Q}</p>")
+      for b, e in (('<div class="post"><h1>Salt</h1>', "</div>"), ("<div><h1>Salt</h1>", "</div>"), ("", ""))],
 ]

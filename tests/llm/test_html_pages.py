@@ -50,3 +50,10 @@ def test_blocks_of_pages_set_aside(found):
     hit = sum(len(set(g.split("\n")) & set(w.split("\n"))) for _, g, w in found)
     n_got, n_want = (sum(len(set(r[i].split("\n"))) for r in found) for i in (1, 2))
     assert 2 * hit / (n_got + n_want) >= 0.97
+
+
+@pytest.mark.parametrize("depth", (1, 3, 5, 50, 3000))
+@pytest.mark.parametrize("body", ("deep", "<p>A line of words, which is all that this page has to say.</p>", "<p>no stops here at all just words</p><p>two</p>"))
+def test_text_below_plain_divisions_stays(depth, body):
+    got = html_tree.texts(["<html><body>" + "<div>" * depth + body], html_tree.train())[0]
+    assert got == body.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
