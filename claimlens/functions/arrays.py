@@ -22,8 +22,9 @@ def at(arr, i):
 
 
 def between(arr, start, end):
-    """Elements start..end-1 (0-based)."""
-    return F.slice(arr, start + 1, F.greatest(end - start, F.lit(0)))
+    """Elements start..end-1 (0-based), taken one by one: ``slice`` copies the whole array first."""
+    return F.transform(
+        F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>")), lambda i: at(arr, i))
 
 
 def _tail_that_fits(lens, start, end, budget):
@@ -46,10 +47,14 @@ def pack(lens, limit, overlap=None, glue=0):
     A piece is closed when the next length would take it over the limit; a single
     length over the limit stays whole. ``glue`` is added per packed element. With
     an ``overlap`` budget the next piece starts with the tail of the last one that
-    fits the budget. One pass over the array; the state is two numbers and the
-    pieces so far.
+    fits the budget. One pass over the array. A fold copies its state at every step, so
+    the pieces are gathered by stretches of about the square root of the length: the
+    state of the steps holds two numbers and one stretch's pieces, and only the few
+    steps from stretch to stretch carry all pieces.
     """
-    state = F.struct(F.lit(0).alias("s"), F.lit(0).alias("cur"), F.array().cast(_PIECES).alias("p"))
+    n_all = F.size(lens)
+    stride = F.ceil(F.sqrt(n_all)).cast("int")
+    empty = F.array().cast(_PIECES)
 
     def step(a, i):
         n = at(lens, i)
@@ -63,9 +68,32 @@ def pack(lens, limit, overlap=None, glue=0):
         keep = F.struct(a["s"].alias("s"), (a["cur"] + n + glue).alias("cur"), a["p"].alias("p"))
         return F.when(close, cut).otherwise(keep)
 
-    last = lambda a: F.when(F.size(lens) > a["s"], F.array_append(
-        a["p"], F.struct(a["s"].alias("s"), F.size(lens).alias("e")))).otherwise(a["p"])
-    return F.aggregate(indexes(lens), state, step, last)
+    def stretch(a, b):
+        open_ = F.struct(a["s"].alias("s"), a["cur"].alias("cur"), empty.alias("p"))
+        done = F.aggregate(F.sequence(b, F.least(b + stride, n_all) - 1), open_, step)
+        return let(done, lambda r: F.struct(
+            r["s"].alias("s"), r["cur"].alias("cur"), F.array_append(a["runs"], r["p"]).alias("runs")))
+
+    def finish(a):
+        rest = F.when(n_all > a["s"], F.array(F.struct(a["s"].alias("s"), n_all.alias("e")))).otherwise(empty)
+        return F.flatten(F.array_append(a["runs"], rest))
+
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("cur"), F.array().cast(f"array<{_PIECES}>").alias("runs"))
+    firsts = F.when(n_all > 0, F.sequence(F.lit(0), n_all - 1, stride)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(firsts, start, stretch, finish)
+
+
+def occurrence(keys):
+    """For every element, how many equal ones stand before it (nulls are equal). Positions are sorted: n log n."""
+    placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+
+    def ranks(rows):
+        new = lambda j: (j == 0) | ~at(rows, j)["k"].eqNullSafe(at(rows, j - 1)["k"])
+        return let(F.filter(indexes(rows), new), lambda starts: F.flatten(F.transform(starts, lambda s, r: F.transform(
+            between(rows, s, F.coalesce(at(starts, r + 1), F.size(rows))),
+            lambda x, n: F.struct(x["i"].alias("i"), n.alias("n"))))))
+
+    return F.transform(F.array_sort(let(placed, ranks)), lambda x: x["n"])
 
 
 def split_with_overlap(text, limit, overlap, sep="\n\n"):

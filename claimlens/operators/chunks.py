@@ -7,7 +7,7 @@ then exploded; texts are never shuffled. ``sep`` is the paragraph separator.
 from pyspark.sql import functions as F
 
 from claimlens.functions import fixed_values as fv
-from claimlens.functions.arrays import at, between, let, pack, split_with_overlap
+from claimlens.functions.arrays import at, between, let, occurrence, pack, split_with_overlap
 from claimlens.functions.codes import as_col
 from claimlens.functions.text import id_prefix, strip
 from claimlens.operators.sections import is_toc_page
@@ -54,49 +54,52 @@ def chunk_sections(files, sections="secoes", parents=True, sep="\n\n", max_chars
     Equal section numbers in one file would give equal ids: later ones get a
     ``_dupN`` suffix, counted from the earlier sections of the same number.
     """
-    none = F.lit(None).cast("string")
     pieces = lambda s: split_with_overlap(s["texto"], parent_chars if parents else max_chars, overlap, sep)
-    with_pieces = F.transform(as_col(sections), lambda s: F.struct(
-        s["numero"].alias("numero"), s["titulo"].alias("titulo"), s["pagina_inicio"].alias("pagina"),
-        F.transform(pieces(s), lambda p: F.struct(
-            p.alias("texto"),
-            (split_with_overlap(p, child_chars, overlap, sep) if parents else F.array().cast("array<string>"))
-            .alias("filhos"))).alias("partes")))
-    # for every section: child counts per part of the earlier sections with its number
+    children = lambda t: split_with_overlap(t, child_chars, overlap, sep)
+
+    def of_part(s, n, text, p):
+        """A part, and its children with the head of its text; ``c`` is -1 for the part itself."""
+        chunk = lambda c, t, snippet: F.struct(
+            s["numero"].alias("numero"), s["titulo"].alias("titulo"), s["pagina_inicio"].alias("pagina"),
+            n.alias("n_partes"), p.alias("p"), c.alias("c"), t.alias("texto"), snippet.alias("resumo"))
+        part = F.array(chunk(F.lit(-1), text, F.lit(None).cast("string")))
+        if not parents:
+            return part
+        return let(_snippet(text), lambda head: F.concat(part, F.transform(children(text), lambda t, c: chunk(c, t, head))))
+
+    flat = F.flatten(F.transform(as_col(sections), lambda s: let(pieces(s), lambda ps: F.flatten(
+        F.transform(ps, lambda t, p: of_part(s, F.size(ps), t, p))))))
+    # equal (section number, part, child) of a file are told apart by how many came before; a part
+    # stands c + 1 places before its child c
+    key = lambda y: F.struct(y["numero"].alias("numero"), y["p"].alias("p"), y["c"].alias("c"))
+    numbered = let(flat, lambda x: let(occurrence(F.transform(x, key)), lambda seen: F.transform(x, lambda y, k: F.struct(
+        y.alias("y"), at(seen, k).alias("n"), at(seen, k - y["c"] - 1).alias("n_parte")))))
     own = _source_columns(files)
-    shaped = files.select(*own, _prefix(files, hash_of, hash_chars).alias("_pre"), let(with_pieces, lambda all_: F.transform(
-        all_, lambda s, i: F.struct(
-            s.alias("s"),
-            F.transform(F.filter(F.slice(all_, F.lit(1), i), lambda e: e["numero"] == s["numero"]),
-                        lambda e: F.transform(e["partes"], lambda p: F.size(p["filhos"]))).alias("antes")))).alias("_s"))
-    rows = shaped.select(*own, "_pre", F.explode("_s").alias("x")).select(
-        *own, "_pre", "x.s.numero", "x.s.titulo", "x.s.pagina", "x.antes", F.size("x.s.partes").alias("n_partes"),
-        F.posexplode("x.s.partes").alias("p", "parte"))
+    rows = files.select(*own, _prefix(files, hash_of, hash_chars).alias("_pre"), F.explode(numbered).alias("z")).select(
+        *own, "_pre", "z.y.*", "z.n", "z.n_parte")
+    text, n, none = F.col("texto"), F.col("n"), F.lit(None).cast("string")
     pre = F.concat("_pre", F.lit("_secao_"), F.col("numero"))
     full_title = F.concat_ws(". ", "numero", "titulo")
     p = F.col("p").cast("string")
-    earlier = F.size(F.filter("antes", lambda e: F.size(e) > F.col("p")))
-    text = F.col("parte.texto")
     if not parents:
         base = F.when(F.col("p") > 0, F.concat(pre, F.lit("_parte"), p)).otherwise(pre)
         label = F.when(F.col("n_partes") > 1, F.concat(F.lit(" (parte "), (F.col("p") + 1).cast("string"), F.lit(")"))).otherwise("")
         context = F.concat(F.lit("["), F.col("fonte"), F.lit(" - "), full_title, label, F.lit(" - Página "),
                            F.col("pagina").cast("string"), F.lit("]\n\n"), text)
-        chunks = F.array(_row(_unique(base, earlier), text, context, False, none))
+        id_, is_parent, parent_id = _unique(base, n), F.lit(False), none
     else:
+        is_parent = F.col("c") < 0
         head = F.concat(F.lit("["), F.col("fonte"), F.lit(" | Seção "), full_title, F.lit(" | Página "),
                         F.col("pagina").cast("string"), F.lit(" | Tipo: "), F.col("tipo"), F.lit("]"))
-        parent_id = _unique(F.concat(pre, F.lit("_parent"), p), earlier)
-        child_seen = lambda c: F.size(F.filter("antes", lambda e: F.coalesce(at(e, F.col("p")), F.lit(0)) > c))
-        child = lambda t, c: _row(
-            _unique(F.concat(pre, F.lit("_p"), p, F.lit("_c"), c.cast("string")), child_seen(c)), t,
-            F.concat(head, F.lit("\n\nContexto da seção: "), _snippet(text), F.lit("\n\n"), t), False, parent_id)
-        chunks = F.concat(
-            F.array(_row(parent_id, text, F.concat(head, F.lit("\n\n"), text), True, none)),
-            F.transform("parte.filhos", child))
-    out = rows.select(F.col("numero").alias("secao"), "titulo", "pagina", *own,
-                      F.explode(chunks).alias("c"))
-    return out.select("c.*", "secao", "titulo", "pagina", *own).select(*CHUNK_COLUMNS, *own[3:])
+        whole = F.concat(pre, F.lit("_parent"), p)
+        id_ = _unique(F.when(is_parent, whole).otherwise(
+            F.concat(pre, F.lit("_p"), p, F.lit("_c"), F.col("c").cast("string"))), n)
+        parent_id = F.when(~is_parent, _unique(whole, F.col("n_parte")))
+        context = F.when(is_parent, F.concat(head, F.lit("\n\n"), text)).otherwise(
+            F.concat(head, F.lit("\n\nContexto da seção: "), F.col("resumo"), F.lit("\n\n"), text))
+    return rows.select(
+        id_.alias("id"), F.col("numero").alias("secao"), "titulo", "pagina", "fonte", "ano", "tipo", "texto",
+        context.alias("contexto"), is_parent.alias("is_parent"), parent_id.alias("parent_id"), *own[3:])
 
 
 def page_blocks(pages, sep="\n\n", limit=fv.PARENT_CHUNK_CHARS):

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from claimlens.functions.arrays import split_with_overlap
+from claimlens.functions.arrays import occurrence, split_with_overlap
 from claimlens.operators import chunks as H, sections as D
 from claimlens.operators.html import html_pages
 
@@ -91,6 +91,35 @@ def test_section_chunks_ids_contexts_and_repeats(spark):
     assert rows[0].contexto == head + "\n\num" and rows[1].contexto == head + "\n\nContexto da seção: um\n\num"
 
 
+def test_occurrence_counts_equal_elements_before(spark):
+    rnd = random.Random(3)
+    lists = [[rnd.choice(["a", "b", None, "c"]) for _ in range(n)] for n in (0, 1, 2, 30, 200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<string>")
+    got = {r.i: r.n for r in df.select("i", occurrence(F.col("v")).alias("n")).collect()}
+    assert got == {i: [v[:k].count(x) for k, x in enumerate(v)] for i, v in enumerate(lists)}
+
+
+def test_ids_of_repeated_sections_of_different_length(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("12"), "T", k, "\n\n".join("x" * rnd.choice([30, 200, 700]) for _ in range(rnd.randint(1, 12)))) for k in range(25)]
+    f = files(spark, (1, "")).crossJoin(spark.createDataFrame([(rows,)], "secoes array<struct<numero:string,titulo:string,pagina_inicio:int,texto:string>>"))
+    got = [(r.pagina, r.texto, r.id.split("_secao_")[1], r.parent_id and r.parent_id.split("_secao_")[1]) for r in H.chunk_sections(f).collect()]
+    seen, want = {}, []
+
+    def once(base):
+        n = seen[base] = seen.get(base, -1) + 1
+        return base + (f"_dup{n}" if n else "")
+
+    for number, _, page, text in rows:
+        for p, part in enumerate(pieces_by_search(text, H.fv.PARENT_CHUNK_CHARS, H.fv.OVERLAP_CHARS, "\n\n")):
+            parent = once(f"{number}_parent{p}")
+            want.append((page, part, parent, None))
+            want += [(page, t, once(f"{number}_p{p}_c{c}"), parent) for c, t in enumerate(
+                pieces_by_search(part, H.fv.CHILD_CHUNK_CHARS, H.fv.OVERLAP_CHARS, "\n\n"))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len({r[2] for r in got}) == len(got)
+
+
 def test_flat_chunks(spark):
     text = "\n\n".join(["p" * 700] * 3)
     f = files(spark, (1, "")).withColumn("secoes", F.array(F.struct(
