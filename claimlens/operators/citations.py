@@ -9,8 +9,11 @@ from claimlens.functions.codes import as_col
 from claimlens.functions.text import contains_folded, first_line, fold, truncate
 from claimlens.operators.catalog import first_by_key, top_n
 from claimlens.operators.sections import count_of
+from claimlens.session import shared_dir, write_once
 
 SUMMARY_CHARS = 500
+#: Chunks of a section that one task reads at once when a passage is looked for over their borders.
+RANGE_CHUNKS = 4096
 
 
 def _matches(text, pattern, order, has_page):
@@ -94,27 +97,48 @@ def verify_sections(requests, chunks, text="contexto"):
         "texto_encontrado", F.when(F.coalesce("trecho", F.lit("")) != "", F.coalesce("_ok", F.lit(False)))).drop("_ok")
 
 
-def _across_chunks(asked, chunks, text):
+def _across_chunks(asked, chunks, text, range_chunks=RANGE_CHUNKS):
     """Passages with line breaks may run over chunk borders.
 
     Every border uses up one line break of the passage, so a passage with m of
     them reaches at most m chunks further; m is read from the requests. Heads and
-    tails of the passage's length are compared, not whole texts, and only for the
-    requested sections.
+    tails of the longest passage's length are compared, not whole texts, and only
+    for the requested sections. A section's chunks are cut into ranges, each with
+    the first chunks of the next one, so a long section is read by many tasks.
     """
     multi = asked.where(F.contains("trecho", F.lit("\n"))).withColumn("f", fold("trecho"))
-    reach = multi.agg(F.max(count_of("f", "\n")).cast("int")).first()[0]
+    reach, longest = multi.agg(F.max(count_of("f", "\n")).cast("int"), F.max(F.length("f"))).first()
     if not reach:
         return asked.limit(0)
+    t = fold(text)
+    edges = chunks.join(multi.select("secao").distinct(), "secao", "left_semi").select(
+        "secao", "id", F.left(t, F.lit(longest)).alias("head"), F.right(t, F.lit(longest)).alias("tail"))
+    rows = _in_ranges(edges, "secao", "id", max(range_chunks, reach), reach).join(multi, "secao")
     size = F.length("f")
-    rows = multi.join(chunks.select("secao", "id", fold(text).alias("t")), "secao").select(
-        "secao", "trecho", "id", "f", F.right(F.col("t"), size).alias("tail"), F.left(F.col("t"), size).alias("head"))
-    w = W.partitionBy("secao", "trecho").orderBy("id").rowsBetween(1, reach)
-    joined = F.concat_ws("\n", F.col("tail"), F.array_join(F.collect_list("head").over(w), "\n"))
-    window = F.left(joined, F.length("tail") + size)
+    w = W.partitionBy("secao", "trecho", "_range").orderBy("_place").rowsBetween(1, reach)
+    joined = F.concat_ws("\n", F.right(F.col("tail"), size), F.array_join(F.collect_list(F.left(F.col("head"), size)).over(w), "\n"))
+    window = F.left(joined, F.least(F.length("tail"), size) + size)
     return rows.withColumn("j", window).where(F.contains("j", F.col("f"))).select("secao", "trecho")
 
 
+def _in_ranges(rows, key, order, length, halo):
+    """Rows with their place in the key's order and a range of ``length`` places.
+
+    The first ``halo`` rows of a range are also rows of the range before. Places come
+    from one exchange by range and the counts of its parts; no task holds a key's rows.
+    """
+    placed = write_once(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()),
+                        shared_dir(rows.sparkSession, "ranges"))
+    before = F.sum("n").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    first = placed.groupBy(key, "_part").agg(F.count("*").alias("n")).select(
+        key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy(key, "_part").orderBy(order)) - 1
+    out = placed.withColumn("_place", place).join(first, [key, "_part"]).withColumn("_place", F.col("_place") + F.col("_before"))
+    own = F.floor(F.col("_place") / length)
+    early = (own > 0) & (F.col("_place") % length < halo)
+    return out.withColumn("_range", F.explode(F.when(early, F.array(own - 1, own)).otherwise(F.array(own)))).drop("_part", "_before")
+
+
 def grounding(labels, key="answer_id"):
     """Tallies of labelled statements per answer, and the share that is supported."""
     n = lambda k: F.count_if(F.col("classificacao") == k)

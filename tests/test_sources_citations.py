@@ -139,6 +139,20 @@ def test_section_verification_across_chunks(spark):
     assert got["4.1", "ACAO"].resumo == "primeira parte\nsegunda Ação\ncurto\nfim" and not got["7", "x"].encontrada
 
 
+def test_passages_over_borders_of_a_long_section(spark):
+    lines = [f"linha {i}" + (f"\nfim {i}" if i % 3 == 0 else "") for i in range(600)]
+    long = spark.createDataFrame([("9", f"c{i:04d}", t) for i, t in enumerate(lines)] + [("8", "c0000", "linha 5"), ("8", "c0001", "linha 7")],
+                                 "secao string, id string, contexto string")
+    whole = "\n".join(lines)
+    passages = ["\n".join(whole.split("\n")[a:a + k]) for a in range(0, 790, 60) for k in (2, 3, 5)] + ["linha 5\nlinha 7", "fim 3\nlinha 5", "\nlinha"]
+    asked = spark.createDataFrame([(s, p) for p in passages for s in ("9", "8")], "secao string, trecho string")
+    want = {("9", p) for p in passages if p in whole} | {("8", p) for p in passages if p in "linha 5\nlinha 7"}
+    for chunks_per_range in (1, 64, 4096):
+        got = {(r.secao, r.trecho) for r in Z._across_chunks(asked, long, "contexto", chunks_per_range).collect()}
+        inside = {("9", p) for p in passages if any(p in x for x in lines)}
+        assert got | inside == want | inside and got <= want, chunks_per_range
+
+
 def test_answer_flags(spark):
     answers = spark.createDataFrame([(1, -1.0), (2, 0.4), (3, 0.9), (4, 0.9)], ["answer_id", "score_geral"])
     ver = spark.createDataFrame([(1, True), (3, False)], ["answer_id", "existe"])
