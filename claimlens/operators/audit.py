@@ -86,9 +86,31 @@ def diagnosis_dim(cat, month):
     return d.withColumn("cid_conhecido", F.lit(True))
 
 
-def _with_rules(claims, cat, month):
+def compatible_pairs(cat, month):
+    """Distinct (co_procedimento, co_secundario): what may be claimed beside a principal."""
+    return at_months(cat["rl_procedimento_compativel"], month).select(
+        F.col("co_procedimento_principal").alias("co_procedimento"),
+        F.col("co_procedimento_compativel").alias("co_secundario")).distinct()
+
+
+#: What the audit looks up: a month's rules by procedure, diagnosis and pair, and the facilities.
+TABLES = {"rules": procedure_rules, "diagnoses": diagnosis_dim, "allowed": allowed_diagnoses,
+          "pairs": compatible_pairs, "capacity": facility_capacity}
+
+
+def audit_tables(cat, month, facility_month=None, keep=None):
+    """The frames that claims of a month are checked against, by name.
+
+    ``keep(name, frame)`` may store a frame and return the stored one, for many batches
+    against the same month.
+    """
+    made = {name: make(cat, (facility_month or month) if name == "capacity" else month) for name, make in TABLES.items()}
+    return {name: keep(name, df) for name, df in made.items()} if keep else made
+
+
+def _with_rules(claims, tables):
     """Claims with normalised code and the row of their procedure (left)."""
-    rules = procedure_rules(cat, month).withColumn("proc_existe", F.lit(True))
+    rules = tables["rules"].withColumn("proc_existe", F.lit(True))
     return (
         claims.withColumn("co_procedimento", C.normalise_code("codigo_procedimento"))
         .join(rules, "co_procedimento", "left")
@@ -96,41 +118,40 @@ def _with_rules(claims, cat, month):
     )
 
 
-def _with_capacity(df, cat, month):
-    cap = facility_capacity(cat, month).withColumnRenamed("cnes", "codigo_cnes")
+def _with_capacity(df, tables):
+    cap = tables["capacity"].withColumnRenamed("cnes", "codigo_cnes")
     out = df.join(cap, "codigo_cnes", "left")
     for c in ["tem_hab", "tem_serv", "tem_leito"]:
         out = out.withColumn(c, F.coalesce(c, _no_codes()))
     return out
 
 
-def _with_diagnosis(df, cat, month):
-    out = df.join(diagnosis_dim(cat, month).withColumnRenamed("co_cid", "codigo_cid"), "codigo_cid", "left")
-    allowed = allowed_diagnoses(cat, month).select(
+def _with_diagnosis(df, tables):
+    out = df.join(tables["diagnoses"].withColumnRenamed("co_cid", "codigo_cid"), "codigo_cid", "left")
+    allowed = tables["allowed"].select(
         "co_procedimento", F.col("co_cid").alias("codigo_cid"), F.coalesce("st_principal", F.lit("")).alias("st_principal"))
     return out.join(allowed, ["co_procedimento", "codigo_cid"], "left").withColumn(
         "cid_conhecido", F.coalesce("cid_conhecido", F.lit(False)))
 
 
-def secondary_checks(claims, secondaries, cat, month, bidirectional=False):
+def secondary_checks(claims, secondaries, cat, month, bidirectional=False, tables=None):
     """One row per claim and secondary procedure: is it compatible with the principal?
 
     Only claims whose principal exists are checked.
     """
-    pairs = at_months(cat["rl_procedimento_compativel"], month).select(
-        F.col("co_procedimento_principal").alias("co_procedimento"),
-        F.col("co_procedimento_compativel").alias("co_secundario"))
+    pairs = tables["pairs"] if tables else compatible_pairs(cat, month)
     if bidirectional:
         pairs = pairs.unionByName(pairs.select(
             F.col("co_secundario").alias("co_procedimento"), F.col("co_procedimento").alias("co_secundario")))
-    known = at_months(cat["tb_procedimento"], month).select("co_procedimento")
+    known = tables["rules"] if tables else at_months(cat["tb_procedimento"], month)
+    known = known.select("co_procedimento")
     principal = (
         claims.select("claim_id", C.normalise_code("codigo_procedimento").alias("co_procedimento"))
         .join(known, "co_procedimento", "left_semi"))
     sec = secondaries.select("claim_id", C.normalise_code("co_secundario").alias("co_secundario"))
     return (
         sec.join(principal, "claim_id")
-        .join(pairs.distinct().withColumn("atendido", F.lit(True)), ["co_procedimento", "co_secundario"], "left")
+        .join((pairs.distinct() if bidirectional else pairs).withColumn("atendido", F.lit(True)), ["co_procedimento", "co_secundario"], "left")
         .withColumn("atendido", F.coalesce("atendido", F.lit(False)))
     )
 
@@ -139,15 +160,15 @@ def given(c):
     return F.col(c).isNotNull() & (F.col(c) != "")
 
 
-def evaluate(claims, cat, month, facility_month=None):
+def evaluate(claims, cat, month, facility_month=None, tables=None):
     """One wide row per claim with the outcome of every check but the secondaries.
 
     An outcome is NULL where the check does not apply: the procedure is unknown,
-    it has no such requirement, or the claim does not state the field.
+    it has no such requirement, or the claim does not state the field. ``tables``
+    (``audit_tables``) are made of the catalog unless given.
     """
-    df = _with_rules(claims, cat, month)
-    df = _with_diagnosis(df, cat, month)
-    df = _with_capacity(df, cat, facility_month or month)
+    tables = tables or audit_tables(cat, month, facility_month)
+    df = _with_capacity(_with_diagnosis(_with_rules(claims, tables), tables), tables)
     exists = F.col("proc_existe")
     sex = F.coalesce("tp_sexo", F.lit(""))
     asked = lambda c: exists & (F.size(c) > 0)
@@ -254,11 +275,11 @@ def alerts(checks):
     return checks.where(~F.col("atendido")).select("claim_id", "ordem", "tipo", "codigo", "alerta")
 
 
-def audit(claims, secondaries, cat, month, facility_month=None, bidirectional=False):
+def audit(claims, secondaries, cat, month, facility_month=None, bidirectional=False, tables=None):
     """Verdicts, check rows and alerts of a batch of claims (three lazy frames)."""
     claims = claims.withColumn("competencia", F.lit(month))
-    ev = evaluate(claims, cat, month, facility_month)
-    sec = None if secondaries is None else secondary_checks(claims, secondaries, cat, month, bidirectional)
+    ev = evaluate(claims, cat, month, facility_month, tables)
+    sec = None if secondaries is None else secondary_checks(claims, secondaries, cat, month, bidirectional, tables)
     checks = checks_long(ev, sec)
     return verdicts(ev, sec), checks, alerts(checks)
 
@@ -342,7 +363,8 @@ def facility_fit(requests, cat, month, facility_month=None):
     Like the audit's requirement checks, plus: any required occupation is on the staff.
     """
     pairs = requests.select("codigo_procedimento", "codigo_cnes").distinct()
-    df = _with_capacity(_with_rules(pairs, cat, month), cat, facility_month or month).where("proc_existe")
+    tables = audit_tables(cat, month, facility_month)
+    df = _with_capacity(_with_rules(pairs, tables), tables).where("proc_existe")
     staff = F.coalesce(F.map_keys("staff"), _no_codes())
     checks = {
         "ok_habilitacao": ("req_hab", F.col("tem_hab")), "ok_servico": ("req_serv", F.col("tem_serv")),
@@ -356,7 +378,8 @@ def facility_fit(requests, cat, month, facility_month=None):
 def diagnosis_check(requests, cat, month):
     """Is the diagnosis allowed for the procedure? Needs codigo_procedimento, codigo_cid."""
     pairs = requests.select("codigo_procedimento", "codigo_cid").distinct()
-    df = _with_diagnosis(_with_rules(pairs, cat, month), cat, month).where("proc_existe")
+    tables = audit_tables(cat, month)
+    df = _with_diagnosis(_with_rules(pairs, tables), tables).where("proc_existe")
     ok = F.col("st_principal").isNotNull()
     return df.select(
         "co_procedimento", "no_procedimento", "codigo_cid", ok.alias("valido"),

@@ -9,12 +9,16 @@ def audit_stream(claims, secondaries_of, cat, month, out, checkpoint, facility_m
 
     ``secondaries_of``: function of a batch of claims that gives its secondary
     procedures, or None. Each batch writes its own folder below ``out`` and writes
-    it whole, so that a repeated batch after a failure leaves no duplicates. The
-    query stops when all input present at the start is processed.
+    it whole, so that a repeated batch after a failure leaves no duplicates. Rules and
+    capacity of the month are written once, before the first batch, and read by all.
+    The query stops when all input present at the start is processed.
     """
+    base = shared_dir(claims.sparkSession, "audit-tables")
+    tables = audit.audit_tables(cat, month, facility_month, keep=lambda name, df: write_once(df, f"{base}/{name}"))
+
     def one_batch(batch, batch_id):
         sec = secondaries_of(batch) if secondaries_of else None
-        verdicts, _, _ = audit.audit(batch, sec, cat, month, facility_month)
+        verdicts, _, _ = audit.audit(batch, sec, cat, month, facility_month, tables=tables)
         verdicts.write.mode("overwrite").parquet(f"{out}/lote={batch_id}")
 
     return (
