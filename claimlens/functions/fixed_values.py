@@ -156,6 +156,8 @@ MIN_PARAGRAPH_CHARS = 20
 PREAMBLE_AFTER_PAGE = 8
 TOC_DOTS_PER_PAGE = 5
 CLASSIFY_PAGES = 10
+#: Secondary diagnoses that a claim's question names.
+QUESTION_SECONDARIES = 4
 MIN_MANUAL_MARKERS = 2
 SOURCE_NAME_CHARS = 60
 

@@ -112,12 +112,15 @@ def is_short(question):
     return (_words(q) <= 2) | q.rlike(r"^\d+$")
 
 
-def claim_questions(claim):
-    """Search questions for one parsed claim (a struct column of operators.claim_text)."""
-    return let(as_col(claim), _claim_questions)
+def claim_questions(claim, secondaries=None):
+    """Search questions for one parsed claim (a struct column of operators.claim_text).
 
+    The question on secondary diagnoses names all of them, or the first ``secondaries``.
+    """
+    return let(as_col(claim), lambda c: _claim_questions(c, secondaries))
 
-def _claim_questions(c):
+
+def _claim_questions(c, secondaries):
     fmt = fv.CLAIM_QUERY_FORMATS
     proc, diag = c["procedimento_principal"], c["diagnostico_principal"]
     pname, dcode, dname = proc["nome"], diag["cid"], diag["nome"]
@@ -133,6 +136,7 @@ def _claim_questions(c):
     )
     per_group = F.transform(groups, lambda g: F.format_string(fmt["group"], group_description(g), g))
     sec = c["cids_secundarios"]
+    named = sec if secondaries is None else F.slice(sec, 1, secondaries)
     secondary = F.array(F.when(
-        F.size(sec) > 0, F.format_string(fmt["secondary"], F.array_join(F.slice(sec, 1, 4), " "))))
+        F.size(sec) > 0, F.format_string(fmt["secondary"], F.array_join(named, " "))))
     return F.array_compact(F.concat(single, per_group, secondary))

@@ -124,8 +124,9 @@ def detect_sections(pages, preamble_after_page=fv.PREAMBLE_AFTER_PAGE):
     return let(segments, build)
 
 
-def is_manual(pages):
-    """At least two of the manual markers in the first pages."""
-    head = F.upper(F.array_join(F.transform(F.slice(as_col(pages), 1, fv.CLASSIFY_PAGES), lambda p: p["texto"]), " "))
+def is_manual(pages, first=None):
+    """At least two of the manual markers in the pages, or in so many of the ``first``."""
+    read = as_col(pages) if first is None else F.slice(as_col(pages), 1, first)
+    head = F.upper(F.array_join(F.transform(read, lambda p: p["texto"]), " "))
     return let(head, lambda t: reduce(lambda a, b: a + b, [
         F.contains(t, F.lit(m)).cast("int") for m in fv.MANUAL_MARKERS])) >= fv.MIN_MANUAL_MARKERS

@@ -184,9 +184,9 @@ def rule_sections(rule_map, chunks, max_chars=None):
     return found.withColumn("texto", truncate("texto", max_chars)) if max_chars else found
 
 
-def claim_search(claims, c: Corpus, n_per_query=3, limit=12, mode="vector", decompose=False):
+def claim_search(claims, c: Corpus, n_per_query=3, limit=12, mode="vector", decompose=False, secondaries=None):
     """Chunks for each claim text (claim_id, texto): the questions that it gives rise to,
     the first score seen per chunk, the best ``limit`` of them."""
     asked = claims.select(F.col("claim_id").alias("request_id"), F.posexplode(
-        Q.claim_questions(claim_text.parse_claim("texto"))).alias("ordem", "pergunta"))
+        Q.claim_questions(claim_text.parse_claim("texto"), secondaries)).alias("ordem", "pergunta"))
     return multi_query(asked, c, n_per_query, keep="first", limit=limit, decompose=decompose, mode=mode).withColumnRenamed("request_id", "claim_id")

@@ -347,7 +347,7 @@ SELECT claim_id, id, round(score, 6) AS score, CAST(posicao AS INTEGER) AS posic
   SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, id) AS posicao FROM (
     SELECT claim_id, id, score FROM v_claim_hits QUALIFY row_number() OVER (PARTITION BY claim_id, id ORDER BY sub, score DESC) = 1)) WHERE posicao <= 12""")
 def _(b):
-    return S.claim_search(b.claim_texts, corpus(b, words=False)).select("claim_id", "id", r6("score"), "posicao")
+    return S.claim_search(b.claim_texts, corpus(b, words=False), secondaries=fv.QUESTION_SECONDARIES).select("claim_id", "id", r6("score"), "posicao")
 
 
 # --- evaluation ------------------------------------------------------------------------------

@@ -58,12 +58,12 @@ def _(b):
 SELECT doc_id, pagina, md5(texto) AS h FROM v_pages WHERE NOT is_annex OR pagina <= 10""")
 def _(b):
     pages = b.files.select("doc_id", "is_annex", F.explode("pages").alias("p")).select("doc_id", "is_annex", "p.pagina", "p.texto")
-    return corpus.cap_annex_pages(pages).select("doc_id", "pagina", F.md5(F.col("texto").cast("binary")).alias("h"))
+    return corpus.cap_annex_pages(pages, cap=fv.ANNEX_PAGE_CAP).select("doc_id", "pagina", F.md5(F.col("texto").cast("binary")).alias("h"))
 
 
 @query("source_classify", "SELECT doc_id, eh_manual FROM v_is_manual")
 def _(b):
-    return b.files.select("doc_id", D.is_manual("pages").alias("eh_manual"))
+    return b.files.select("doc_id", D.is_manual("pages", fv.CLASSIFY_PAGES).alias("eh_manual"))
 
 
 def _sections(b):
@@ -203,7 +203,7 @@ CLAIM_Q = f"""[
 
 @query("claim_questions", V.unrolled("v_claims_parsed", CLAIM_Q, "claim_id"))
 def _(b):
-    return b.claim_texts.select("claim_id", F.posexplode(Q.claim_questions(P.parse_claim("texto"))).alias("sub", "texto"))
+    return b.claim_texts.select("claim_id", F.posexplode(Q.claim_questions(P.parse_claim("texto"), fv.QUESTION_SECONDARIES)).alias("sub", "texto"))
 
 
 # --- rules -------------------------------------------------------------------------------

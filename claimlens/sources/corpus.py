@@ -106,11 +106,15 @@ def with_path_attributes(df, path="path"):
     )
 
 
-def cap_annex_pages(pages, annex="is_annex", page="pagina", cap=fv.ANNEX_PAGE_CAP):
-    """Page rows, with annexes kept only up to the page cap."""
+def cap_annex_pages(pages, annex="is_annex", page="pagina", cap=None):
+    """Page rows, with annexes kept only up to the page cap if there is one."""
+    if cap is None:
+        return pages
     return pages.where(~F.col(annex) | (F.col(page) <= cap))
 
 
-def cap_annex_page_array(pages, annex, cap=fv.ANNEX_PAGE_CAP):
+def cap_annex_page_array(pages, annex, cap=None):
     """The same for an ``array<struct<pagina,texto>>`` column."""
+    if cap is None:
+        return as_col(pages)
     return F.when(as_col(annex), F.filter(as_col(pages), lambda p: p["pagina"] <= cap)).otherwise(as_col(pages))

@@ -48,7 +48,9 @@ def test_no_sections(spark):
 
 
 def test_manual_needs_two_markers(spark):
-    got = lambda *p: files(spark, *p).select(D.is_manual("pages")).first()[0]
+    got = lambda *p: files(spark, *p).select(D.is_manual("pages", 10)).first()[0]
+    late = [*[(i, "") for i in range(10)], (11, "SIH/SUS AIH")]
+    assert files(spark, *late).select(D.is_manual("pages")).first()[0]
     assert got((1, "Sih/Sus"), (2, "aih")) and not got((1, "aih")) and not got(*[(i, "") for i in range(10)], (11, "SIH/SUS AIH"))
 
 

@@ -69,9 +69,9 @@ def test_path_attributes(spark):
 
 def test_annex_cap(spark):
     pages = spark.range(1, 15).select(F.col("id").cast("int").alias("pagina"), F.explode(F.array(F.lit(True), F.lit(False))).alias("is_annex"))
-    assert corpus.cap_annex_pages(pages).count() == 10 + 14
+    assert corpus.cap_annex_pages(pages, cap=10).count() == 10 + 14 and corpus.cap_annex_pages(pages).count() == 28
     arr = spark.createDataFrame([([(i, "t") for i in range(1, 15)],)], "pages array<struct<pagina:int,texto:string>>")
-    assert arr.select(F.size(corpus.cap_annex_page_array("pages", F.lit(True)))).first()[0] == 10
+    assert arr.select(F.size(corpus.cap_annex_page_array("pages", F.lit(True), 10))).first()[0] == 10
 
 
 def test_sinks(spark, tmp_path):
@@ -109,6 +109,8 @@ def test_claim_text(spark):
     assert b.procedimento_principal is None and b.procedimentos_unicos == [] and b.num_aih is None
     qs = df.select("k", claim_questions("c").alias("q")).orderBy("k").collect()
     assert len(qs[0].q) == 8 and qs[0].q[-1] == "CID secundario E110 J189 causas externas politraumatismo" and qs[1].q == []
+    one = df.select(claim_questions("c", 1).alias("q")).where(F.size("q") > 0).first().q
+    assert one[-1] == "CID secundario E110 causas externas politraumatismo"
 
 
 # --- citations ------------------------------------------------------------------------------
