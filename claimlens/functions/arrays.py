@@ -22,7 +22,7 @@ def at(arr, i):
 
 
 def between(arr, start, end):
-    """Elements start..end-1 (0-based), taken one by one: ``slice`` copies the whole array first."""
+    """Elements start..end-1 (0-based), taken one by one."""
     return F.transform(
         F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>")), lambda i: at(arr, i))
 
@@ -47,8 +47,8 @@ def pack(lens, limit, overlap=None, glue=0):
     A piece is closed when the next length would take it over the limit; a single
     length over the limit stays whole. ``glue`` is added per packed element. With
     an ``overlap`` budget the next piece starts with the tail of the last one that
-    fits the budget. One pass over the array. A fold copies its state at every step, so
-    the pieces are gathered by stretches of about the square root of the length: the
+    fits the budget. One pass over the array. Steps of a fold that carry all pieces take
+    time that grows with them (measured), so the pieces are gathered by stretches of about the square root of the length: the
     state of the steps holds two numbers and one stretch's pieces, and only the few
     steps from stretch to stretch carry all pieces.
     """
