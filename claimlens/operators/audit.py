@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from claimlens.functions import codes as C, fixed_values as fv
-from claimlens.operators.catalog import first_by_key
+from claimlens.operators.catalog import first_by_key, growing
 from claimlens.sources.snapshots import at_months
 
 def _no_codes():
@@ -50,7 +50,7 @@ def procedure_rules(cat, month):
         "co_procedimento")
     sets = [F.coalesce(c, _no_codes()).alias(c) for c in ["req_hab", "req_serv", "req_leito", "req_ocup"]]
     return (
-        head.join(req, "co_procedimento", "left").join(n_cids, "co_procedimento", "left")
+        head.join(growing(req), "co_procedimento", "left").join(growing(n_cids), "co_procedimento", "left")
         .select(
             "co_procedimento", "no_procedimento",
             C.int_or("vl_idade_minima").alias("idade_minima"),
@@ -113,14 +113,14 @@ def _with_rules(claims, tables):
     rules = tables["rules"].withColumn("proc_existe", F.lit(True))
     return (
         claims.withColumn("co_procedimento", C.normalise_code("codigo_procedimento"))
-        .join(rules, "co_procedimento", "left")
+        .join(growing(rules), "co_procedimento", "left")
         .withColumn("proc_existe", F.coalesce("proc_existe", F.lit(False)))
     )
 
 
 def _with_capacity(df, tables):
     cap = tables["capacity"].withColumnRenamed("cnes", "codigo_cnes")
-    out = df.join(cap, "codigo_cnes", "left")
+    out = df.join(growing(cap), "codigo_cnes", "left")
     for c in ["tem_hab", "tem_serv", "tem_leito"]:
         out = out.withColumn(c, F.coalesce(c, _no_codes()))
     return out
@@ -130,7 +130,7 @@ def _with_diagnosis(df, tables):
     out = df.join(tables["diagnoses"].withColumnRenamed("co_cid", "codigo_cid"), "codigo_cid", "left")
     allowed = tables["allowed"].select(
         "co_procedimento", F.col("co_cid").alias("codigo_cid"), F.coalesce("st_principal", F.lit("")).alias("st_principal"))
-    return out.join(allowed, ["co_procedimento", "codigo_cid"], "left").withColumn(
+    return out.join(growing(allowed), ["co_procedimento", "codigo_cid"], "left").withColumn(
         "cid_conhecido", F.coalesce("cid_conhecido", F.lit(False)))
 
 
@@ -147,11 +147,12 @@ def secondary_checks(claims, secondaries, cat, month, bidirectional=False, table
     known = known.select("co_procedimento")
     principal = (
         claims.select("claim_id", C.normalise_code("codigo_procedimento").alias("co_procedimento"))
-        .join(known, "co_procedimento", "left_semi"))
+        .join(growing(known), "co_procedimento", "left_semi"))
     sec = secondaries.select("claim_id", C.normalise_code("co_secundario").alias("co_secundario"))
+    pairs = (pairs.distinct() if bidirectional else pairs).withColumn("atendido", F.lit(True))
     return (
-        sec.join(principal, "claim_id")
-        .join((pairs.distinct() if bidirectional else pairs).withColumn("atendido", F.lit(True)), ["co_procedimento", "co_secundario"], "left")
+        sec.join(growing(principal), "claim_id")
+        .join(growing(pairs), ["co_procedimento", "co_secundario"], "left")
         .withColumn("atendido", F.coalesce("atendido", F.lit(False)))
     )
 
@@ -215,7 +216,7 @@ def verdicts(evaluated, secondary=None):
     if secondary is not None:
         per_claim = secondary.groupBy("claim_id").agg(
             F.count("*").alias("n_secundarios"), F.count_if(~F.col("atendido")).alias("n_secundarios_ruins"))
-        out = out.join(per_claim, "claim_id", "left")
+        out = out.join(growing(per_claim), "claim_id", "left")
     else:
         out = out.withColumn("n_secundarios", F.lit(0)).withColumn("n_secundarios_ruins", F.lit(0))
     bad = F.coalesce("n_secundarios_ruins", F.lit(0)).cast("int")
@@ -318,9 +319,9 @@ def _value_base(requests, cat, month, facility_month):
         .groupBy("codigo_cnes").agg(F.collect_set("cod_sub_grupo_habilitacao").alias("tem_hab")))
     return (
         requests.withColumn("co_procedimento", C.normalise_code("codigo_procedimento"))
-        .join(head, "co_procedimento")
-        .join(increment_sets(cat, month), "co_procedimento", "left")
-        .join(accred, "codigo_cnes", "left")
+        .join(growing(head), "co_procedimento")
+        .join(growing(increment_sets(cat, month)), "co_procedimento", "left")
+        .join(growing(accred), "codigo_cnes", "left")
         .withColumn("tem_hab", F.coalesce("tem_hab", _no_codes()))
     )
 

@@ -150,3 +150,16 @@ def test_skewed_procedure(spark, cat):
         F.lit("F").alias("sexo_paciente"), F.lit(30).alias("idade_paciente"))
     v = A.audit(df, None, cat, M)[0]
     assert v.where("conforme").count() == n // 3
+
+
+@pytest.mark.parametrize("name", ["audit_claims", "audit_checks_long", "audit_alerts", "audit_details", "audit_bidirectional",
+                                  "diagnosis_check", "suggest_procedures", "snapshot_diff", "claim_value", "procedure_facility_fit"])
+def test_no_growing_side_is_broadcast(spark, name):
+    """Frames by procedure, facility or claim must not pass the driver, however small their files look."""
+    from claimlens.plans import all_queries
+
+    df = all_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+    # domains of a fixed size (diagnoses, accreditations) may be
+    assert not [x for x in joins if any(k in x for k in ("co_procedimento", "cnes", "claim_id", "l_orderkey", "co_secundario"))]
