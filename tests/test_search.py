@@ -345,3 +345,20 @@ def test_term_counts_on_random_tokens(spark):
     want = dict(rows)
     for r in df.collect():
         assert {x.term: x.tf for x in r.c} == dict(Counter(want[r.i]))
+
+
+def test_rules_of_one_name_are_searched_once_and_hits_without_chunk_count(spark, tmp_path):
+    seen = []
+
+    def embed(q):
+        seen.append(sorted(r.pergunta for r in q.select("pergunta").collect()))
+        return q.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+
+    rules = spark.createDataFrame([(1, "0501", "xis"), (2, "0502", "xis"), (3, "0503", "outra")], "numero int, codigo string, nome string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1])], "id string, embedding array<double>")
+    chunks = spark.createDataFrame([("b", "2.1", 7, "t")], "id string, secao string, pagina int, contexto string")
+    m = S.map_rules(rules, S.Corpus(chunks, None, vectors, embed), str(tmp_path / "map"), n=2)
+    assert seen == [["outra", "xis"]]
+    assert sorted((r.numero, r.posicao, r.secao) for r in m.collect()) == [(n, p, s) for n in (1, 2, 3) for p, s in ((1, None), (2, "2.1"))]
+    assert S.mapped_share(m).first()["n"] == 3
+    assert sorted((r.numero, r.secao) for r in S.rule_sections(m, chunks).collect()) == [(1, "2.1"), (2, "2.1"), (3, "2.1")]
