@@ -362,3 +362,12 @@ def test_rules_of_one_name_are_searched_once_and_hits_without_chunk_count(spark,
     assert sorted((r.numero, r.posicao, r.secao) for r in m.collect()) == [(n, p, s) for n in (1, 2, 3) for p, s in ((1, None), (2, "2.1"))]
     assert S.mapped_share(m).first()["n"] == 3
     assert sorted((r.numero, r.secao) for r in S.rule_sections(m, chunks).collect()) == [(1, "2.1"), (2, "2.1"), (3, "2.1")]
+
+
+def test_index_lists_shuffle_documents_not_postings(spark):
+    docs = spark.createDataFrame([("a", 3, [("x", 1), ("y", 2)], "s", 0)], "id string, dl int, terms array<struct<term:string,tf:int>>, _src string, segment int")
+    lists = bm25._lists(docs, [], 10)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate explode")]
+    assert "Exchange" not in above
+    assert sorted((r.term, r.df, r.cf) for r in lists.collect()) == [("x", 1, 1), ("y", 1, 2)]
