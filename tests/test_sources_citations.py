@@ -270,3 +270,13 @@ def test_files_with_equal_name_starts_are_replaced_apart(spark):
     new = files.where(F.endswith("path", F.lit("a10077.pdf"))).withColumn("tipo", F.lit("new"))
     out = sinks.replace_by_source(files, new)
     assert out.count() == 5000 and out.where("tipo = 'new'").count() == 1
+
+
+def test_parts_are_dealt_before_they_become_many_rows(spark):
+    """A small file is read by one task; its rows must not be multiplied there."""
+    from claimlens.plans.bindings import Bound
+
+    b = Bound(spark, "/root/testdata/sf0.001")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for table in ("rl_procedimento_cid", "rl_procedimento_habilitacao", "rl_procedimento_servico", "tb_procedimento"):
+        assert b.table(table).rdd.getNumPartitions() == n
