@@ -371,3 +371,15 @@ def test_index_lists_shuffle_documents_not_postings(spark):
     above = plan[:plan.index("Generate explode")]
     assert "Exchange" not in above
     assert sorted((r.term, r.df, r.cf) for r in lists.collect()) == [("x", 1, 1), ("y", 1, 2)]
+
+
+def test_questions_with_one_vector_are_searched_once_and_not_broadcast(spark, corpus, monkeypatch):
+    req = spark.createDataFrame([(r, 0, f"{t} {r}") for r in range(30) for t in ("uti", "cirurgia")], "request_id int, ordem int, pergunta string")
+    asked, search = [], S.vector.search
+    monkeypatch.setattr(S.vector, "search", lambda q, *a, **k: asked.append(q.count()) or search(q, *a, **k))
+    hits = S.search_texts(req, corpus, 1, mode="vector")
+    assert asked == [2]
+    assert {(r.pergunta.split()[0], r.id) for r in hits.collect()} == {("uti", "d1"), ("cirurgia", "d2")} and hits.count() == 60
+    # questions grow with the requests: their hits must not pass the driver
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("pergunta" in x or "query_id" in x)]
