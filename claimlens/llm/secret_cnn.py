@@ -69,6 +69,14 @@ def _runs(mask, rel, least):
     return cut[:-1][keep], cut[1:][keep]
 
 
+def _parts(batches, at):
+    """Record batches in slices of some 2 MB of texts, so that a task's memory does not follow the size of a batch."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        for i, j in T.blocks(np.concatenate(([0], np.cumsum(size, dtype=np.int64)))):
+            yield batch.slice(i, j - i)
+
+
 def scan(column):
     """Per row of an Arrow string column that has any: (row, text bytes, base spans, other candidates)."""
     raw, off = T.utf8(column)
@@ -256,7 +264,7 @@ def _examples(text, base, other):
 
 
 def _findings(batches):
-    for batch in batches:
+    for batch in _parts(batches, 0):
         w, y = [], []
         for _, text, base, other in scan(batch.column(0)):
             for x, label in _examples(text, base, other):
@@ -317,7 +325,7 @@ def _digests(model):
     def run(batches):
         net = model.value
         empty = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
+        for batch in _parts(batches, 1):
             n = np.zeros((batch.num_rows, 3), np.int64)
             sha, every = [empty] * batch.num_rows, [""] * batch.num_rows
             for r, text, spans in _all_spans(batch.column(1), net):
@@ -346,7 +354,7 @@ def find_secrets(docs, id_col="doc_id", text_col="text", net=None):
 def _score_rows(model):
     def run(batches):
         net = model.value
-        for batch in batches:
+        for batch in _parts(batches, 1):
             rows, spans, scores = [], [], []
             for r, text, base, other, score in _scored(batch.column(1), net, base_too=True):
                 every = _points(text, base + [(a, b, 3) for a, b in other])
@@ -371,7 +379,7 @@ def score_findings(docs, id_col="doc_id", text_col="text", net=None):
 def _redacted(model, at, n_chars, mark):
     def run(batches):
         net = model.value
-        for batch in batches:
+        for batch in _parts(batches, at):
             texts = batch.column(at)
             changed = {}
             for r, text, spans in _all_spans(texts, net):
