@@ -383,3 +383,26 @@ def test_questions_with_one_vector_are_searched_once_and_not_broadcast(spark, co
     # questions grow with the requests: their hits must not pass the driver
     plan = hits._jdf.queryExecution().sparkPlan().toString()
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("pergunta" in x or "query_id" in x)]
+
+
+def test_block_scores_hold_bounded_entries():
+    """Questions of common words bring a list entry for every document and word: a task takes few of them at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    docs, terms, asks = 1000, 40, 400
+    entry = [{"id": f"d{i:04}", "tf": 1 + i % 3, "dl": 50 + i % 7} for i in range(docs)]
+    lists = pa.RecordBatch.from_pydict({"term": [f"t{k}" for k in range(terms)], "entries": [entry] * terms})
+    asked = pa.RecordBatch.from_pydict({"query_id": list(range(asks + 1)), "terms": [[{"term": f"t{k}", "w": 1.0 + (q * k) % 5} for k in range(terms)] for q in range(asks)] + [[]]})
+    ask = bm25._block_scores(["query_id"], [], [], 50.0, 3, 9)([lists])
+    tracemalloc.start()
+    out = ask(asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    w = np.array([[1.0 + (q * k) % 5 for k in range(terms)] for q in range(asks)])
+    gain = bm25._gain(1.0 + np.arange(docs) % 3, 50 + np.arange(docs) % 7, 50.0)
+    want = [sorted(((-round(float(sum(x * g for x in row)), 9), i) for i, g in enumerate(gain)))[:3] for row in w[:5]]
+    got = list(zip(out.column("query_id").to_pylist(), out.column("id").to_pylist(), strict=True))
+    assert len(got) == 3 * asks and [i for q, i in got if q < 5] == [f"d{i:04}" for row in want for _, i in row]
