@@ -1,6 +1,7 @@
 """Documents arriving as a stream, replaced source by source."""
 
-from pyspark.sql import Window as W
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from claimlens.session import shared_dir, write_once
@@ -44,9 +45,12 @@ def replace_editions(documents, table, stage, checkpoint, source=None, wait=None
         new = batch.withColumn("_lote", F.lit(batch_id)).withColumn("_desde", F.lit(batch_id))
         before = table_at(spark, f"{stage}/espera/lote={batch_id - 1}") if batch_id else []
         rows = before[0].unionByName(new) if before else new
-        # of a repeated part the rows of its last batch
-        last = F.max("_lote").over(W.partitionBy(*edition, "parte"))
-        rows = write_once(rows.withColumn("_ultimo", last).where("_lote = _ultimo").drop("_ultimo"), f"{stage}/lidas/lote={batch_id}")
+        # of a repeated part the rows of its last batch; a window would bring all rows of a part to one task
+        part = [*edition, "parte"]
+        last = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in part]).agg(F.max("_lote").alias("_ultimo"))
+        last = write_once(last, f"{stage}/partes/lote={batch_id}")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part]) & (F.col("_lote") == F.col("_ultimo"))
+        rows = write_once(rows.join(last, same, "left_semi"), f"{stage}/lidas/lote={batch_id}")
         state = rows.groupBy(*edition).agg(F.countDistinct("parte").alias("n"), F.max("partes").alias("partes"), F.min("_desde").alias("desde"))
         state = write_once(state.withColumn("completa", F.col("n") >= F.col("partes")), f"{stage}/edicoes/lote={batch_id}")
         ready = state.where("completa").groupBy(key).agg(F.max("edicao").alias("edicao"))
@@ -78,11 +82,16 @@ def edition_documents(b, files=4):
     base = shared_dir(spark, "stream-editions")
     view = b.raw("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("fonte"), F.col("text").alias("texto"), F.pmod("doc_id", F.lit(files)).alias("parte"))
     overwrite_sources(view.drop("parte").withColumns({"texto": F.lit("old edition"), "edicao": F.lit(1), "parte": F.lit(0).cast("long"), "partes": F.lit(1).cast("long")}), f"{base}/table")
-    partes = view.groupBy("fonte").agg(F.countDistinct("parte").alias("partes"))
-    view.join(partes, "fonte").withColumn("edicao", F.lit(2)).select("id", "texto", "edicao", "parte", "partes", "fonte").repartition(files, "parte").write.parquet(f"{base}/in")
-    schema = spark.read.parquet(f"{base}/in").schema
-    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    replace_editions(new, f"{base}/table", f"{base}/stage", f"{base}/checkpoint").awaitTermination()
+    # written: a row per source, so that the documents need no exchange to meet it
+    partes = write_once(view.groupBy("fonte").agg(F.countDistinct("parte").alias("partes")), f"{base}/partes")
+    new = view.join(partes, "fonte").withColumn("edicao", F.lit(2)).select("id", "texto", "edicao", "parte", "partes", "fonte")
+    # rows without a part come with the first
+    new = write_once(new.withColumn("_p", F.coalesce("parte", F.lit(0))), f"{base}/parted", ["_p"])
+    for p in range(files):
+        # a part may be many files, and comes as one batch: each run of the stream takes what came since the last
+        new.where(F.col("_p") == p).drop("_p").write.mode("append").parquet(f"{base}/in")
+        come = spark.readStream.schema(new.drop("_p").schema).parquet(f"{base}/in")
+        replace_editions(come, f"{base}/table", f"{base}/stage", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/table")
 
 

@@ -280,3 +280,19 @@ def test_parts_are_dealt_before_they_become_many_rows(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for table in ("rl_procedimento_cid", "rl_procedimento_habilitacao", "rl_procedimento_servico", "tb_procedimento"):
         assert b.table(table).rdd.getNumPartitions() == n
+
+
+def test_parts_of_editions_are_many_files_and_no_window(spark, tmp_path, monkeypatch):
+    """A part may be any number of files, one batch each, and its rows never meet in one task."""
+    from claimlens.plans.bindings import Bound
+    from claimlens.streaming import documents as D
+
+    monkeypatch.setattr(D, "shared_dir", lambda _spark, label: str(tmp_path / label))
+    docs = Bound(spark, "/root/testdata/sf0.001")
+    docs._read["documents"] = docs.raw("documents").repartition(6)
+    out = D.edition_documents(docs, files=2)
+    base = tmp_path / "stream-editions"
+    assert len(spark.read.parquet(str(base / "in")).inputFiles()) > 2
+    assert sorted(p.name for p in (base / "stage" / "lidas").iterdir() if p.is_dir()) == ["lote=0", "lote=1"]
+    want = sorted((f"d{r.doc_id}", r.source, r.text) for r in docs.raw("documents").collect())
+    assert sorted((r.id, r.fonte, r.texto) for r in out.where("edicao = 2").collect()) == want
