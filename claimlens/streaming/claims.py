@@ -35,8 +35,8 @@ def audit_orders(b, month="202402"):
     base = shared_dir(spark, "stream-audit")
     schema = b.raw("orders").schema
     orders = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
-        .option("maxFilesPerTrigger", 1).parquet(b.dir)
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", 1).parquet(b.stream_path("orders"))
     )
     # the stream meets these on every batch: written once
     for name in ("order_parts", "first_lines"):

@@ -102,8 +102,6 @@ def replace_documents(b):
     view = lambda df: df.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("fonte"), F.col("text").alias("texto"))
     old = view(b.raw("documents")).withColumn("texto", F.lit("old edition"))
     overwrite_sources(old, f"{base}/table")
-    new = view(
-        spark.readStream.schema(b.raw("documents").schema)
-        .option("pathGlobFilter", "documents.parquet").parquet(b.dir))
+    new = view(spark.readStream.schema(b.raw("documents").schema).parquet(b.stream_path("documents")))
     replace_stream(new, f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/table")

@@ -296,3 +296,17 @@ def test_parts_of_editions_are_many_files_and_no_window(spark, tmp_path, monkeyp
     assert sorted(p.name for p in (base / "stage" / "lidas").iterdir() if p.is_dir()) == ["lote=0", "lote=1"]
     want = sorted((f"d{r.doc_id}", r.source, r.text) for r in docs.raw("documents").collect())
     assert sorted((r.id, r.fonte, r.texto) for r in out.where("edicao = 2").collect()) == want
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streamed_documents_may_be_a_folder_of_files(spark, tmp_path, files):
+    from claimlens.plans.bindings import Bound
+    from claimlens.streaming import documents as D
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    if files > 1:
+        docs.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    out = D.replace_documents(Bound(spark, str(tmp_path)))
+    assert sorted((r.id, r.texto) for r in out.collect()) == sorted((f"d{r.doc_id}", r.text) for r in docs.collect())
