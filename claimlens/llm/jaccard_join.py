@@ -34,6 +34,8 @@ SKETCH = 1 << 18
 COMMON, COMMON_LEAST = 8, 50
 #: Longs of marks per set: a mark that only one set has stands for a shingle that the other lacks.
 MARKS = 16
+#: Smallest tokens per set that tell whether two sets have met at a smaller token already.
+FIRST_TOKENS = 16
 _SINGLE = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -200,7 +202,8 @@ def _tokens(plan, costs_b):
                 for band in np.unique(bands[sizes > 0]):
                     # a set sends its own band, and the band below if partners may lie there
                     for b in (band, band - 1):
-                        pick = (bands == band) & (sizes > 0) & known[i:j]
+                        # one or two shingles link with their like only, which are copies
+                        pick = (bands == band) & (max_distance(sizes, max_partner(sizes)) > 0) & known[i:j]
                         if b < band:
                             pick &= low(sizes) < (1 << int(band))
                         if not pick.any() or int(b) not in plan:
@@ -279,6 +282,39 @@ def _linked(pairs, marks, texts):
             .select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long"))
 
 
+def _meetings(live, marks):
+    """The pairs (a, b) of different components that meet at a token and may link, nearly all of them once.
+
+    Near sets meet at hundreds of tokens. Each row has those of its set's FIRST_TOKENS smallest tokens that
+    are smaller than its own: two rows that share one of them are a pair that has met there.
+    """
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("token"))
+    lowest = (live.select("doc_id", "token").withColumn("nth", nth).filter(F.col("nth") <= FIRST_TOKENS)
+              .groupBy("doc_id").agg(F.collect_list("token").alias("lowest")))
+    cols = [f"m{k}" for k in range(MARKS)]
+    left = (live.join(lowest, "doc_id").withColumn("before", F.filter("lowest", lambda t: t < F.col("token")))
+            .join(marks.select("doc_id", "n", *cols), "doc_id").select("token", "doc_id", "c", "n", "before", *cols))
+    other = left.select("token", *[F.col(x).alias(f"b{x}") for x in left.columns[1:]])
+    # the sets differ by one shingle per such mark at least: an exact bound on the distance of linked sets
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in cols), F.lit(0))
+    near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("n") + F.col("bn"))
+    near &= DEN * F.least("n", "bn") >= NUM * F.greatest("n", "bn")
+    return (left.join(other, "token").filter("doc_id < bdoc_id and c <> bc").filter(near).filter(~F.arrays_overlap("before", "bbefore"))
+            .select(F.col("doc_id").alias("a"), F.col("bdoc_id").alias("b")))
+
+
+def _merged(comp, links):
+    """Components after more links: those between the components so far are all that has to be settled."""
+    side = lambda k: comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    between = (links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    more = components(between).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    return comp.join(more, F.col("component") == F.col("old"), "full").select(
+        F.coalesce("node", "old").alias("node"), F.coalesce("new", "component").alias("component"))
+
+
 def ngram_components(docs, id_col="doc_id", text_col="text"):
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -291,7 +327,8 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
     Rounds of candidates: every set against the smallest set it meets, then every
     meeting-place's sets outside its largest component against some set of that (one
     by hash for each place, so a set meets many), then all meetings between different
-    components. Pairs that earlier rounds have connected are not compared again.
+    components, a pair at its first meeting-place only. Pairs that earlier rounds have
+    connected are not compared again.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -328,39 +365,31 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
     first = write_once(met.filter("lead < doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"),
                        folder(spark, "op2-pairs"))
     links = write_once(_linked(first, marks, texts), folder(spark, "op2-links"))
+    comp = write_once(components(links), folder(spark, "op2-comp"))
     done, live = first, met.select("token", "doc_id")
     for every in (False, True):
-        comp = write_once(components(links), folder(spark, "op2-comp"))
         # meeting-places of one component are settled for good
         live = write_once(
             live.join(comp, live.doc_id == comp.node, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-            .withColumn("least", F.min("c").over(_by_token())).withColumn("most", F.max("c").over(_by_token()))
-            .filter("least < most").select("token", "doc_id", "c"), folder(spark, "op2-live"))
+            .withColumn("least", F.min("c").over(_by_token())).withColumn("most", F.max("c").over(_by_token())).withColumn("k", F.count("*").over(_by_token()))
+            .filter("least < most").select("token", "doc_id", "c", "k"), folder(spark, "op2-live"))
         if every:
-            cols = [f"m{k}" for k in range(MARKS)]
-            left = live.join(marks.select("doc_id", "n", *cols), "doc_id")
-            other = left.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), *[F.col(m).alias(f"b{m}") for m in cols])
-            # the sets differ by one shingle per such mark at least: an exact bound on the distance of linked sets
-            apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b{m}"))) for m in cols), F.lit(0))
-            near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("n") + F.col("nb"))
-            near &= DEN * F.least("n", "nb") >= NUM * F.greatest("n", "nb")
-            cand = left.join(other, "token").filter("doc_id < b and c <> cb").filter(near).select(F.col("doc_id").alias("a"), "b")
+            cand = _meetings(live, marks)
         else:
             parts = live.groupBy("token", "c").agg(
                 F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "token").alias("x"), "doc_id")).alias("pick"))
             span = parts.groupBy("token").agg(F.max(F.struct("n", "c", "pick")).alias("top"))
             cand = (live.join(span.select("token", F.col("top.c").alias("tc"), F.col("top.pick.doc_id").alias("r")), "token").filter("c <> tc")
                     .select(F.least("r", "doc_id").alias("a"), F.greatest("r", "doc_id").alias("b")))
-            live = live.drop("c")
+            # two sets that are alone at a token have been compared then
+            live = live.filter("k > 2").select("token", "doc_id")
         cand = write_once(cand.distinct().join(done, ["a", "b"], "left_anti"), folder(spark, "op2-pairs"))
         done = done.unionByName(cand)
-        links = write_once(links.unionByName(_linked(cand, marks, texts)), folder(spark, "op2-links"))
-    comp = components(links)
+        comp = write_once(_merged(comp, write_once(_linked(cand, marks, texts), folder(spark, "op2-links"))), folder(spark, "op2-comp"))
     # copies of a node under several ids, and ids with several texts, are joined too
-    extra = member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     repeated = member.filter("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).filter("k > 1")
     if repeated.limit(1).count():
-        comp = components(links.unionByName(extra))
+        comp = _merged(comp, member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
         key = F.col("doc_id")
     else:
         key = F.coalesce("rep", "doc_id")

@@ -106,6 +106,35 @@ def test_tokens_of_linked_sets_meet(wide):
         assert tokens[0] & tokens[1]
 
 
+def test_near_sets_meet_once(llm_spark):
+    """Every pair of components that shares a token is found, though not again at each of some 80 shared tokens."""
+    rng = np.random.default_rng(9)
+    tokens = {d: set(rng.choice(120, 96, replace=False).tolist()) for d in range(30)} | {d: {1000 + d // 2, 2000 + d // 3} for d in range(30, 42)}
+    live = llm_spark.createDataFrame([(int(t), d, d % 7) for d, ts in tokens.items() for t in ts], "token long, doc_id long, c long")
+    marks = llm_spark.createDataFrame([(d, 100, *[0] * jaccard_join.MARKS) for d in tokens],
+                                      "doc_id long, n long, " + ", ".join(f"m{k} long" for k in range(jaccard_join.MARKS)))
+    got = [tuple(r) for r in jaccard_join._meetings(live, marks).collect()]
+    want = {(a, b) for a, b in itertools.combinations(tokens, 2) if a % 7 != b % 7 and tokens[a] & tokens[b]}
+    assert set(got) == want and len(got) < 1.1 * len(want)
+
+
+@pytest.mark.parametrize("links, more", [([(5, 2), (9, 5), (7, 6)], [(9, 6), (11, 10)]), ([(2, 1)], []), ([], [(3, 4)]), ([(2, 1), (4, 3), (6, 5)], [(6, 3), (4, 2), (8, 1)])])
+def test_components_after_more_links(llm_spark, links, more):
+    frame = lambda rows: llm_spark.createDataFrame(rows, "a long, b long")
+    got = jaccard_join._merged(jaccard_join.components(frame(links)), frame(more)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, jaccard_join.components(frame(links + more)).collect()))
+
+
+def test_sets_of_one_or_two_shingles_send_no_tokens(llm_spark):
+    """Only equal sets can link with them; as tokens they would all meet in one place."""
+    rows = [(i, f"short text {i}") for i in range(50)] + [(50 + i, f"six words are two shingles {i}") for i in range(50)] + [(100, "short text 7")]
+    batch = jaccard_join.pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+    costs = type("B", (), {"value": np.zeros(jaccard_join.SKETCH, "<i8").tobytes()})
+    assert not [r for b in jaccard_join._tokens({0: (1, 0), 1: (1, 0)}, costs)([batch]) for r in b.to_pylist()]
+    got = jaccard_join.ngram_components(llm_spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 7 if i == 100 else i for i, _ in rows}
+
+
 def test_decontamination(llm_spark, docs):
     rows = corpus()
     words = {r[0]: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r[1] or "").translate(LOWER)) for r in rows}
