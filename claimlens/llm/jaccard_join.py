@@ -24,7 +24,7 @@ from claimlens.session import write_once
 
 from . import text_arrays as T
 from .components import components
-from .work import folder
+from .work import bitmap, folder, in_bitmap
 
 #: Share of shingles that two linked sets have in common, as 75 : 100 of the union.
 NUM, DEN = 75, 100
@@ -258,6 +258,12 @@ def _compare(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
 
+def _with_ids(rows, ids):
+    """The rows with these ids, and few others (a bitmap of the ids is looked at): no text is shuffled for it."""
+    bits = F.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h"))))
+    return rows.join(bits, in_bitmap(F.col("bits"), F.xxhash64("doc_id"))).drop("bits")
+
+
 def _linked(pairs, marks, texts):
     """The pairs (a, b) that link: 100 * intersection >= 75 * union.
 
@@ -277,6 +283,7 @@ def _linked(pairs, marks, texts):
     near = (pairs.join(side("a"), "a").join(side("b"), "b").filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
             .filter((NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
     near = write_once(near, folder(pairs.sparkSession, "op2-near"))
+    texts = _with_ids(texts, near.select(F.explode(F.array("a", "b")).alias("doc_id")))
     return (near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             .select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long"))
@@ -358,7 +365,7 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
     met = write_once(tokens.withColumn("lead", F.min("doc_id").over(_by_token())).withColumn("last", F.max("doc_id").over(_by_token()))
                      .filter("lead < last").select("token", "doc_id", "lead").join(copies, "doc_id", "left_anti"), folder(spark, "op2-met"))
     involved = write_once(met.select("doc_id").distinct(), folder(spark, "op2-involved"))
-    texts = write_once(src.join(involved, "doc_id", "left_semi"), folder(spark, "op2-texts"))
+    texts = write_once(_with_ids(src, involved), folder(spark, "op2-texts"))
     marks = write_once(texts.mapInArrow(_marks, "doc_id long, n long, wide array<long>, " + ", ".join(f"m{k} long" for k in range(MARKS))),
                        folder(spark, "op2-marks"))
 

@@ -118,6 +118,17 @@ def test_near_sets_meet_once(llm_spark):
     assert set(got) == want and len(got) < 1.1 * len(want)
 
 
+def test_rows_with_ids_are_taken_without_a_shuffle(llm_spark):
+    rows = llm_spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")).unionByName(llm_spark.sql("select cast(null as long) doc_id, 'x' text"))
+    ids = llm_spark.range(0, 2000, 50).select(F.col("id").alias("doc_id"))
+    got = jaccard_join._with_ids(rows, ids)
+    found = {r.doc_id for r in got.collect()}
+    assert set(range(0, 2000, 50)) <= found and len(found) < 60 and got.columns == ["doc_id", "text"]
+    assert not jaccard_join._with_ids(rows, ids.limit(0)).count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "strategy=broadcast" in plan
+
+
 @pytest.mark.parametrize("links, more", [([(5, 2), (9, 5), (7, 6)], [(9, 6), (11, 10)]), ([(2, 1)], []), ([], [(3, 4)]), ([(2, 1), (4, 3), (6, 5)], [(6, 3), (4, 2), (8, 1)])])
 def test_components_after_more_links(llm_spark, links, more):
     frame = lambda rows: llm_spark.createDataFrame(rows, "a long, b long")
