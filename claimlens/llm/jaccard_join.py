@@ -24,7 +24,7 @@ from claimlens.session import write_once
 
 from . import text_arrays as T
 from .components import components
-from .work import bitmap, folder, in_bitmap
+from .work import bitmap, folder, in_bitmap, small_batches
 
 #: Share of shingles that two linked sets have in common, as 75 : 100 of the union.
 NUM, DEN = 75, 100
@@ -337,6 +337,12 @@ def ngram_components(docs, id_col="doc_id", text_col="text"):
     components, a pair at its first meeting-place only. Pairs that earlier rounds have
     connected are not compared again.
     """
+    # all that goes through Python is written before the frame is returned
+    with small_batches(docs.sparkSession):
+        return _components_of_sets(docs, id_col, text_col)
+
+
+def _components_of_sets(docs, id_col, text_col):
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     stats = write_once(src.mapInArrow(_statistics, "doc_id long, n long, h1 long, h2 long, cells binary"),

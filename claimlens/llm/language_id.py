@@ -251,13 +251,14 @@ def fit(docs, id_col="doc_id", text_col="text", lang_col="lang", per_language=FI
     return names, prob
 
 
-def _predict(model, held):
+def _predict(model, held, text):
+    """Columns ``held`` of each batch, and the language and score of its column ``text``."""
     def run(batches):
         names, prob = model.value
         pieces = Pieces(vocabulary())
         known, scores, letters_kept = {}, np.zeros((0, prob.shape[1])), 0
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(text)
             for i in range(0, batch.num_rows, 500):
                 part = texts.slice(i, 500).to_pylist()
                 found, new, first = [], [], [0]
@@ -303,9 +304,7 @@ def identify(docs, id_col="doc_id", text_col="text", lang_col="lang", keep=False
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(model or fit(docs, id_col, text_col, lang_col))
     if keep:
-        cols = [text_col, *[c for c in docs.columns if c != text_col]]
-        src = docs.select(F.col(text_col).alias("_t"), F.col(text_col).alias("_text"), *docs.columns)
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return src.mapInArrow(_predict(model, list(range(2, 2 + len(cols)))), f"{kinds}, lang_pred string, score double")
+        return docs.mapInArrow(_predict(model, list(range(len(docs.columns))), docs.columns.index(text_col)), f"{kinds}, lang_pred string, score double")
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"))
-    return src.mapInArrow(_predict(model, [0, 2]), f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(_predict(model, [0, 2], 1), f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")

@@ -1,5 +1,6 @@
 """Intermediate tables in the folder the cluster shares."""
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -8,6 +9,26 @@ from pyspark.sql import functions as F
 
 #: Bits of a bitmap (a fixed 512 KB, whatever it is made from).
 BITS = 1 << 22
+#: Bytes of an Arrow batch in ``small_batches``, the row that passes them included; 10 000 rows (Spark's default) are some 30 MB of texts.
+BATCH_BYTES = 1 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark):
+    """What is run inside sends batches of some BATCH_BYTES to Python; then the session's own setting holds again.
+
+    A task has a batch several times: as Arrow buffers outside the heap, which double as they grow, and in its worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def folder(spark, label):

@@ -510,3 +510,52 @@ def test_pipeline_stages(llm_spark, docs, tmp_path):
             first.add(d)
     assert out == {d for d in first if "one" not in rows[d].lower().split()}
     assert len(C.STAGES) == 5
+
+
+def test_language_id_sends_a_text_to_python_once(llm_spark, monkeypatch):
+    def sizes(model, held, *text):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in held], pa.array([str(b.num_columns)] * b.num_rows), pa.array([0.0] * b.num_rows)],
+                                                 [*[b.schema.names[c] for c in held], "lang_pred", "score"])
+        return run
+
+    docs = llm_spark.createDataFrame([(1, "some words", "en", "s", "w"), (2, None, "de", "s", "w")], SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(language_id, "_predict", sizes)
+        out = language_id.identify(docs, keep=True, model=([], np.zeros((1, 1))))
+        assert out.columns == [*docs.columns, "lang_pred", "score"]
+        assert {r.lang_pred for r in out.collect()} == {str(len(docs.columns))}
+    # the text may stand anywhere; the other columns stay as they are
+    model = language_id.fit(docs)
+    for order in (docs.columns, ["text", "doc_id", "lang"], ["lang", "doc_id", "text"]):
+        rows = {r.doc_id: r for r in language_id.identify(docs.select(order), keep=True, model=model).collect()}
+        assert (rows[1].text, rows[1].lang, rows[2].text, rows[2].lang_pred) == ("some words", "en", None, "und")
+
+
+def test_jaccard_join_sends_batches_of_bounded_bytes(llm_spark, monkeypatch):
+    """The text that passes the bound ends a batch; afterwards the session's own setting holds."""
+    from claimlens.llm import work
+
+    key, whole = "spark.sql.execution.arrow.maxBytesPerBatch", jaccard_join._statistics
+    bound = 2 << 20
+
+    def watched(batches):
+        for b in batches:
+            assert b.slice(0, b.num_rows - 1).nbytes <= bound, f"a batch of {b.nbytes} bytes"
+            yield from whole([b])
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    other = " ".join(f"v{i}" for i in range(250_000))
+    rows = [(i, f"{text} {'x ' * (i % 3)}") for i in range(40)] + [(40, other), (41, None), (42, "")]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(jaccard_join, "_statistics", watched)
+    assert llm_spark.conf.get(key, None) is None
+    got = {r.doc_id: r.component_id for r in jaccard_join.ngram_components(docs).collect()}
+    assert got == {i: 0 for i in range(40)} | {i: i for i in (40, 41, 42)}
+    assert llm_spark.conf.get(key, None) is None
+    llm_spark.conf.set(key, "33554432")
+    with work.small_batches(llm_spark):
+        assert llm_spark.conf.get(key) != "33554432"
+    assert llm_spark.conf.get(key) == "33554432"
+    llm_spark.conf.unset(key)
